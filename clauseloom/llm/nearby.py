@@ -83,7 +83,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, at in enumerate(_CHUNKS):
             total = terms[:, at].sum(axis=1, dtype=U64)
             for k in at:
-                keys[:, k] = mix(total - terms[:, k] + U64((k + 1) * 0xC2B2AE3D27D4EB4F + c & 2**64 - 1))
+                keys[:, k] = mix(total - terms[:, k] + U64(((int(k) + 1) * 0xC2B2AE3D27D4EB4F + c) & (2**64 - 1)))
         did, n = b["did"].to_numpy(), b["n"].to_numpy().astype(np.int32)
         yield batch(_KEYS, key=keys.ravel().view(np.int64), did=np.repeat(did, K), n=np.repeat(n, K), sketch=np.repeat(sketch.view(np.int64), K))
 
@@ -178,25 +178,53 @@ def _set_bytes(width: int):
     return run, "did long, body binary"
 
 
-def _confirm(width: int, percent: int):
+def _confirm(percent: int):
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
             left, right = [], []
-            cache: dict = {}
-            for a, b, x, y in zip(*(r[c] for c in ("a", "b", "x", "y")), strict=True):
-                sets = []
-                for i, t in ((a.as_py(), x), (b.as_py(), y)):
-                    if i not in cache:
-                        if len(cache) > 64:
-                            cache.clear()
-                        cache[i] = shingle_sets(pa.array([t.as_py()], pa.string()), width)[0]
-                    sets.append(cache[i])
-                both = len(np.intersect1d(*sets, assume_unique=True))
-                if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both):
-                    left.append(a.as_py())
-                    right.append(b.as_py())
+            for a, b, x, y in zip(r["a"].to_pylist(), r["b"].to_pylist(), r["x"], r["y"], strict=True):
+                x, y = (np.frombuffer(t.as_buffer(), U64) for t in (x, y))
+                both = np.sort(np.concatenate((x, y)))
+                both = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    left.append(a)
+                    right.append(b)
+            yield batch(out, a=left, b=right)
+
+    return run, "a long, b long"
+
+
+def _against_block(percent: int):
+    """Rows come ordered by (block, salt, kind). kind 0: a block's sets, some hundreds; kind 1: sets to hold against all of them."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, sets, table = None, [], [], None
+        for r in batches:
+            left, right = [], []
+            for g, kind, did, body in zip(zip(r["block"].to_pylist(), r["salt"].to_pylist(), strict=True), r["kind"].to_pylist(), r["did"].to_pylist(), r["body"], strict=True):
+                if g != group:
+                    group, ids, sets, table = g, [], [], None
+                own = np.frombuffer(body.as_buffer(), U64)
+                if kind == 0:
+                    ids.append(did)
+                    sets.append(own)
+                    continue
+                if table is None:
+                    sizes = np.array([len(x) for x in sets])
+                    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                    order = np.argsort(flat, kind="stable")
+                    table = flat[order], owner[order], sizes, np.array(ids)
+                flat, owner, sizes, names = table
+                lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(sizes))
+                for other in names[(100 * both >= percent * (sizes + len(own) - both)) & (names != did)].tolist():
+                    left.append(min(did, other))
+                    right.append(max(did, other))
             yield batch(out, a=left, b=right)
 
     return run, "a long, b long"
@@ -244,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Below this size another set cannot be similar enough.
     least = next(k for k in range(1, 10_000) if 100 * k >= percent * (k + 1)) if percent < 100 else 1 << 30
     expected = (1 - percent / 100) * 0.75 * (K // 2)
-    most = int(expected + 5 * (expected * (1 - 0.75 * (1 - percent / 100))) ** 0.5 + 1)
+    most = int(expected + 4 * (expected * (1 - 0.75 * (1 - percent / 100))) ** 0.5 + 1)
     order = ["key", "did"]
     rows = nodes.where(F.col("n") >= least).select(F.col("rep").alias("did"), "n", "sig").mapInArrow(_keys, "key long, did long, n int, sketch long")
     stream, schema = _runs(percent, most)
@@ -252,47 +280,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = found.where("kind = 0").select(F.least("did", "other").alias("a"), F.greatest("did", "other").alias("b")).distinct()
     long_rows = found.where("kind = 1").select("key", "did", "n", "sketch")
     asked = pairs.select(F.col("a").alias("did")).unionByName(pairs.select(F.col("b").alias("did"))).unionByName(long_rows.select("did")).distinct()
-    texts = materialize(source.join(asked, "did", "left_semi"))
-    check, schema = _confirm(width, percent)
+    bodies, schema = _set_bytes(width)
+    # Of an id's rows with different texts the node has the first set.
+    bodies = source.join(asked, "did", "left_semi").mapInArrow(bodies, schema)
+    bodies = materialize(bodies.groupBy("did").agg(F.min("body").alias("body")) if _repeats(sets) else bodies)
+    check, schema = _confirm(percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        x, y = texts.select(F.col("did").alias("a"), F.col("text").alias("x")), texts.select(F.col("did").alias("b"), F.col("text").alias("y"))
+        x, y = bodies.select(F.col("did").alias("a"), F.col("body").alias("x")), bodies.select(F.col("did").alias("b"), F.col("body").alias("y"))
         return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, schema))
 
-    links = confirmed(pairs)
-    classes = components(links)
-    # Rows that two runs of an id share between partitions are counted once.
+    classes = components(confirmed(pairs))
+    # A row of a key that two tasks share is counted once.
     long_rows = materialize(long_rows.distinct())
-    idle, turn = 0, 0
+    turn, idle = 0, False
     while True:
         placed = long_rows.join(classes.withColumnRenamed("id", "did"), "did", "left").withColumn("component", F.coalesce("component", "did"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
         placed = materialize(placed.join(mixed, "key", "left_semi"))
         if placed.isEmpty():
             break
-        centre = placed.groupBy("key").agg(F.min_by(F.struct("did", "n", "sketch", "component"), F.xxhash64("did", F.lit(turn))).alias("c"))
-        if idle < 2:
+        if not idle:
+            centre = placed.groupBy("key").agg(F.min_by(F.struct("did", "n", "sketch", "component"), F.xxhash64("did", F.lit(turn))).alias("c"))
             other = placed.join(centre, "key").select("did", "n", "sketch", "component", F.col("c.did").alias("d2"), F.col("c.n").alias("n2"), F.col("c.sketch").alias("s2"), F.col("c.component").alias("c2"))
-            other = other.where("component != c2")
+            fresh = other.where("component != c2").where(_sql_alike(percent, most)).select(F.least("did", "d2").alias("a"), F.greatest("did", "d2").alias("b")).distinct()
+            more = confirmed(fresh)
         else:
-            second = placed.select("key", F.col("did").alias("d2"), F.col("n").alias("n2"), F.col("sketch").alias("s2"), F.col("component").alias("c2"))
-            other = placed.join(second, "key").where("component < c2").where(_sql_alike(percent, most))
-        fresh = other.where(_sql_alike(percent, most)).select(F.least("did", "d2").alias("a"), F.greatest("did", "d2").alias("b")).distinct()
-        more = confirmed(fresh)
+            more = _across(placed, bodies, percent, n_out)
         grew = not more.isEmpty()
         if grew:
-            joined = classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
-            classes = components(joined)
-        elif idle >= 2:
-            break
-        if idle >= 2:
+            classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+        if idle:
             break
-        idle, turn = (0 if grew else idle + 1), turn + 1
+        idle, turn = not grew, turn + 1
     reps = nodes.select("s1", "s2", F.col("n"), "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     out = sets.select("did", "n", "s1", "s2").join(reps, ["s1", "s2", "n"], "left").select("did", "n", F.coalesce("component", "did").alias("component"))
     return out.select(public_id("did").alias(id_col), F.col("n").alias("n_shingles"), public_id("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"))
 
 
+def _repeats(sets: DataFrame) -> bool:
+    """Whether an id has several different sets."""
+    one = sets.groupBy("did").agg(F.min(F.struct("s1", "s2", "n")).alias("lo"), F.max(F.struct("s1", "s2", "n")).alias("hi"))
+    return not one.where("lo != hi").isEmpty()
+
+
+def _across(placed: DataFrame, bodies: DataFrame, percent: int, n_out: int) -> DataFrame:
+    """All links between components that share a key: the rows outside a key's largest component, in blocks, against the key's rows.
+
+    No pairs are listed: each row meets a block of about 256 sets at once.
+    """
+    main = placed.groupBy("key", "component").agg(F.count("*").alias("z")).groupBy("key").agg(F.max_by("component", F.struct("z", "component")).alias("main"))
+    rest = materialize(placed.join(main, "key").where("component != main").select("key", "did"))
+    blocks = max(1, rest.select("did").distinct().count() // 256)
+    salts = max(1, n_out // blocks)
+    block = F.pmod(F.xxhash64("did", F.lit(-1)), F.lit(blocks)).alias("block")
+    rest = rest.select("key", "did", block)
+    members = placed.select("key", "did").join(rest.select("key", "block").distinct(), "key").select("block", "did").distinct()
+    members = members.select("block", F.pmod(F.xxhash64("did"), F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), "did")
+    held = rest.select("block", "did").distinct().select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(0).alias("kind"), "did")
+    rows = held.unionByName(members).join(bodies, "did").select("block", "salt", "kind", "did", "body")
+    check, schema = _against_block(percent)
+    return materialize(rows.repartition(n_out, "block", "salt").sortWithinPartitions("block", "salt", "kind").mapInArrow(check, schema).distinct())
+
+
 def _sql_alike(percent: int, most: int):
     x = F.col("sketch").bitwiseXOR(F.col("s2"))
     x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
