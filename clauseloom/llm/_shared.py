@@ -140,3 +140,12 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     keep[1:] = (sh[1:] != sh[:-1]) | (row[1:] != row[:-1])
     sh, row = sh[keep], row[keep]
     return sh, np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n))))
+
+
+def worker_cache() -> dict:
+    """A dict that outlives the task in a Python worker (functions sent by value lose their globals)."""
+    import sys
+    import types
+
+    module = sys.modules.setdefault("_clauseloom_worker_cache", types.ModuleType("_clauseloom_worker_cache"))
+    return module.__dict__
