@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, nearby
+from . import bpe, ctph, decontaminate, linededup, nearby, quality, secrets, warc, wordpiece
 
 QUERIES = {
     "op1_line_dedup": linededup.query,
+    "op3_warc": warc.query,
     "op4_near_duplicates": nearby.query,
+    "op5_secrets": secrets.query,
+    "op6_decontamination": decontaminate.query,
+    "op7_token_counts": wordpiece.query,
+    "op8_quality": quality.query,
+    "op9_fingerprints": ctph.query,
     "op10_byte_bpe": bpe.query,
 }
-SQL = {"op1_line_dedup": linededup.SQL}
+SQL = {"op1_line_dedup": linededup.SQL, "op3_warc": warc.SQL, "op5_secrets": secrets.SQL}
