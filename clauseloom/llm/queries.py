@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, ctph, decontaminate, linededup, nearby, quality, secrets, warc, wordpiece
+from . import bpe, ctph, decontaminate, linededup, nearby, pii, quality, secrets, warc, wordpiece
 
 QUERIES = {
     "op1_line_dedup": linededup.query,
+    "op2_pii": pii.query,
     "op3_warc": warc.query,
     "op4_near_duplicates": nearby.query,
     "op5_secrets": secrets.query,
