@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding through one global shuffle of distinct words.
 
 Each input task cuts its texts into pre-tokens once and packs them in blocks of about ``block_chars``
-characters: for each document the positions as indices, and each word that is not in the cached table only once
-a block. The words shuffle by their hash; a task streams them in order and encodes each distinct word
-once, however many blocks ask for it. The answers go back by block, where the documents are put together
+characters: for each document the word at each position as a number, and each word that is not in the cached
+table once a block. The words shuffle by themselves; a task streams them in order and encodes each distinct
+word once, however many blocks ask for it. The answers go back by block, where the documents are put together
 again by position, and decoding joins the token-byte table. Words from a bounded sample of the documents
 (at most ``cache_words``, the most frequent) are encoded once and broadcast, so that frequent words never
 shuffle; the cache changes no result.
@@ -14,16 +14,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import batch, materialize, public_id, row_id
+from ._shared import batch, public_id, row_id, worker_cache
 
 # Letters, numbers and white space below U+0100 by their Unicode categories.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
@@ -48,17 +48,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_LOADED: dict = {}
-
-
 def encoder(path: str, pat: str):
     """A function from a pre-token to its ids; loaded once a Python worker from the installed vocabulary."""
     import tiktoken
 
-    if (path, pat) not in _LOADED:
-        e = tiktoken.Encoding("own", pat_str=pat, mergeable_ranks=read_ranks(path), special_tokens={})
-        _LOADED[path, pat] = e._encode_single_piece if hasattr(e, "_encode_single_piece") else e.encode_single_token
-    return _LOADED[path, pat]
+    kept = worker_cache()
+    if ("bpe", path, pat) not in kept:
+        kept["bpe", path, pat] = tiktoken.Encoding("own", pat_str=pat, mergeable_ranks=read_ranks(path), special_tokens={})._encode_single_piece
+    return kept["bpe", path, pat]
 
 
 def _splitter(pat: str):
@@ -72,10 +69,6 @@ def _splitter(pat: str):
     return lambda text: general(text) if low(text) else latin(text)
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - 2**63
-
-
 def _count_words(pat: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, seen = _splitter(pat), Counter()
@@ -97,46 +90,31 @@ def frequent_words(docs: DataFrame, pat: str, sample_rows: int, cache_words: int
 
 
 def _pack(pat: str, cached, block_chars: int):
-    """Rows of two kinds: for each block its documents; for each word of a block that is not cached the hash and its number in the block."""
-    out = pa.schema([("block", pa.int64()), ("body", pa.binary()), ("hash", pa.int64()), ("word", pa.string()), ("slot", pa.int32())])
+    """A row a block: its documents as word numbers, and its words that are not cached, all compressed."""
+    out = pa.schema([("block", pa.int64()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        import zstandard
-
         split, table = _splitter(pat), cached.value
         part, serial, size = TaskContext.get().partitionId(), 0, 0
-        slots: dict[str, int] = dict(table)
-        ids: list = []
-        parts: list[np.ndarray] = []
+        slots, ids, parts = dict(table), [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal serial, size, slots, ids, parts
-            block = (part << 32) + serial
-            new = [w for w in list(slots)[len(table) :]]
-            lengths = np.array([len(p) for p in parts], "<i4")
-            flat = np.concatenate(parts) if parts else np.zeros(0, "<i4")
-            raw = np.array([len(parts)], "<i8").tobytes() + np.array(ids, "<i8").tobytes() + lengths.tobytes()
-            # Planes of low and high bytes compress better than whole integers.
-            planes = b"".join(((flat >> s) & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24))
-            body = zstandard.ZstdCompressor(level=3).compress(raw + planes)
-            done = batch(
-                out, block=[block] * (len(new) + 1), body=[body] + [None] * len(new), hash=[0] + [_hash(w) for w in new],
-                word=[None, *new], slot=[-1, *range(len(table), len(table) + len(new))],
-            )
+            done = batch(out, block=[(part << 32) + serial], blob=[_close(ids, parts, list(slots)[len(table) :])])
             serial, size, slots, ids, parts = serial + 1, 0, dict(table), [], []
             return done
 
         for b in batches:
             for did, text in zip(b["did"].to_pylist(), b["text"], strict=True):
                 text = text.as_py() or ""
-                ids.append(did)
                 words = split(text)
                 try:
                     got = [slots[w] for w in words]
                 except KeyError:
                     got = [slots.setdefault(w, len(slots)) for w in words]
+                ids.append(did)
                 parts.append(np.array(got, "<i4"))
                 size += len(text) + 64
                 if size >= block_chars:
@@ -144,11 +122,56 @@ def _pack(pat: str, cached, block_chars: int):
         if ids:
             yield flush()
 
-    return run, "block long, body binary, hash long, word string, slot int"
+    return run, "block long, blob binary"
+
+
+def _close(ids: list[int], parts: list[np.ndarray], words: list[str]) -> bytes:
+    import zstandard
+
+    flat = np.concatenate(parts)
+    # Planes of low and high bytes compress better than whole integers.
+    planes = b"".join(((flat >> s) & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24))
+    body = np.array([len(ids)], "<i8").tobytes() + np.array(ids, "<i8").tobytes() + np.array([len(x) for x in parts], "<i4").tobytes() + planes
+    coded = [w.encode("utf-8", "surrogatepass") for w in words]
+    listed = np.array([len(coded)], "<i4").tobytes() + np.array([len(c) for c in coded], "<i4").tobytes() + b"".join(coded)
+    z = zstandard.ZstdCompressor(level=6)
+    listed, body = z.compress(listed), z.compress(body)
+    return np.array([len(listed)], "<i4").tobytes() + listed + body
+
+
+def _words_of(blob: bytes) -> list[str]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob[4 : 4 + int(np.frombuffer(blob, "<i4", 1)[0])])
+    n = int(np.frombuffer(raw, "<i4", 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, "<i4", n, 4)).tolist()
+    text = raw[4 + 4 * n :]
+    return [text[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _documents_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, word counts and the word numbers of all documents, end to end."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob[4 + int(np.frombuffer(blob, "<i4", 1)[0]) :])
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    planes = np.frombuffer(raw, np.uint8, -1, 8 + 12 * n).reshape(4, -1).astype(np.int32)
+    return np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i4", n, 8 + 8 * n), planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word that a block does not find in the cache."""
+    out = pa.schema([("word", pa.string()), ("block", pa.int64()), ("slot", pa.int32())])
+    for b in batches:
+        for block, blob in zip(b["block"].to_pylist(), b["blob"], strict=True):
+            words = _words_of(blob.as_py())
+            for at in range(0, len(words), 20_000):
+                some = words[at : at + 20_000]
+                yield batch(out, word=some, block=np.full(len(some), block), slot=np.arange(at, at + len(some), dtype=np.int32))
 
 
 def _encode_words(path: str, pat: str):
-    """Streams words ordered by (hash, word): each distinct word is encoded once."""
+    """Streams words in order: each distinct word is encoded once."""
     out = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,61 +188,58 @@ def _encode_words(path: str, pat: str):
 
 
 def _assemble(path: str, cached_ids):
-    """Puts the documents of a block together: rows come ordered by (block, slot), the body first."""
+    """A block and the ids of its words: the documents in one table, put together by position."""
     out = pa.schema([("did", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        base = cached_ids.value
-        table = {rank: token for token, rank in read_ranks(path).items()}
-        names = {rank: str(rank) for rank in table}
-        # For each slot: the number of tokens, the ids in decimal, and the bytes that the ids decode to.
-        shown = [(len(w), " ".join(map(names.__getitem__, w)), b"".join(map(table.__getitem__, w)), np.array(w, "<u4").tobytes()) for w in base]
-        state: list = []
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            body, words = state
-            raw = zstandard.ZstdDecompressor().decompress(body)
-            n = int(np.frombuffer(raw, "<i8", 1)[0])
-            ids = np.frombuffer(raw, "<i8", n, 8)
-            lengths = np.frombuffer(raw, "<i4", n, 8 + 8 * n)
-            planes = np.frombuffer(raw, np.uint8, -1, 8 + 12 * n).reshape(4, -1).astype(np.int32)
-            flat = planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
-            local = shown + [(len(w := np.frombuffer(x, "<u4").tolist()), " ".join(map(names.__getitem__, w)), b"".join(map(table.__getitem__, w)), x) for x in words]
-            count, text, plain, packed = (list(c) for c in zip(*local, strict=True)) if local else ([], [], [], [])
-            count = np.array(count, np.int64)
-            ends = np.cumsum(lengths)
-            step = 512
-            for at in range(0, n, step):
-                rows: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
-                for k in range(at, min(n, at + step)):
-                    own = flat[ends[k] - lengths[k] : ends[k]]
-                    at_words = own.tolist()
-                    rows["n_tokens"].append(int(count[own].sum()))
-                    rows["ids_sha256"].append(hashlib.sha256(" ".join(map(text.__getitem__, at_words)).encode()).hexdigest())
-                    rows["decoded_sha256"].append(hashlib.sha256(b"".join(map(plain.__getitem__, at_words))).hexdigest())
-                    rows["ids"].append(b"".join(map(packed.__getitem__, at_words)))
-                yield batch(out, did=ids[at : at + step], **rows)
-
-        current = None
-        for b in batches:
-            for block, slot, body, ids in zip(*(b[c].to_pylist() for c in ("block", "slot", "body", "ids")), strict=True):
-                if block != current:
-                    if current is not None:
-                        yield from finish()
-                    current, state = block, [body, []]
-                else:
-                    state[1].append(ids)
-        if current is not None:
-            yield from finish()
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        kept = worker_cache()
+        if ("tokens", path) not in kept:
+            table = {rank: token for token, rank in read_ranks(path).items()}
+            kept["tokens", path] = table, {rank: str(rank) for rank in table}
+        table, names = kept["tokens", path]
+
+        def show(ids: list[int]) -> tuple:
+            """Their number, in decimal, the bytes they decode to, and packed."""
+            return len(ids), " ".join(map(names.__getitem__, ids)), b"".join(map(table.__getitem__, ids)), np.array(ids, "<u4").tobytes()
+
+        if kept.get("shown_of") != cached_ids.id:
+            kept["shown"], kept["shown_of"] = [show(w) for w in cached_ids.value], cached_ids.id
+        if blocks.num_rows != 1:
+            raise RuntimeError("a block is not whole")
+        answers = answers.sort_by("slot").combine_chunks()
+        local = kept["shown"] + [show(np.frombuffer(x, "<u4").tolist()) for x in answers["ids"].to_pylist()]
+        ids, lengths, flat = _documents_of(blocks["blob"][0].as_py())
+        if len(flat) and int(flat.max()) >= len(local):
+            raise RuntimeError("a word of the block has no answer")
+        count, text, plain, packed = (list(c) for c in zip(*local, strict=True)) if local else ([], [], [], [])
+        count = np.array(count, np.int64)
+        rows: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
+        for end, n in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
+            own = flat[end - n : end]
+            words = own.tolist()
+            rows["n_tokens"].append(int(count[own].sum()))
+            rows["ids_sha256"].append(hashlib.sha256(" ".join(map(text.__getitem__, words)).encode()).hexdigest())
+            rows["decoded_sha256"].append(hashlib.sha256(b"".join(map(plain.__getitem__, words))).hexdigest())
+            rows["ids"].append(b"".join(map(packed.__getitem__, words)))
+        return pa.Table.from_batches([batch(out, did=ids, **rows)])
 
     return run, "did long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
 
 
+class _Held:
+    """A broadcast value and a name by which workers know it."""
+
+    def __init__(self, spark, value):
+        self.id, self._held = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    @property
+    def value(self):
+        return self._held.value
+
+
 def encode_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pat: str | None = None,
-    block_chars: int = 4_000_000, sample_rows: int = 4000, cache_words: int = 65_536,
+    block_chars: int = 16_000_000, sample_rows: int = 6000, cache_words: int = 131_072,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): one row for each row of docs, ids as packed 32-bit integers.
 
@@ -232,17 +252,15 @@ def encode_documents(
     words = frequent_words(source, pat, sample_rows, cache_words)
     encode = encoder(path, pat)
     cached = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    cached_ids = spark.sparkContext.broadcast([list(encode(w)) for w in words])
-    pack, schema = _pack(pat, cached, block_chars)
-    packed = materialize(source.mapInArrow(pack, schema))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = packed.where("body is null").select("hash", "word", "block", "slot").repartition(n, "hash").sortWithinPartitions("hash", "word")
+    pack, schema = _pack(pat, cached, block_chars)
+    # One exchange serves both uses of the blocks.
+    packed = source.mapInArrow(pack, schema).repartition(n, "block")
+    asked = packed.mapInArrow(_ask, "word string, block long, slot int").repartition(n, "word").sortWithinPartitions("word")
     fill, schema = _encode_words(path, pat)
-    answers = asked.mapInArrow(fill, schema).select("block", "slot", F.lit(None).cast("binary").alias("body"), "ids")
-    bodies = packed.where("body is not null").select("block", "slot", "body", F.lit(None).cast("binary").alias("ids"))
-    gather, schema = _assemble(path, cached_ids)
-    whole = bodies.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", "slot")
-    done = whole.mapInArrow(gather, schema)
+    answers = asked.mapInArrow(fill, schema)
+    gather, schema = _assemble(path, _Held(spark, [list(encode(w)) for w in words]))
+    done = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(gather, schema)
     return done.select(public_id("did").alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
