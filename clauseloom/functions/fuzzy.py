@@ -6,6 +6,7 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _lcs(a: str, b: str) -> int:
@@ -65,7 +66,7 @@ def blend(a: str, b: str) -> float:
 
 
 def _column(ratio):
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

@@ -63,7 +63,10 @@ def agencies(s: Column) -> Column:
 
 def metrics(s: Column) -> Column:
     """Measurable outcomes as kind:text."""
-    return F.concat(*[F.transform(F.regexp_extract_all(s, F.lit("(?i)" + p), F.lit(g)), lambda m, k=kind: F.concat(F.lit(k + ":"), m)) for p, g, kind in METRIC_PATTERNS])
+    def tagged(kind: str):
+        return lambda m: F.concat(F.lit(kind + ":"), m)
+
+    return F.concat(*[F.transform(F.regexp_extract_all(s, F.lit("(?i)" + p), F.lit(g)), tagged(kind)) for p, g, kind in METRIC_PATTERNS])
 
 
 def deadline(s: Column) -> Column:

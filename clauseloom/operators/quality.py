@@ -105,7 +105,7 @@ def exception_report(alignments: DataFrame, components: DataFrame, score: str =
     same = alignments.where(X.same_source(F.col("enabling_source"), F.col("dependent_source"))).select(F.lit("same_source").alias("kind"), ident)
     high = alignments.where((F.col(score) >= 0.7) & (F.col(bucket) != "Confirmed")).select(F.lit("high_score_not_confirmed").alias("kind"), ident)
     used = alignments.select(F.col("enabling_component_id").alias("component_id")).unionByName(alignments.select(F.col("dependent_component_id").alias("component_id")))
-    orphan = components.join(used, "component_id", "left_anti").select(F.lit("orphan").alias("kind"), F.col("component_id").alias("id"))
+    orphan = components.join(used, "component_id", "left_anti").select(F.lit("orphan").alias("kind"), F.col("component_id").cast("string").alias("id"))
     return same.unionByName(high).unionByName(orphan)
 
 
