@@ -7,10 +7,12 @@ committed once. Its line separator is the byte 0, which is the last byte of ever
 16 MB of data; longer ones are followed by an empty member.
 
 Reading: the text source cuts the byte range of each task at the gzip magic 1f 8b 08. Its rule that a
-piece belongs to the range in which it begins makes a task own the records that start inside. A piece is a
-member if its header and the first decoded bytes are those of a WARC record; other pieces are the rest of
-the member before, whose data happened to hold the magic. Members cut by the end of a range are joined
-with the pieces that open the next ranges. Archives must not be named .gz, which Hadoop would not split.
+piece belongs to the range in which it begins makes a task own the records that start inside. The first piece
+of a range that is a member by its header and its first decoded bytes, those of a WARC record, is where the task
+begins; from there on members follow each other, and a piece that ends before its member does goes on in the
+next, as the data happened to hold the magic. Members cut by the end of a range are joined with the pieces
+that open the next ranges. (A range that begins inside a payload which is itself an uncompressed archive can take a
+inner record for its first; the member around it is then found cut, which is an error.) Archives must not be named .gz, which Hadoop would not split.
 """
 
 from __future__ import annotations
@@ -99,21 +101,22 @@ def parse(data: bytes) -> dict | None:
 
 
 def starts_record(piece: bytes) -> bool:
-    """Whether the bytes after a magic begin a gzip member that holds a WARC record (or nothing)."""
+    """Whether the bytes after a magic begin a gzip member that holds a WARC record, or one that is whole and empty."""
+    z = zlib.decompressobj(31)
     try:
-        first = zlib.decompressobj(31).decompress(_MAGIC + piece, 16)
+        first = z.decompress(_MAGIC + piece, 16)
     except zlib.error:
         return False
-    return first.startswith(b"WARC/") or (not first and len(piece) <= 64)
+    return first.startswith(b"WARC/") or (not first and z.eof)
 
 
 def inflate(piece: bytes) -> bytes | None:
-    """The data of a whole member, None if it is cut."""
+    """The data of a whole member, None if it is cut. A damaged one is an error."""
     z = zlib.decompressobj(31)
     try:
         data = z.decompress(_MAGIC + piece)
-    except zlib.error:
-        return None
+    except zlib.error as e:
+        raise ValueError("a member is damaged") from e
     return data if z.eof else None
 
 
@@ -170,15 +173,11 @@ def _scan(keep: bool):
                 if at == 0 and seq == 1 and not piece:
                     continue  # what stands before the first magic
                 if open_piece is not None:
-                    if starts_record(piece):
-                        close()
-                        open_piece = take(piece)
-                    else:
-                        open_piece = take(open_piece + _MAGIC + piece)
-                elif starts_record(piece):
+                    open_piece = take(open_piece + _MAGIC + piece)
+                elif began or starts_record(piece):
                     began = True
                     open_piece = take(piece)
-                elif not began:
+                else:
                     rows.append((2, *where, seq, piece, *[None] * len(_FIELDS)))
             if len(rows) > 500:
                 cols = list(zip(*rows, strict=True))
@@ -198,7 +197,7 @@ def _stitch(keep: bool):
             for parts in b["parts"].to_pylist():
                 data = inflate(_MAGIC.join(p["piece"] for p in sorted(parts, key=lambda p: (p["at"], p["seq"]))))
                 if data is None:
-                    raise ValueError("a member is cut or damaged")
+                    raise ValueError("a member is cut")
                 if got := _fields(data, keep):
                     rows.append(got)
             cols = list(zip(*rows, strict=True)) or [[]] * len(_FIELDS)
