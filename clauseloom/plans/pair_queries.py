@@ -42,13 +42,13 @@ def _(t):
 WITH {_tfidf_sql('d', 'documents', 'doc_id')},
 p AS (SELECT a.k AS a, b.k AS b, sum(a.w * b.w) AS s FROM d_w a JOIN d_w b ON a.term = b.term AND a.k < b.k GROUP BY ALL HAVING sum(a.w * b.w) >= 0.6),
 q AS (SELECT p.*, row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) AS rank FROM p JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE x.source <> y.source)
-SELECT a, b, round(s, 6) AS score, CASE WHEN s >= 0.8 THEN 'High' ELSE 'Medium' END AS bucket, rank FROM q WHERE rank <= 3""")
+SELECT a, b, round(s, 4) AS score, CASE WHEN s >= 0.8 THEN 'High' ELSE 'Medium' END AS bucket, rank FROM q WHERE rank <= 3""")
 def j04(t):
     """The flagship: TF-IDF cosine join of documents of different sources, bucketed, three best partners each."""
     src = t.documents.select("doc_id", "source")
     pairs = J.cosine_join(_weights(t), 0.6).withColumn("score", F.round("score", 9))
     pairs = pairs.join(src.select(F.col("doc_id").alias("a"), F.col("source").alias("sa")), "a").join(src.select(F.col("doc_id").alias("b"), F.col("source").alias("sb")), "b").where("sa != sb")
-    return J.top_k(pairs, 3).select("a", "b", F.round("score", 6).alias("score"), S.confidence_bucket(F.col("score")).alias("bucket"), "rank")
+    return J.top_k(pairs, 3).select("a", "b", F.round("score", 4).alias("score"), S.confidence_bucket(F.col("score")).alias("bucket"), "rank")
 
 
 _BOTH = f"""
