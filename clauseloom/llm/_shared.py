@@ -56,6 +56,17 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def slices(texts: pa.Array, limit: int = 1 << 20):
+    """(start, length) of runs of rows with about limit bytes of text or a single longer row, at most 1000 rows."""
+    ends = text_bytes(texts)[1]
+    at, n = 0, len(ends) - 1
+    while at < n:
+        to = int(np.searchsorted(ends, ends[at] + limit, "right")) - 1
+        to = min(max(to, at + 1), at + 1000, n)
+        yield at, to - at
+        at = to
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (wraps on overflow)."""
     x = (x ^ (x >> U64(33))) * U64(0xFF51AFD7ED558CCD)

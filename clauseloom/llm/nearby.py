@@ -11,8 +11,8 @@ Rows of a key are streamed in key order from range partitions, so a frequent key
 give their pairs, kept apart by a 2-bit sketch of 32 positions and by the sizes of the sets; long runs
 give one star, and their rows are kept. Pairs are confirmed on the full sets, components are found by
 alternating large-star and small-star steps, and then the kept rows of keys that still hold several
-components are taken up again: rounds of stars around changing centres, and at last every pair across
-components. So no pair inside a component is ever needed, and no link between components is lost.
+components are taken up again: what is outside a key's largest component is held, in blocks of sets, against
+all of the key's rows. So no pair inside a component is ever needed, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import U64, batch, materialize, mix, public_id, row_id, shingle_sets
+from ._shared import U64, batch, materialize, mix, public_id, row_id, shingle_sets, slices
 
 K, M = 64, 12
 #: Runs of up to so many rows give all their pairs.
 SHORT = 12
+#: So many sets, about, are held at once against other rows of their keys.
+BLOCK = 4096
 #: Sets of fewer shingles than this can only be near when they are equal, at a similarity of 0.8.
 _rng = np.random.default_rng(41)
 _MUL = _rng.integers(1, 2**63, K, dtype=np.uint64) * U64(2) + U64(1)
@@ -54,7 +56,7 @@ def _sets(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+            for b in (whole.slice(*at) for at in slices(whole["text"])):
                 sh, off = shingle_sets(b["text"], width)
                 sums = []
                 for c in (0xA24BAED4963EE407, 0x9FB21C651E98DF25):
@@ -171,7 +173,7 @@ def _set_bytes(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+            for b in (whole.slice(*at) for at in slices(whole["text"])):
                 sh, off = shingle_sets(b["text"], width)
                 yield batch(out, did=b["did"], body=[sh[i:j].tobytes() for i, j in zip(off[:-1], off[1:], strict=True)])
 
@@ -293,26 +295,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = components(confirmed(pairs))
     # A row of a key that two tasks share is counted once.
     long_rows = materialize(long_rows.distinct())
-    turn, idle = 0, False
-    while True:
-        placed = long_rows.join(classes.withColumnRenamed("id", "did"), "did", "left").withColumn("component", F.coalesce("component", "did"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-        placed = materialize(placed.join(mixed, "key", "left_semi"))
-        if placed.isEmpty():
-            break
-        if not idle:
-            centre = placed.groupBy("key").agg(F.min_by(F.struct("did", "n", "sketch", "component"), F.xxhash64("did", F.lit(turn))).alias("c"))
-            other = placed.join(centre, "key").select("did", "n", "sketch", "component", F.col("c.did").alias("d2"), F.col("c.n").alias("n2"), F.col("c.sketch").alias("s2"), F.col("c.component").alias("c2"))
-            fresh = other.where("component != c2").where(_sql_alike(percent, most)).select(F.least("did", "d2").alias("a"), F.greatest("did", "d2").alias("b")).distinct()
-            more = confirmed(fresh)
-        else:
-            more = _across(placed, bodies, percent, n_out)
-        grew = not more.isEmpty()
-        if grew:
-            classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-        if idle:
-            break
-        idle, turn = not grew, turn + 1
+    placed = long_rows.join(classes.withColumnRenamed("id", "did"), "did", "left").withColumn("component", F.coalesce("component", "did"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    placed = materialize(placed.join(mixed, "key", "left_semi"))
+    if not placed.isEmpty():
+        more = _across(placed, bodies, percent, most, n_out)
+        classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     reps = nodes.select("s1", "s2", F.col("n"), "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     out = sets.select("did", "n", "s1", "s2").join(reps, ["s1", "s2", "n"], "left").select("did", "n", F.coalesce("component", "did").alias("component"))
     return out.select(public_id("did").alias(id_col), F.col("n").alias("n_shingles"), public_id("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"))
@@ -324,18 +312,75 @@ def _repeats(sets: DataFrame) -> bool:
     return not one.where("lo != hi").isEmpty()
 
 
-def _across(placed: DataFrame, bodies: DataFrame, percent: int, n_out: int) -> DataFrame:
-    """All links between components that share a key: the rows outside a key's largest component, in blocks, against the key's rows.
+def _live(percent: int, most: int):
+    """Streams rows ordered by cell (key, i, j). Gives the rows that sizes and sketches let be near a row of another component."""
+    out = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("component", pa.int64())])
+    names = ("key", "i", "j", "grp", "did", "n", "sketch", "component")
+
+    def live(a: dict) -> np.ndarray:
+        """A cell's flags, some rows at a time against all."""
+        z = len(a["key"])
+        found = np.zeros(z, bool)
+        left = np.flatnonzero(a["grp"] == a["i"])
+        right = np.flatnonzero(a["grp"] == a["j"])
+        for at in range(0, len(left), 256):
+            x = np.repeat(left[at : at + 256], len(right))
+            y = np.tile(right, len(left[at : at + 256]))
+            ok = (a["component"][x] != a["component"][y]) & _alike(a["n"][x], a["n"][y], a["sketch"][x], a["sketch"][y], percent, most)
+            found[x[ok]] = True
+            found[y[ok]] = True
+        return found
 
-    No pairs are listed: each row meets a block of about 256 sets at once.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in (*batches, None):
+            if b is not None:
+                a = {c: b[c].to_numpy() for c in names}
+                rest = a if rest is None else {c: np.concatenate((rest[c], a[c])) for c in names}
+            if rest is None or not len(rest["key"]):
+                continue
+            new = np.ones(len(rest["key"]), bool)
+            new[1:] = (rest["key"][1:] != rest["key"][:-1]) | (rest["i"][1:] != rest["i"][:-1]) | (rest["j"][1:] != rest["j"][:-1])
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(new))
+            if b is not None:  # the last cell may go on
+                starts, ends = starts[:-1], ends[:-1]
+            keep = np.zeros(len(new), bool)
+            for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+                keep[lo:hi] = live({c: v[lo:hi] for c, v in rest.items()})
+            yield batch(out, key=rest["key"][keep], did=rest["did"][keep], component=rest["component"][keep])
+            cut = ends[-1] if len(ends) else 0
+            rest = {c: v[cut:] for c, v in rest.items()}
+
+    return run, "key long, did long, component long"
+
+
+def _across(placed: DataFrame, bodies: DataFrame, percent: int, most: int, n_out: int) -> DataFrame:
+    """All links between components that share a key.
+
+    Rows of a key first meet in cells of at most about 2,000 rows, where sizes and sketches leave only those that may be
+    near a row of another component. Of these the rows outside a key's largest component, in blocks, are then held
+    against the key's rows: each row meets a block of about BLOCK sets at once, and no pairs are listed.
     """
-    main = placed.groupBy("key", "component").agg(F.count("*").alias("z")).groupBy("key").agg(F.max_by("component", F.struct("z", "component")).alias("main"))
-    rest = materialize(placed.join(main, "key").where("component != main").select("key", "did"))
-    blocks = max(1, rest.select("did").distinct().count() // 256)
+    size = placed.groupBy(F.col("key").alias("sized")).agg(F.count("*").alias("z"))
+    g = F.ceil(F.col("z") / 2000).cast("int")
+    grp = F.pmod(F.xxhash64("did", F.lit(-2)), F.col("g")).cast("int")
+    every = F.sequence(F.lit(0), F.col("g") - 1)
+    row = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    cells = F.array_distinct(F.concat(F.transform(every, lambda k: row(F.col("grp"), k)), F.transform(every, lambda k: row(k, F.col("grp")))))
+    dealt = placed.join(size, F.col("key") == F.col("sized")).withColumn("g", g).withColumn("grp", grp).select("key", "grp", "did", "n", "sketch", "component", F.explode(cells).alias("c"))
+    dealt = dealt.select("key", "c.i", "c.j", "grp", "did", "n", "sketch", "component")
+    flag, schema = _live(percent, most)
+    live = materialize(dealt.repartition(n_out, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(flag, schema).distinct())
+    main = live.groupBy("key", "component").agg(F.count("*").alias("z")).groupBy(F.col("key").alias("of")).agg(F.max_by("component", F.struct("z", "component")).alias("main"))
+    rest = materialize(live.join(main, F.col("key") == F.col("of")).where("component != main").select("key", "did"))
+    blocks = max(1, rest.select("did").distinct().count() // BLOCK)
+    # Rows that share their least key come to one block, as far as its size allows.
+    home = rest.groupBy("did").agg(F.min("key").alias("home"))
+    block = F.pmod(F.xxhash64(F.when(F.lit(blocks) > 1, F.col("home"))), F.lit(blocks)).alias("block")
+    rest = rest.join(home, "did").select("key", "did", block)
     salts = max(1, n_out // blocks)
-    block = F.pmod(F.xxhash64("did", F.lit(-1)), F.lit(blocks)).alias("block")
-    rest = rest.select("key", "did", block)
-    members = placed.select("key", "did").join(rest.select("key", "block").distinct(), "key").select("block", "did").distinct()
+    members = live.select("key", "did").join(rest.select("key", "block").distinct(), "key").select("block", "did").distinct()
     members = members.select("block", F.pmod(F.xxhash64("did"), F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), "did")
     held = rest.select("block", "did").distinct().select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(0).alias("kind"), "did")
     rows = held.unionByName(members).join(bodies, "did").select("block", "salt", "kind", "did", "body")
@@ -343,11 +388,5 @@ def _across(placed: DataFrame, bodies: DataFrame, percent: int, n_out: int) -> D
     return materialize(rows.repartition(n_out, "block", "salt").sortWithinPartitions("block", "salt", "kind").mapInArrow(check, schema).distinct())
 
 
-def _sql_alike(percent: int, most: int):
-    x = F.col("sketch").bitwiseXOR(F.col("s2"))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555))
-    return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (F.bit_count(x) <= most)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2, percent=80)
