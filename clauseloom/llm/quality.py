@@ -10,14 +10,14 @@ chosen by the hash of their ids; scoring reads every document whole, in one pass
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import prefix_sums, range_hash, shingle_sets, text_bytes, word_spans
+from ._shared import batch, prefix_sums, range_hash, shingle_sets, slices, text_bytes, word_spans
 
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"%&$*#", b"|", b".,;:?", b"<>{}[]()/\\=_~^", bytes(range(128, 256)), b"\n", b"\t "]
 _CLASS_OF = np.zeros(256, np.int64)
@@ -176,15 +176,18 @@ class CoTrained:
         return self.combine(logits), *(_sigmoid(a * s + b) for s, (a, b) in zip(logits, self.scales, strict=True))
 
 
-def _batched_features(text, lang, source, n_chars):
-    texts = pa.array(text, pa.string(), from_pandas=True)
-    feats = np.vstack([text_features(texts.slice(i, 1000)) for i in range(0, max(1, len(texts)), 1000)])
-    return feats, meta_features([None if v is None or v != v else v for v in lang], [None if v is None or v != v else v for v in source], list(n_chars))
+def _both_views(b: pa.RecordBatch) -> np.ndarray:
+    """The features of both views side by side, made for about a megabyte of text at a time."""
+    parts = [text_features(b["_cl_text"].slice(*at)) for at in slices(b["_cl_text"])]
+    text = np.vstack(parts) if parts else np.zeros((0, N_TEXT))
+    return np.hstack((text, meta_features(*(b[c].to_pylist() for c in ("_cl_lang", "_cl_source", "_cl_chars")))))
 
 
-def _view_columns(docs: DataFrame):
+def _with_views(docs: DataFrame) -> DataFrame:
+    """docs with the columns that the views read under names of their own; missing ones are null."""
     types = dict(docs.dtypes)
-    return [F.col(c).cast(t) if c in types else F.lit(None).cast(t) for c, t in (("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "double"))]
+    want = {"_cl_text": ("text", "string"), "_cl_lang": ("lang", "string"), "_cl_source": ("source", "string"), "_cl_chars": ("n_chars", "double")}
+    return docs.withColumns({n: F.col(c).cast(t) if c in types else F.lit(None).cast(t) for n, (c, t) in want.items()})
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_pool: int = 10_000, rounds: int = 3, share: float = 0.05, keep: float = 0.995) -> CoTrained | None:
@@ -201,13 +204,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_pool:
         return None
     chosen["quality"] = chosen["quality"].fillna(-1).astype(int)
     picked = spark.createDataFrame(list(zip(chosen["doc_id"].astype(int).tolist(), chosen["quality"].tolist(), strict=True)), "_cl_doc long, _cl_y int")
-    text, lang, source, n_chars = _view_columns(docs)
+    out = pa.schema([("doc", pa.int64()), ("_cl_y", pa.int32()), ("f", pa.list_(pa.float64()))])
 
-    @F.pandas_udf("array<double>")
-    def features(t: pd.Series, l: pd.Series, s: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(list(np.hstack(_batched_features(t, l, s, n))))
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield batch(out, doc=b["_cl_doc"], _cl_y=b["_cl_y"], f=list(_both_views(b)))
 
-    rows = docs.join(F.broadcast(picked), docs["doc_id"] == picked["_cl_doc"]).select("_cl_doc", "_cl_y", features(text, lang, source, n_chars).alias("f")).dropDuplicates(["_cl_doc"]).orderBy("_cl_doc").toPandas()
+    joined = _with_views(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("_cl_doc")).select("_cl_doc", "_cl_y", "_cl_text", "_cl_lang", "_cl_source", "_cl_chars")
+    rows = joined.mapInArrow(features, "doc long, _cl_y int, f array<double>").dropDuplicates(["doc"]).orderBy("doc").toPandas()
     y = rows["_cl_y"].to_numpy()
     if min((y == 0).sum(), (y == 1).sum()) < 10:
         return None
@@ -218,34 +222,45 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_pool:
     return CoTrained(x[lab][:, :N_TEXT], x[lab][:, N_TEXT:], y[lab], x[~lab][:, :N_TEXT], x[~lab][:, N_TEXT:], rounds, share, keep)
 
 
-def score_columns(docs: DataFrame, model: CoTrained | None):
-    """A struct (score, text_score, meta_score, kept); without a model every document is kept, with null scores."""
-    text, lang, source, n_chars = _view_columns(docs)
-    if model is None:
-        return F.struct(*[F.lit(None).cast("double").alias(c) for c in ("score", "text_score", "meta_score")], F.lit(True).alias("kept"))
-
-    @F.pandas_udf("score double, text_score double, meta_score double, kept boolean")
-    def score(t: pd.Series, l: pd.Series, s: pd.Series, n: pd.Series) -> pd.DataFrame:
-        both, one, two = model.scores(*_batched_features(t, l, s, n))
-        return pd.DataFrame({"score": both, "text_score": one, "meta_score": two, "kept": both >= model.threshold})
-
-    return score(text, lang, source, n_chars)
+_SCORES = "score double, text_score double, meta_score double, kept boolean"
 
 
 def classify(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """(doc_id, score, text_score, meta_score, kept) for every row of docs.
 
     A null text counts as empty; missing or null metadata has a place of its own; repeated rows give a row each; extra
-    columns are not read. With too few labels of a class every document is kept.
+    columns are not read. With too few labels of a class every document is kept, with null scores.
     """
     model = fit(docs, labels, **params)
-    return docs.select("doc_id", score_columns(docs, model).alias("s")).select("doc_id", "s.*")
+    if model is None:
+        return docs.select("doc_id", *[F.lit(None).cast("double").alias(c) for c in ("score", "text_score", "meta_score")], F.lit(True).alias("kept"))
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _both_views(b)
+            both, one, two = model.scores(x[:, :N_TEXT], x[:, N_TEXT:])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(both), pa.array(one), pa.array(two), pa.array(both >= model.threshold)], ["doc_id", "score", "text_score", "meta_score", "kept"])
+
+    rows = _with_views(docs).select("doc_id", "_cl_text", "_cl_lang", "_cl_source", "_cl_chars")
+    return rows.mapInArrow(score, f"doc_id {kind}, {_SCORES}")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The rows of docs that the classifier keeps."""
     model = fit(docs, labels, **params)
-    return docs.withColumn("_cl_s", score_columns(docs, model)).where("_cl_s.kept").select(*docs.columns)
+    if model is None:
+        return docs
+
+    columns = docs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _both_views(b)
+            good = model.scores(x[:, :N_TEXT], x[:, N_TEXT:])[0] >= model.threshold
+            yield b.select(columns).filter(pa.array(good))
+
+    return _with_views(docs).mapInArrow(keep, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
