@@ -379,8 +379,9 @@ def _across(placed: DataFrame, bodies: DataFrame, percent: int, most: int, n_out
     home = rest.groupBy("did").agg(F.min("key").alias("home"))
     block = F.pmod(F.xxhash64(F.when(F.lit(blocks) > 1, F.col("home"))), F.lit(blocks)).alias("block")
     rest = rest.join(home, "did").select("key", "did", block)
-    salts = max(1, n_out // blocks)
-    members = live.select("key", "did").join(rest.select("key", "block").distinct(), "key").select("block", "did").distinct()
+    members = materialize(live.select("key", "did").join(rest.select("key", "block").distinct(), "key").select("block", "did").distinct())
+    # A block is copied to several tasks only as far as its copies stay fewer than the rows that meet it.
+    salts = max(1, min(n_out // blocks, 2 * members.count() // max(1, rest.select("did").distinct().count())))
     members = members.select("block", F.pmod(F.xxhash64("did"), F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), "did")
     held = rest.select("block", "did").distinct().select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(0).alias("kind"), "did")
     rows = held.unionByName(members).join(bodies, "did").select("block", "salt", "kind", "did", "body")
