@@ -190,7 +190,7 @@ def _with_views(docs: DataFrame) -> DataFrame:
     return docs.withColumns({n: F.col(c).cast(t) if c in types else F.lit(None).cast(t) for n, (c, t) in want.items()})
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_pool: int = 10_000, rounds: int = 3, share: float = 0.05, keep: float = 0.995) -> CoTrained | None:
+def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 8_000, max_pool: int = 4_000, rounds: int = 3, share: float = 0.05, keep: float = 0.995) -> CoTrained | None:
     """Fits on labels (doc_id, quality 0 or 1); a document with several labels has the lower. None if a class has fewer than ten.
 
     max_labels and max_pool bound what fitting reads; the rows are those with the least hashes of their ids.
