@@ -19,6 +19,8 @@ from ._shared import batch, public_id, row_id, worker_cache
 
 #: Words are runs of letters, digits and marks; any other visible character is a word of its own.
 WORDS = re.compile(r"\w+|[^\w\s]")
+#: Longer words are counted each time; the cache of a task does not hold them.
+CACHED = 100
 
 
 def vocabulary(path: str) -> tuple[set[str], set[str]]:
@@ -92,7 +94,7 @@ class Automaton:
         return n
 
 
-def _counts(path: str, longest: int, cache_words: int):
+def _counts(path: str, cache_words: int):
     out = pa.schema([("did", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_unknown", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +106,12 @@ def _counts(path: str, longest: int, cache_words: int):
 
         def tokens(word: str) -> int:
             """Unknown words count one token and 1 << 32 besides."""
-            n = count(word) if len(word) <= longest else None
+            n = count(word)
             n = 1 + (1 << 32) if n is None else n
-            if len(known) >= cache_words:
-                known.clear()
-            known[word] = n
+            if len(word) <= CACHED:
+                if len(known) >= cache_words:
+                    known.clear()
+                known[word] = n
             return n
 
         for b in batches:
@@ -125,15 +128,15 @@ def _counts(path: str, longest: int, cache_words: int):
     return run, "did long, n_words long, n_tokens long, n_unknown long"
 
 
-def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, longest: int = 100, cache_words: int = 300_000) -> DataFrame:
+def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, cache_words: int = 300_000) -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown) for every row of docs, in one pass without a shuffle.
 
-    A word that cannot be cut in pieces, or has more than longest characters, is one unknown token. A null or
+    A word of any length is cut; one that cannot be is one unknown token. A null or
     empty text has none. Repeated rows give a row each; other columns are not read.
     """
     from .bpe import vocabulary_path
 
-    run, schema = _counts(path or vocabulary_path(), longest, cache_words)
+    run, schema = _counts(path or vocabulary_path(), cache_words)
     rows = docs.select(row_id(id_col).alias("did"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
     return rows.withColumn("did", public_id("did")).withColumnRenamed("did", id_col)
 

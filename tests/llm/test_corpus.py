@@ -186,6 +186,13 @@ def test_word_pieces(docs, empty):
     got = wordpiece.count_tokens(docs).collect()
     assert len(got) == len(ROWS) and wordpiece.count_tokens(empty).count() == 0
     assert {r.n_words for r in got if r.doc_id == 8} == {30_000}
+    long = ["0123456789abcdef" * 20, "日本語" * 50, "identifier_" * 40]
+    texts = [(i, f"{w} {w}") for i, w in enumerate(long)]
+    counted = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in wordpiece.count_tokens(table(docs.sparkSession, texts)).collect()}
+    for i, w in enumerate(long):
+        n = greedy(w)
+        assert counted[i] == ((2, 2, 2) if n is None else (2, 2 * n, 0))
+    assert greedy(long[0]) > 100
 
 
 def test_decontamination(docs, empty, spark):
