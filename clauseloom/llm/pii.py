@@ -5,6 +5,9 @@ same case and script, digits by digits, separators stay; card numbers keep their
 their octet range, names the gender that the title shows. An entity is known by its canonical form
 (digits of numbers, lower case of addresses and names), so it has one surrogate everywhere, in any format. Distinct
 entities of a type whose surrogates meet, or meet a real entity, take further attempts until all differ.
+
+A person is found by a title. Within a document the titled name's later forms, with or without a title, with a first
+name, an initial or the surname alone, are the same entity as its fullest form, and show that form's surrogate.
 """
 
 from __future__ import annotations
@@ -23,6 +26,14 @@ GIVEN = {
     ("m", "cyrillic"): "Адам Борис Виктор Глеб Денис Егор Захар Иван Кирилл Лев Максим Никита Олег Павел Роман Степан".split(),
     ("f", "cyrillic"): "Анна Белла Вера Галина Дарья Елена Жанна Зоя Ирина Клара Лидия Мария Нина Ольга Полина Раиса".split(),
 }
+_TITLE = rf"(?:{_MALE}|{_FEMALE})\.? "
+_PARTICLES = "van von der den de del della di da du dos la le bin al ter zu".split()
+_LEAD = rf"(?:(?:{'|'.join(_PARTICLES)}) )*"
+#: A capitalised word without a possessive ending, or initials.
+_REST = r"(?:['’-](?!s(?!\p{L}))[\p{L}\p{M}]+)"
+_WORD = rf"(?:\p{{Lu}}[\p{{L}}\p{{M}}]+{_REST}*|\p{{Lu}}{_REST}+|(?:\p{{Lu}}\.)+|\p{{Lu}}(?= \p{{Lu}}))"
+#: What does not go on a name: the title of the next one and a generation.
+_STOP = rf"(?!{_TITLE}|(?:Jr|Sr|II|III|IV)(?!\p{{L}}))"
 #: Type and pattern, in the order in which a match is told apart.
 TYPES = {
     "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -31,27 +42,79 @@ TYPES = {
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "name": rf"(?<![\p{{L}}])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "name": rf"(?<![\p{{L}}]){_TITLE}{_LEAD}{_WORD}(?: {_STOP}{_LEAD}{_WORD})*",
 }
 _ANY = "|".join(f"(?:{p})" for p in TYPES.values())
 
 
 def _kind(m: Column) -> Column:
     """The type of a match, by its pattern over the whole string."""
-    return F.coalesce(*[F.when(m.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in TYPES.items()], F.lit("phone"))
+    return F.coalesce(*[F.when(m.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in TYPES.items()], F.when(m.rlike(r"^\p{Lu}[^0-9@]*$"), F.lit("name")), F.lit("phone"))
 
 
 def _title(m: Column) -> Column:
-    return F.regexp_extract(m, rf"^((?:{_MALE}|{_FEMALE})\.? )", 1)
+    return F.regexp_extract(m, rf"^({_TITLE})", 1)
+
+
+def _bare(m: Column) -> Column:
+    """A name without its title, initials apart."""
+    return F.regexp_replace(F.regexp_replace(m, rf"^{_TITLE}", ""), r"\.(?=\p{L})", ". ")
 
 
 def canonical(kind: Column, m: Column) -> Column:
+    """What a match is known by; a name without a title has ? for its gender."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    name = F.lower(F.regexp_replace(m, rf"^(?:{_MALE}|{_FEMALE})\.? ", ""))
-    gender = F.when(_title(m).rlike(rf"^(?:{_MALE})\.? $"), "m").otherwise("f")
+    name = F.lower(F.regexp_replace(_bare(m), r"\.", ""))
+    gender = F.when(_title(m) == "", "?").when(_title(m).rlike(rf"^(?:{_MALE})\.? $"), "m").otherwise("f")
     return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind == "name", F.concat_ws(":", gender, name)).otherwise(F.lower(m))
 
 
+def _people(text: Column) -> Column:
+    """The distinct titled names of a text, as they stand there."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(TYPES["name"]), F.lit(0)))
+    return F.when(text.rlike(TYPES["name"]), found).otherwise(F.array().cast("array<string>"))
+
+
+def _pattern(people: Column) -> Column:
+    """_ANY, and after it the names of people without a title: whole, first and last word, last word."""
+    word = r"(?:[\p{L}\p{M}'’-]{2,})"
+
+    def forms(m: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(m, rf"^{_TITLE}", ""), rf"^{_LEAD}", "")
+        last = F.regexp_extract(bare, rf"({word})$", 1)
+        ends = F.concat_ws(" ", F.regexp_extract(bare, r"^([^ ]+) ", 1), last)
+        return F.when(last == "", F.array().cast("array<string>")).otherwise(F.array(bare, F.trim(ends), last))
+
+    each = F.flatten(F.transform(people, forms))
+    each = F.array_distinct(F.flatten(F.transform(each, lambda x: F.array(x, F.upper(x), F.initcap(x)))))
+    each = F.array_sort(each, lambda a, b: F.char_length(b) - F.char_length(a))
+    names = F.array_join(F.transform(each, lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))), "|")
+    bounded = F.concat(F.lit(_ANY + r"|(?<![\p{L}\p{M}\p{N}_])(?=\p{Lu})(?:"), names, F.lit(r")(?![\p{L}\p{M}\p{N}_@])"))
+    return F.when(F.size(each) > 0, bounded).otherwise(F.lit(_ANY))
+
+
+def _may_be_same(a: Column, b: Column) -> Column:
+    """Whether two canonical names can be one person: the last word, and first words as far as both have them."""
+    x, y = F.split(F.substr(a, F.lit(3), F.char_length(a)), " "), F.split(F.substr(b, F.lit(3), F.char_length(b)), " ")
+    sex, other = F.substr(a, F.lit(1), F.lit(1)), F.substr(b, F.lit(1), F.lit(1))
+    initial = ((F.char_length(x[0]) == 1) | (F.char_length(y[0]) == 1)) & (F.substr(x[0], F.lit(1), F.lit(1)) == F.substr(y[0], F.lit(1), F.lit(1)))
+    first = (F.size(x) == 1) | (F.size(y) == 1) | (x[0] == y[0]) | initial | x[0].isin(_PARTICLES) | y[0].isin(_PARTICLES)
+    return ((sex == other) | (sex == "?") | (other == "?")) & (F.element_at(x, -1) == F.element_at(y, -1)) & first
+
+
+def _linked(canon: Column, people: Column) -> Column:
+    """The fullest of the canonical people that a name can mean; a titled name that may mean several stays itself."""
+    order = lambda p: F.struct(F.size(F.split(p, " ")).alias("n"), F.char_length(p).alias("z"), p.alias("p"))
+    able = F.filter(people, lambda p: _may_be_same(canon, p))
+
+    def settle(able: Column) -> Column:
+        top = F.array_max(F.transform(able, order))["p"]
+        one = F.transform(F.array(top), lambda t: F.struct(t.alias("t"), F.forall(able, lambda p: _may_be_same(t, p)).alias("only")))[0]
+        return F.transform(F.array(one), lambda o: F.when(o["only"] | canon.startswith("?"), o["t"]).otherwise(canon))[0]
+
+    return F.coalesce(F.transform(F.array(able), settle)[0], canon)
+
+
 def _stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """128 keyed hexadecimal digits."""
     return F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), canon), 512)
@@ -101,18 +164,25 @@ def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     gender, name = F.substr(canon, F.lit(1), F.lit(1)), F.substr(canon, F.lit(3), F.char_length(canon))
     cyrillic = name.rlike(r"\p{IsCyrillic}")
 
-    def given(sex: str, script: str) -> Column:
+    def given(sex: str, script: str, i: Column) -> Column:
         names = F.array(*[F.lit(x.lower()) for x in GIVEN[sex, script]])
-        return F.get(names, F.pmod(_number(h, F.lit(1)), F.lit(len(GIVEN[sex, script]))))
+        return F.get(names, F.pmod(_number(h, i), F.lit(len(GIVEN[sex, script]))))
 
-    first = F.when(cyrillic, F.when(gender == "m", given("m", "cyrillic")).otherwise(given("f", "cyrillic"))).otherwise(F.when(gender == "m", given("m", "latin")).otherwise(given("f", "latin")))
+    def first(i: Column) -> Column:
+        return F.when(cyrillic, F.when(gender == "m", given("m", "cyrillic", i)).otherwise(given("f", "cyrillic", i))).otherwise(F.when(gender == "m", given("m", "latin", i)).otherwise(given("f", "latin", i)))
 
     def syllables(a: str, b: str) -> Column:
         part = lambda i: F.concat(F.substr(F.lit(a), F.pmod(_number(h, F.lit(i)), F.lit(len(a))) + 1, F.lit(1)), F.substr(F.lit(b), F.pmod(_number(h, F.lit(i + 1)), F.lit(len(b))) + 1, F.lit(1)))
         return F.concat(part(3), part(5), part(7), part(9))
 
     last = F.when(cyrillic, syllables("бвгдзклмнпрст", "аеиоу")).otherwise(syllables("bcdfgklmnprst", "aeiou"))
-    person = F.concat(gender, F.lit(":"), F.when(name.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last))
+    words = F.split(name, " ")
+
+    def word(w: Column, i: Column) -> Column:
+        at = F.when(i == 0, 1).otherwise(i + 10)
+        return F.when((i == F.size(words) - 1) & (F.char_length(w) > 1), last).when(F.char_length(w) == 1, _letters(w, _number(h, at))).when(w.isin(_PARTICLES), w).otherwise(first(at))
+
+    person = F.concat(gender, F.lit(":"), F.array_join(F.transform(words, word), " "))
     at = F.instr(canon, "@")
     mail = F.concat(F.substr(any_char, F.lit(1), at), F.regexp_replace(F.substr(any_char, at + 1, F.char_length(canon)), r"[^.]+$", ""), F.regexp_extract(canon, r"([^.]+)$", 1))
     return F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "name", person).when(kind == "email", mail).otherwise(number)
@@ -130,19 +200,38 @@ def shown(kind: Column, m: Column, new: Column) -> Column:
         return F.when(c != " ", F.substr(new, before, F.lit(1))).otherwise(c)
 
     same = _each(m, lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substr(new, i, F.lit(1)))).otherwise(F.substr(new, i, F.lit(1))))
-    bare = F.substr(new, F.lit(3), F.char_length(new))
-    upper = F.regexp_replace(m, rf"^(?:{_MALE}|{_FEMALE})\.? ", "").rlike(r"^\P{Ll}+$")
-    person = F.concat(_title(m), F.when(upper, F.upper(bare)).otherwise(F.initcap(bare)))
+    words, own = F.split(F.substr(new, F.lit(3), F.char_length(new)), " "), F.split(_bare(m), " ")
+
+    def word(w: Column, j: Column) -> Column:
+        last = F.element_at(words, -1)
+        x = F.when(j == F.size(own) - 1, last).otherwise(F.coalesce(F.get(words, F.least(j, F.size(words) - 2)), last))
+        short = F.upper(F.substr(x, F.lit(1), F.lit(1)))
+        return F.when(w.rlike(r"^\p{Lu}\.$"), F.concat(short, F.lit("."))).when(w.rlike(r"^\p{Lu}$"), short).when(w.rlike(r"^\P{Ll}+$"), F.upper(x)).when(w.rlike(r"^\p{Ll}"), x).otherwise(F.initcap(x))
+
+    person = F.concat(_title(m), F.array_join(F.transform(own, word), " "))
     return F.when(kind.isin("card", "ssn", "phone"), _each(m, digit)).when(kind == "iban", _each(m, not_space)).when(kind == "name", person).when(kind == "email", same).otherwise(new)
 
 
-def _entities(text: Column) -> Column:
-    """The matches in order, each as (kind, m, canon)."""
-    def one(m: Column) -> Column:
-        return F.transform(F.array(_kind(m)), lambda k: F.struct(k.alias("kind"), m.alias("m"), canonical(k, m).alias("canon")))[0]
+def _entities(text: Column, pattern: Column, people: Column) -> Column:
+    """The matches of pattern in order, each as (kind, m, canon)."""
+    known = F.transform(people, lambda m: canonical(F.lit("name"), m))
+
+    def one(m: Column, known: Column) -> Column:
+        def of(k: Column) -> Column:
+            own = F.transform(F.array(canonical(k, m)), lambda c: F.when(k == "name", _linked(c, known)).otherwise(c))[0]
+            return F.struct(k.alias("kind"), m.alias("m"), own.alias("canon"))
+
+        return F.transform(F.array(_kind(m)), of)[0]
 
     none = F.array().cast("array<struct<kind:string,m:string,canon:string>>")
-    return F.when(text.rlike(_ANY), F.transform(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), one)).otherwise(none)
+    found = F.transform(F.array(known), lambda n: F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda m: one(m, n)))[0]
+    return F.when((F.size(people) > 0) | text.rlike(_ANY), found).otherwise(none)
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    """rows (text, ...) with the pattern of their matches and the matches, in found."""
+    rows = rows.withColumn("people", _people(F.col("text"))).withColumn("pattern", _pattern(F.col("people")))
+    return rows.withColumn("found", _entities(F.col("text"), F.col("pattern"), F.col("people"))).drop("people")
 
 
 def attempts(entities: DataFrame, key: str) -> DataFrame:
@@ -172,23 +261,21 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     not read. An entity is replaced by the same surrogate wherever it stands under the same key.
     """
     text = F.col(text_col).cast("string")
-    rows = docs.select(row_id(id_col).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"), _entities(text).alias("found"))
-    seen = rows.where(F.size("found") > 0).select("did", "th", F.explode("found").alias("e")).select("did", "th", "e.kind", "e.canon")
+    rows = docs.select(row_id(id_col).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    seen = _found(rows).where(F.size("found") > 0).select("did", "th", F.explode("found").alias("e")).select("did", "th", "e.kind", "e.canon")
     seen = materialize(seen.distinct())
     moved = attempts(seen.select("kind", "canon").distinct(), key)
     placed = seen.join(moved, ["kind", "canon"]).groupBy("did", "th").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("moved"))
-    rows = rows.select("did", "th", "text")
     out = rows.join(placed, ["did", "th"], "left") if not placed.isEmpty() else rows.withColumn("moved", F.lit(None).cast("map<string,int>"))
-    # With the attempt at hand the surrogates follow from each match alone.
-    found = _entities(F.col("text"))
+    # With the attempt at hand the surrogates follow from the row alone.
 
     def replace(e: Column) -> Column:
         attempt = F.coalesce(F.element_at("moved", F.concat_ws("|", e["kind"], e["canon"])), F.lit(0))
         return F.transform(F.array(surrogate(key, e["kind"], e["canon"], attempt)), lambda n: shown(e["kind"], e["m"], n))[0]
 
-    gaps = F.split("text", _ANY, -1)
+    gaps = F.split("text", F.col("pattern"), -1)
     joined = F.array_join(F.zip_with(gaps, F.transform("found", replace), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
-    done = out.withColumn("found", found)
+    done = _found(out)
     return done.select(public_id("did").alias(id_col), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities"), F.when(F.size("found") > 0, joined).otherwise(F.col("text")).alias(text_col))
 
 

@@ -156,6 +156,23 @@ def test_pii(docs, empty, spark):
     assert pii.pseudonymize(empty, "k").count() == 0
 
 
+def test_names_within_a_document(spark):
+    rows = [
+        (1, "Mr. John Fitzgerald Kennedy came. Mr. Kennedy's talk; John Kennedy, J. and Kennedy spoke, Mr. J. Kennedy too."),
+        (2, "Mr. J. Smith and Mr. J. R. R. Tolkien met Herr Ludwig von der Berg and Mrs. Anna O'Brien Mrs. Smith"),
+        (3, "Mr. John Smith, Mr. Jack Smith, Mrs. Mary Smith. Mr. Smith saw Mrs. Smith. JACK SMITH left"),
+        (4, "John Kennedy without a title; Smithson"),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymize(table(spark, rows), "k").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) (\w+) came\. Mr\. (\w+)'s talk; (\w+) (\w+), J\. and (\w+) spoke, Mr\. (\w)\. (\w+) too\.", got[1].text)
+    assert m and len({m[3], m[4], m[6], m[7], m[9]}) == 1 and m[1] == m[5] and m[8] == m[1][0] and m[3] != "Kennedy"
+    assert not re.search("Smith|Tolkien|Ludwig|Berg|Anna|Brien", got[2].text) and got[2].n_entities == 5
+    assert re.fullmatch(r"Mr\. \w\. \w+ and Mr\. \w\. \w\. \w\. \w+ met Herr \w+ von der \w+ and Mrs\. \w+ \w+ Mrs\. \w+", got[2].text)
+    john, jack, mary, alone, she, again = re.fullmatch(r"Mr\. (\w+ \w+), Mr\. (\w+ \w+), Mrs\. (\w+ \w+)\. Mr\. (\w+) saw Mrs\. (\w+)\. (\w+ \w+) left", got[3].text).groups()
+    assert mary.split()[1] == she and again == jack.upper() and alone not in (john.split()[1], jack.split()[1])
+    assert got[4].text == rows[3][1] and got[4].n_entities == 0
+
+
 def test_surrogates_are_distinct(spark):
     e = spark.createDataFrame([("email", f"{chr(97 + i // 26)}{chr(97 + i % 26)}@a.com") for i in range(300)], "kind string, canon string")
     moved = {r.canon: r.attempt for r in pii.attempts(e, "k").collect()}
