@@ -105,7 +105,7 @@ class Matcher:
 
 
 def _scan(items, error_rate: float, short: int):
-    out = pa.schema([("did", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32())])
+    out = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = worker_cache()
@@ -113,11 +113,11 @@ def _scan(items, error_rate: float, short: int):
             kept["matcher"], kept["matcher_of"] = Matcher(items.value, error_rate, short), items.id
         find = kept["matcher"].find
         for b in batches:
-            rows = [(did, item, d) for did, text in zip(b["did"].to_pylist(), b["text"], strict=True) for item, d in find(text.as_py()).items()]
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
-            yield batch(out, did=cols[0], item_id=cols[1], distance=cols[2])
+            rows = [(did, th, item, d) for did, th, text in zip(b["did"].to_pylist(), b["th"].to_pylist(), b["text"], strict=True) for item, d in find(text.as_py()).items()]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield batch(out, did=cols[0], th=cols[1], item_id=cols[2], distance=cols[3])
 
-    return run, "did long, item_id long, distance int"
+    return run, "did long, th long, item_id long, distance int"
 
 
 class _Items:
@@ -141,8 +141,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     the documents. Documents without a match and null texts have no row; repeated ids and items give one row. Other
     columns are not read.
     """
+    found = _hits(docs, benchmark, id_col, text_col, error_rate, short, broadcast_chars)
+    best = found.groupBy("did", "item_id").agg(F.min("distance").alias("distance"))
+    return best.select(public_id("did").alias(id_col), "item_id", "distance")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", error_rate: float = 0.05, short: int = 20, broadcast_chars: int = 16_000_000) -> DataFrame:
+    """(did, th, item_id, distance) of every row and item, th the hash of the row's text."""
     spark = docs.sparkSession
-    source = docs.select(row_id(id_col).alias("did"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    source = docs.select(row_id(id_col).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     total = tests.agg(F.coalesce(F.sum(F.char_length("text") + 64), F.lit(0))).first()[0]
     groups = total // broadcast_chars + 1
@@ -152,14 +160,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         run, schema = _scan(_Items(spark, rows), error_rate, short)
         hits = source.mapInArrow(run, schema)
         found = hits if found is None else found.unionByName(hits)
-    best = found.groupBy("did", "item_id").agg(F.min("distance").alias("distance"))
-    return best.select(public_id("did").alias(id_col), "item_id", "distance")
+    return found
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """The rows of docs whose id has no contaminated text."""
-    bad = materialize(contaminated(docs, benchmark, **params).select(row_id().alias("_cl_id")).distinct())
-    return docs.withColumn("_cl_id", row_id()).join(bad, "_cl_id", "left_anti").select(*docs.columns)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The rows of docs without a contaminated text; other rows under the same id stay."""
+    bad = materialize(_hits(docs, benchmark, id_col, text_col, **params).select(F.col("did").alias("_cl_id"), F.col("th").alias("_cl_th")).distinct())
+    keyed = docs.withColumns({"_cl_id": row_id(id_col), "_cl_th": F.xxhash64(F.col(text_col).cast("string"))})
+    return keyed.join(bad, ["_cl_id", "_cl_th"], "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

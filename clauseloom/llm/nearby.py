@@ -1,6 +1,7 @@
 """Near-duplicate documents by a multi-index Hamming join over MinHash signatures.
 
-A document's set holds its distinct word shingles. Equal sets are one node. A node's signature has
+A document's set holds its distinct word shingles. Equal sets are one node, known by a hash of the set; ids play no part until components
+are reported. A node's signature has
 ``K`` positions (minima of K hash functions); two sets of similarity s differ in about (1 - s) K of them.
 The positions are split in ``M`` chunks; of two signatures that differ in at most 2 M - 1 positions, some
 chunk differs in at most one (pigeonhole), so they share a key among the chunk's variants with one
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import U64, batch, materialize, mix, public_id, row_id, shingle_sets, slices
+from ._shared import NULL_ID, U64, batch, materialize, mix, public_id, row_id, shingle_sets, slices
 
 K, M = 64, 12
 #: Runs of up to so many rows give all their pairs.
@@ -52,7 +53,7 @@ def signatures(sh: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _sets(width: int):
-    out = pa.schema([("did", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary())])
+    out = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -64,9 +65,9 @@ def _sets(width: int):
                     np.cumsum(mix(sh ^ U64(c)), out=x[1:])
                     sums.append((x[off[1:]] - x[off[:-1]]).view(np.int64))
                 sig = signatures(sh, off)
-                yield batch(out, did=b["did"], n=np.diff(off), s1=sums[0], s2=sums[1], sig=[r.tobytes() for r in sig])
+                yield batch(out, did=b["did"], th=b["th"], n=np.diff(off), s1=sums[0], s2=sums[1], sig=[r.tobytes() for r in sig])
 
-    return run, "did long, n long, s1 long, s2 long, sig binary"
+    return run, "did long, th long, n long, s1 long, s2 long, sig binary"
 
 
 _KEYS = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("n", pa.int32()), ("sketch", pa.int64())])
@@ -261,30 +262,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id, kept) for every row: sets of word shingles, linked from percent / 100 of the union on.
 
     A null or empty text and one without words has an empty set and is linked with nothing; a text with fewer
-    words than width has one shingle. Rows that repeat an id are one node for reachability. Other columns are not read.
+    words than width has one shingle. Rows that repeat an id are one document and lie in one component; rows with a null
+    id are documents of their own. A component is named by its smallest id and keeps that id's rows; one without any id
+    has a null name and keeps one row. Other columns are not read.
     """
+    rows = classes_of_rows(docs, id_col, text_col, width, percent)
+    return rows.select(public_id("did").alias(id_col), F.col("n").alias("n_shingles"), public_id("component").alias("component_id"), "kept")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_duplicates keeps."""
+    rows = materialize(classes_of_rows(docs, id_col, text_col, width, percent))
+    gone = rows.groupBy("did", "th").agg(F.max("kept").alias("kept"), F.max("n").alias("n"), F.count("*").alias("z"))
+    # A kept row without an id may have exact copies that go.
+    again = gone.where((F.col("did") == F.lit(NULL_ID)) & F.col("kept") & (F.col("n") > 0) & (F.col("z") > 1)).select("th")
+    keyed = docs.withColumns({"_cl_id": row_id(id_col), "_cl_th": F.xxhash64(F.col(text_col).cast("string"))})
+    left = keyed.join(gone.where("not kept").select(F.col("did").alias("_cl_id"), F.col("th").alias("_cl_th")), ["_cl_id", "_cl_th"], "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    several = (F.col("_cl_id") == F.lit(NULL_ID)) & F.col("_cl_again").isNotNull()
+    left = left.join(again.select(F.col("th").alias("_cl_th"), F.lit(True).alias("_cl_again")), "_cl_th", "left")
+    return left.where(~several).unionByName(left.where(several).dropDuplicates(["_cl_th"])).select(*docs.columns)
+
+
+def classes_of_rows(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(did, th, n, component, kept) for every row, th the hash of its text."""
     spark = docs.sparkSession
     n_out = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(row_id(id_col).alias("did"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    source = docs.select(row_id(id_col).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
     sets, schema = _sets(width)
-    sets = materialize(source.mapInArrow(sets, schema))
+    sets = source.mapInArrow(sets, schema).withColumn("node", F.when(F.col("n") > 0, F.xxhash64("s1", "s2", "n")))
+    sets = materialize(sets.withColumn("row", F.monotonically_increasing_id()))
     full = sets.where("n > 0")
-    nodes = full.groupBy("s1", "s2", "n").agg(F.min("did").alias("rep"), F.min_by("sig", "did").alias("sig"))
+    real = F.when(F.col("did") != F.lit(NULL_ID), F.col("did"))
+    nodes = full.groupBy("node", "n").agg(F.min(F.struct("did", "th")).alias("rep"), F.min_by("sig", "did").alias("sig"), F.min(real).alias("least"))
     nodes = materialize(nodes)
     # Below this size another set cannot be similar enough.
     least = next(k for k in range(1, 10_000) if 100 * k >= percent * (k + 1)) if percent < 100 else 1 << 30
     expected = (1 - percent / 100) * 0.75 * (K // 2)
     most = int(expected + 4 * (expected * (1 - 0.75 * (1 - percent / 100))) ** 0.5 + 1)
     order = ["key", "did"]
-    rows = nodes.where(F.col("n") >= least).select(F.col("rep").alias("did"), "n", "sig").mapInArrow(_keys, "key long, did long, n int, sketch long")
+    rows = nodes.where(F.col("n") >= least).select(F.col("node").alias("did"), "n", "sig").mapInArrow(_keys, "key long, did long, n int, sketch long")
     stream, schema = _runs(percent, most)
     found = materialize(rows.repartitionByRange(n_out, *order).sortWithinPartitions(*order).mapInArrow(stream, schema))
     pairs = found.where("kind = 0").select(F.least("did", "other").alias("a"), F.greatest("did", "other").alias("b")).distinct()
     long_rows = found.where("kind = 1").select("key", "did", "n", "sketch")
     asked = pairs.select(F.col("a").alias("did")).unionByName(pairs.select(F.col("b").alias("did"))).unionByName(long_rows.select("did")).distinct()
     bodies, schema = _set_bytes(width)
-    # Of an id's rows with different texts the node has the first set.
-    bodies = source.join(asked, "did", "left_semi").mapInArrow(bodies, schema)
+    # Each node's set is made again from one row, which copies under the same id repeat.
+    asked = nodes.join(asked.withColumnRenamed("did", "node"), "node", "left_semi").select(F.col("rep.did").alias("did"), F.col("rep.th").alias("th"), "node")
+    bodies = source.join(asked, ["did", "th"]).select(F.col("node").alias("did"), "text").mapInArrow(bodies, schema)
     bodies = materialize(bodies.groupBy("did").agg(F.min("body").alias("body")) if _repeats(sets) else bodies)
     check, schema = _confirm(percent)
 
@@ -292,7 +320,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x, y = bodies.select(F.col("did").alias("a"), F.col("body").alias("x")), bodies.select(F.col("did").alias("b"), F.col("body").alias("y"))
         return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, schema))
 
-    classes = components(confirmed(pairs))
+    links = confirmed(pairs)
+    one = sets.where(F.col("did") != F.lit(NULL_ID)).groupBy("did").agg(F.min("node").alias("first"), F.count("*").alias("z")).where("z > 1 and first is not null")
+    one = materialize(one.select("did", "first"))
+    repeated = not one.isEmpty()
+    if repeated:
+        links = links.unionByName(full.join(one, "did").select(F.col("node").alias("a"), F.col("first").alias("b")).where("a != b").distinct())
+    classes = components(links)
     # A row of a key that two tasks share is counted once.
     long_rows = materialize(long_rows.distinct())
     placed = long_rows.join(classes.withColumnRenamed("id", "did"), "did", "left").withColumn("component", F.coalesce("component", "did"))
@@ -301,15 +335,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not placed.isEmpty():
         more = _across(placed, bodies, percent, most, n_out)
         classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    reps = nodes.select("s1", "s2", F.col("n"), "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("did", "n", "s1", "s2").join(reps, ["s1", "s2", "n"], "left").select("did", "n", F.coalesce("component", "did").alias("component"))
-    return out.select(public_id("did").alias(id_col), F.col("n").alias("n_shingles"), public_id("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"))
+    placed = nodes.select("node", "least").join(classes.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node"))
+    named = placed.groupBy("class").agg(F.min("least").alias("named"))
+    placed = materialize(placed.join(named, "class").select("node", "class", "named"))
+    if repeated:
+        sets = sets.join(one, "did", "left").withColumn("node", F.coalesce("first", "node"))
+    out = sets.select("did", "th", "n", "row", "node").join(placed, "node", "left")
+    nameless = out.where("class is not null and named is null")
+    component = F.when(F.col("class").isNull(), F.col("did")).otherwise(F.coalesce("named", F.lit(NULL_ID)))
+    if placed.where("named is null").isEmpty():
+        return out.select("did", "th", "n", component.alias("component"), (F.col("did") == component).alias("kept"))
+    stays = nameless.groupBy("class").agg(F.min("row").alias("stays"))
+    kept = F.when(F.col("class").isNull() | F.col("named").isNotNull(), F.col("did") == component).otherwise(F.col("row") == F.col("stays"))
+    return out.join(stays, "class", "left").select("did", "th", "n", component.alias("component"), kept.alias("kept"))
 
 
 def _repeats(sets: DataFrame) -> bool:
-    """Whether an id has several different sets."""
-    one = sets.groupBy("did").agg(F.min(F.struct("s1", "s2", "n")).alias("lo"), F.max(F.struct("s1", "s2", "n")).alias("hi"))
-    return not one.where("lo != hi").isEmpty()
+    """Whether an id has the same text several times."""
+    return not sets.groupBy("did", "th").count().where("count > 1").isEmpty()
 
 
 def _live(percent: int, most: int):

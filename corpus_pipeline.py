@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from clauseloom.llm import bpe, decontaminate, linededup, nearby, quality
-from clauseloom.llm._shared import row_id, shared_dir
+from clauseloom.llm._shared import shared_dir
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +25,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (shingles of five words, similarity of 0.8 or more) the smallest id stays."""
-    gone = nearby.near_duplicates(docs, width=5, percent=80).where("not kept").select(row_id().alias("_cl_id")).distinct()
-    return docs.withColumn("_cl_id", row_id()).join(gone, "_cl_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates (shingles of five words, similarity of 0.8 or more) the smallest id stays; of one without ids one row."""
+    return nearby.without_near_duplicates(docs, width=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows that hold a benchmark item go."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -88,6 +88,21 @@ def test_near_duplicates(spark, empty, width):
     assert nearby.near_duplicates(empty, width=width).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    w = [f"{a}{i}" for a in "abcd" for i in range(60)]
+    text = {a: " ".join(x for x in w if x[0] == a) for a in "abcd"}
+    near = {a: t + " more" for a, t in text.items()}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["b"]), (None, text["c"]), (7, near["a"]), (8, near["c"]), (9, text["d"]), (9, near["a"] + " still"), (10, near["d"]), (None, ""), (None, "")]
+    got = sorted(((x.doc_id, x.n_shingles > 0, x.component_id, x.kept) for x in nearby.near_duplicates(table(spark, rows)).collect()), key=str)
+    want = [(None, True, 7, False), (None, True, None, True), (None, True, None, False), (None, True, 8, False), (7, True, 7, True), (8, True, 8, True), (9, True, 7, False), (9, True, 7, False), (10, True, 7, False), (None, False, None, True), (None, False, None, True)]
+    assert got == sorted(want, key=str)
+    left = sorted(((x.doc_id, x.text) for x in nearby.without_near_duplicates(table(spark, rows)).collect()), key=str)
+    assert left == sorted([(7, near["a"]), (8, near["c"]), (None, text["b"]), (None, ""), (None, "")], key=str)
+    items = spark.createDataFrame([(1, text["b"])], "item_id long, text string")
+    clean = sorted(((x.doc_id, x.text) for x in decontaminate.clean_documents(table(spark, rows), items).collect()), key=str)
+    assert clean == sorted([x for x in rows if x[1] != text["b"]], key=str)
+
+
 def test_signature_distance_guarantee():
     r = np.random.default_rng(1)
     a = r.integers(0, 2**32, nearby.K, dtype=np.uint32)
