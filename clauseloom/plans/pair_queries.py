@@ -332,13 +332,13 @@ def _(t):
 def _(t):
     k = F.col("l_partkey")
     p = t.lineitem.select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("similarity"), (1 / (k % 4 + 1)).alias("closeness"), F.when(F.col("l_discount") > 0.05, 1).otherwise(0).alias("label"))
-    return M.infer(M.train_alignment(p, trees=20), p, 0.5)
+    return M.infer(M.train_alignment(p), p, 0.5)
 
 
 @query("m25_m26_text_model")
 def _(t):
     d = t.documents.join(t.labels.select("doc_id", F.col("quality").alias("label")), "doc_id").select("doc_id", "text", "label")
-    return M.predict_text(M.train_text(d, features=2000), t.documents.select("doc_id", "text")).select("doc_id", "probability_1")
+    return M.predict_text(M.train_text(d), t.documents.select("doc_id", "text")).select("doc_id", "probability_1")
 
 
 @query("p10_p13_output_order", "SELECT '' AS missing, p_name, p_partkey FROM part")

@@ -184,3 +184,20 @@ def test_columns():
 def test_similar_groups(spark):
     v = spark.createDataFrame([("Data plan",), ("Data plans",), ("Other",), (None,), ("",)], "value string")
     assert {(r.value, r.group) for r in R.similar_groups(v, 0.9).collect()} == {("Data plan", "Data plan"), ("Data plans", "Data plan"), ("Other", "Other")}
+
+
+def test_registered_models_have_the_default_sizes(spark, monkeypatch):
+    from clauseloom.operators import models
+    from clauseloom.plans import pair_queries, registry
+
+    from .conftest import SF
+
+    fitted = []
+    for name in ("train_alignment", "train_text"):
+        train = getattr(models, name)
+        monkeypatch.setattr(pair_queries.M, name, lambda *a, _train=train, **k: fitted.append(_train(*a, **k)) or fitted[-1])
+    registry.QUERIES["m22_m24_alignment_model"](spark, SF)
+    registry.QUERIES["m25_m26_text_model"](spark, SF)
+    forest, text = fitted
+    assert forest.stages[-1].getNumTrees == 100
+    assert text.stages[3].getOrDefault("vocabSize") == 10_000 and len(text.stages[3].vocabulary) > 2000
