@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def walk(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, reverse: bool = False, depth: int = 20) -> DataFrame:
+def walk(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, reverse: bool = False, depth: int | None = None) -> DataFrame:
     """(start, node, path, hops), one row for each path from a start of (id), no edge twice in a path.
 
-    Frontiers are joined hop by hop; a level without rows ends the walk. reverse follows edges from dst to src.
+    Frontiers are joined hop by hop; a level without rows ends the walk, or depth hops if
+    it is given. reverse follows edges from dst to src.
     """
     e = edges if types is None else edges.where(F.col("rel_type").isin(types))
     a, b = ("dst", "src") if reverse else ("src", "dst")
     step = e.select(F.col(a).alias("at"), F.col(b).alias("next"), F.concat_ws("|", "src", "rel_type", "dst").alias("edge")).distinct()
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path"), F.array().cast("array<string>").alias("used"))
     found = None
-    for hop in range(1, depth + 1):
+    hop = 0
+    while depth is None or hop < depth:
+        hop += 1
         joined = front.join(step, F.col("node") == F.col("at")).where(~F.array_contains("used", F.col("edge")))
         front = joined.select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.concat("used", F.array("edge")).alias("used"))
         if front.isEmpty():

@@ -74,6 +74,12 @@ def test_walk_ends_in_cycles(spark):
     assert G.walk(e, start(spark, "a")).count() == 2
 
 
+def test_walk_has_no_end_before_the_last_hop(spark):
+    e = spark.createDataFrame([(f"n{i:02}", "PARENT_OF", f"n{i + 1:02}") for i in range(23)], "src string, rel_type string, dst string")
+    got = G.walk(e, spark.createDataFrame([("n00",)], "id string"))
+    assert sorted(r.hops for r in got.collect()) == list(range(1, 24))
+
+
 def test_cosine_join_is_exact(spark):
     r = random.Random(4)
     docs = spark.createDataFrame([(i, " ".join(r.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg"]) for _ in range(r.randint(1, 6)))) for i in range(60)] + [(99, None), (98, "")], "doc_id long, text string")
