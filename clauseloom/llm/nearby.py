@@ -1,15 +1,16 @@
 """Near-duplicate documents by a multi-index Hamming join over MinHash signatures.
 
 A document's set holds its distinct word shingles. Equal sets are one node, known by a hash of the set; ids play no part until components
-are reported. A node's signature has
-``K`` positions (minima of K hash functions); two sets of similarity s differ in about (1 - s) K of them.
-The positions are split in ``M`` chunks; of two signatures that differ in at most 2 M - 1 positions, some
-chunk differs in at most one (pigeonhole), so they share a key among the chunk's variants with one
-position left out. This finds every pair up to that distance. With K = 64 and M = 12 a pair of
-similarity 0.8 exceeds distance 23 with probability 0.0008, one of 0.85 with probability 0.000002.
+are reported. A node's signature has ``K`` values of 16 bits (from the minima of K hash functions); two sets of similarity s
+differ in about (1 - s) K of them. The positions are split in ``M`` chunks; of two signatures that differ in at
+most ``FAR`` = 2 M - 1 positions, some chunk differs in at most one (pigeonhole), so they share a key among the chunk's variants
+with one position left out. Every pair up to that distance is found, and nothing but the sizes of the sets, which
+bound the similarity, and the distance itself, read from two bits of each position, drops a pair before its full sets are
+compared. With K = 64 and M = 16 a pair of similarity 0.8 lies beyond distance 31 with probability 0.0000002, one of 0.85 with
+less than a billionth.
 
 Rows of a key are streamed in key order from range partitions, so a frequent key spans tasks. Short runs
-give their pairs, kept apart by a 2-bit sketch of 32 positions and by the sizes of the sets; long runs
+give their pairs; long runs
 give one star, and their rows are kept. Pairs are confirmed on the full sets, components are found by
 alternating large-star and small-star steps, and then the kept rows of keys that still hold several
 components are taken up again: what is outside a key's largest component is held, in blocks of sets, against
@@ -27,28 +28,29 @@ from pyspark.sql import functions as F
 
 from ._shared import NULL_ID, U64, batch, materialize, mix, public_id, row_id, shingle_sets, slices
 
-K, M = 64, 12
+K, M = 64, 16
+#: The distance up to which all pairs are found.
+FAR = 2 * M - 1
 #: Runs of up to so many rows give all their pairs.
 SHORT = 12
 #: So many sets, about, are held at once against other rows of their keys.
 BLOCK = 4096
-#: Sets of fewer shingles than this can only be near when they are equal, at a similarity of 0.8.
 _rng = np.random.default_rng(41)
 _MUL = _rng.integers(1, 2**63, K, dtype=np.uint64) * U64(2) + U64(1)
 _ADD = _rng.integers(1, 2**63, K, dtype=np.uint64)
 _CHUNKS = np.array_split(np.arange(K), M)
-_EMPTY = np.iinfo(np.uint32).max
+_EMPTY = np.iinfo(np.uint16).max
 
 
 def signatures(sh: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(n, K) 32-bit minima; rows without shingles have the largest value everywhere."""
+    """(n, K) values of 16 bits of the minima; rows without shingles have the largest value everywhere."""
     n = len(off) - 1
-    sig = np.full((n, K), _EMPTY, np.uint32)
+    sig = np.full((n, K), _EMPTY, np.uint16)
     full = np.flatnonzero(off[1:] > off[:-1])
     if len(full):
         at = off[:-1][full]
         for k in range(K):
-            sig[full, k] = np.minimum.reduceat(((sh ^ _ADD[k]) * _MUL[k]) >> U64(32), at).astype(np.uint32)
+            sig[full, k] = (np.minimum.reduceat((sh ^ _ADD[k]) * _MUL[k], at) >> U64(24)).astype(np.uint16)
     return sig
 
 
@@ -70,7 +72,7 @@ def _sets(width: int):
     return run, "did long, th long, n long, s1 long, s2 long, sig binary"
 
 
-_KEYS = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("n", pa.int32()), ("sketch", pa.int64())])
+_KEYS = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("n", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,46 +80,54 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint32).reshape(-1, K)
+        sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint16).reshape(-1, K)
         terms = mix(sig.astype(U64) + (np.arange(1, K + 1, dtype=np.uint64) << U64(32)))
-        two_bits = (sig[:, ::2] & np.uint32(3)).astype(U64)
-        sketch = np.bitwise_or.reduce(two_bits << (np.arange(K // 2, dtype=np.uint64) * U64(2)), axis=1)
+        low, high = (np.repeat(x, K) for x in two_bits(sig))
         keys = np.empty((len(sig), K), U64)
         for c, at in enumerate(_CHUNKS):
             total = terms[:, at].sum(axis=1, dtype=U64)
             for k in at:
                 keys[:, k] = mix(total - terms[:, k] + U64(((int(k) + 1) * 0xC2B2AE3D27D4EB4F + c) & (2**64 - 1)))
         did, n = b["did"].to_numpy(), b["n"].to_numpy().astype(np.int32)
-        yield batch(_KEYS, key=keys.ravel().view(np.int64), did=np.repeat(did, K), n=np.repeat(n, K), sketch=np.repeat(sketch.view(np.int64), K))
+        yield batch(_KEYS, key=keys.ravel().view(np.int64), did=np.repeat(did, K), n=np.repeat(n, K), low=low, high=high)
 
 
-def _alike(n1, n2, s1, s2, percent: int, most: int):
-    """Whether sizes and sketches of the pairs allow the similarity."""
-    n1, n2 = n1.astype(np.int64), n2.astype(np.int64)
+def two_bits(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of each position, of the first half of the positions and of the others, as one 64-bit integer each."""
+    own = (sig & np.uint16(3)).astype(U64).reshape(len(sig), 2, K // 2) << (np.arange(K // 2, dtype=np.uint64) * U64(2))
+    both = np.bitwise_or.reduce(own, axis=2).view(np.int64)
+    return both[:, 0], both[:, 1]
+
+
+def _alike(a: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sizes allow the similarity and the positions that show a difference are at most FAR; never false for a pair that has both."""
+    n1, n2 = a["n"][i].astype(np.int64), a["n"][j].astype(np.int64)
     ok = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-    x = s1.view(U64) ^ s2.view(U64)
-    x = (x | (x >> U64(1))) & U64(0x5555555555555555)
-    return ok & (np.bitwise_count(x) <= most)
+    apart = np.zeros(len(i), np.int64)
+    for c in ("low", "high"):
+        x = a[c][i].view(U64) ^ a[c][j].view(U64)
+        apart += np.bitwise_count((x | (x >> U64(1))) & U64(0x5555555555555555))
+    return ok & (apart <= FAR)
 
 
-def _runs(percent: int, most: int):
+def _runs(percent: int):
     """Streams rows ordered by (key, did). kind 0: a candidate pair (did, other); kind 1: a row of a long or cut run."""
-    out = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("did", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("sketch", pa.int64())])
-    names = ("key", "did", "n", "sketch")
+    out = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("did", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+    names = ("key", "did", "n", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # the rows of the last run so far; of a long one only the first row
         last_long, first_key = False, None
 
         def pairs(i, j, a):
-            ok = _alike(a["n"][i], a["n"][j], a["sketch"][i], a["sketch"][j], percent, most) & (a["did"][i] != a["did"][j])
+            ok = _alike(a, i, j, percent) & (a["did"][i] != a["did"][j])
             i, j = i[ok], j[ok]
             z = len(i)
-            return batch(out, kind=np.zeros(z, np.int32), key=np.zeros(z, np.int64), did=a["did"][i], other=a["did"][j], n=np.zeros(z, np.int32), sketch=np.zeros(z, np.int64))
+            return batch(out, kind=np.zeros(z, np.int32), key=np.zeros(z, np.int64), did=a["did"][i], other=a["did"][j], n=np.zeros(z, np.int32), low=np.zeros(z, np.int64), high=np.zeros(z, np.int64))
 
         def kept(i, a):
             z = len(i)
-            return batch(out, kind=np.ones(z, np.int32), key=a["key"][i], did=a["did"][i], other=np.zeros(z, np.int64), n=a["n"][i], sketch=a["sketch"][i])
+            return batch(out, kind=np.ones(z, np.int32), key=a["key"][i], did=a["did"][i], other=np.zeros(z, np.int64), n=a["n"][i], low=a["low"][i], high=a["high"][i])
 
         def settle(a, starts, sizes, long_first: bool, cut):
             """All pairs of short runs; for long ones the star, and their rows."""
@@ -166,7 +176,7 @@ def _runs(percent: int, most: int):
         if rest is not None:
             yield from settle(rest, np.array([0]), np.array([len(rest["key"])]), last_long, np.array([True]))
 
-    return run, "kind int, key long, did long, other long, n int, sketch long"
+    return run, "kind int, key long, did long, other long, n int, low long, high long"
 
 
 def _set_bytes(width: int):
@@ -300,14 +310,12 @@ def classes_of_rows(docs: DataFrame, id_col: str, text_col: str, width: int, per
     nodes = materialize(nodes)
     # Below this size another set cannot be similar enough.
     least = next(k for k in range(1, 10_000) if 100 * k >= percent * (k + 1)) if percent < 100 else 1 << 30
-    expected = (1 - percent / 100) * 0.75 * (K // 2)
-    most = int(expected + 4 * (expected * (1 - 0.75 * (1 - percent / 100))) ** 0.5 + 1)
     order = ["key", "did"]
-    rows = nodes.where(F.col("n") >= least).select(F.col("node").alias("did"), "n", "sig").mapInArrow(_keys, "key long, did long, n int, sketch long")
-    stream, schema = _runs(percent, most)
+    rows = nodes.where(F.col("n") >= least).select(F.col("node").alias("did"), "n", "sig").mapInArrow(_keys, "key long, did long, n int, low long, high long")
+    stream, schema = _runs(percent)
     found = materialize(rows.repartitionByRange(n_out, *order).sortWithinPartitions(*order).mapInArrow(stream, schema))
     pairs = found.where("kind = 0").select(F.least("did", "other").alias("a"), F.greatest("did", "other").alias("b")).distinct()
-    long_rows = found.where("kind = 1").select("key", "did", "n", "sketch")
+    long_rows = found.where("kind = 1").select("key", "did", "n", "low", "high")
     asked = pairs.select(F.col("a").alias("did")).unionByName(pairs.select(F.col("b").alias("did"))).unionByName(long_rows.select("did")).distinct()
     bodies, schema = _set_bytes(width)
     # Each node's set is made again from one row, which copies under the same id repeat.
@@ -331,9 +339,9 @@ def classes_of_rows(docs: DataFrame, id_col: str, text_col: str, width: int, per
     long_rows = materialize(long_rows.distinct())
     placed = long_rows.join(classes.withColumnRenamed("id", "did"), "did", "left").withColumn("component", F.coalesce("component", "did"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    placed = materialize(placed.join(mixed, "key", "left_semi"))
+    placed = materialize(_spread_join(placed, mixed, "key", "left_semi"))
     if not placed.isEmpty():
-        more = _across(placed, bodies, percent, most, n_out)
+        more = _across(placed, bodies, percent, n_out)
         classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     placed = nodes.select("node", "least").join(classes.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node"))
     named = placed.groupBy("class").agg(F.min("least").alias("named"))
@@ -355,10 +363,10 @@ def _repeats(sets: DataFrame) -> bool:
     return not sets.groupBy("did", "th").count().where("count > 1").isEmpty()
 
 
-def _live(percent: int, most: int):
-    """Streams rows ordered by cell (key, i, j). Gives the rows that sizes and sketches let be near a row of another component."""
+def _live(percent: int):
+    """Streams rows ordered by cell (key, i, j). Gives the rows that sizes and visible distances let be near a row of another component."""
     out = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("component", pa.int64())])
-    names = ("key", "i", "j", "grp", "did", "n", "sketch", "component")
+    names = ("key", "i", "j", "grp", "did", "n", "low", "high", "component")
 
     def live(a: dict) -> np.ndarray:
         """A cell's flags, some rows at a time against all."""
@@ -369,7 +377,7 @@ def _live(percent: int, most: int):
         for at in range(0, len(left), 256):
             x = np.repeat(left[at : at + 256], len(right))
             y = np.tile(right, len(left[at : at + 256]))
-            ok = (a["component"][x] != a["component"][y]) & _alike(a["n"][x], a["n"][y], a["sketch"][x], a["sketch"][y], percent, most)
+            ok = (a["component"][x] != a["component"][y]) & _alike(a, x, y, percent)
             found[x[ok]] = True
             found[y[ok]] = True
         return found
@@ -398,31 +406,37 @@ def _live(percent: int, most: int):
     return run, "key long, did long, component long"
 
 
-def _across(placed: DataFrame, bodies: DataFrame, percent: int, most: int, n_out: int) -> DataFrame:
+def _spread_join(rows: DataFrame, by_key: DataFrame, key: str, how: str = "inner", by: str = "did", salts: int = 16) -> DataFrame:
+    """rows joined with by_key, which has few rows a key: a key's rows go to several tasks, by the hash of another column."""
+    copies = by_key.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(-3)), F.lit(salts)).cast("int")).join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def _across(placed: DataFrame, bodies: DataFrame, percent: int, n_out: int) -> DataFrame:
     """All links between components that share a key.
 
-    Rows of a key first meet in cells of at most about 2,000 rows, where sizes and sketches leave only those that may be
+    Rows of a key first meet in cells of at most about 2,000 rows, where sizes and visible distances leave only those that may be
     near a row of another component. Of these the rows outside a key's largest component, in blocks, are then held
     against the key's rows: each row meets a block of about BLOCK sets at once, and no pairs are listed.
     """
-    size = placed.groupBy(F.col("key").alias("sized")).agg(F.count("*").alias("z"))
+    size = placed.groupBy("key").agg(F.count("*").alias("z"))
     g = F.ceil(F.col("z") / 2000).cast("int")
     grp = F.pmod(F.xxhash64("did", F.lit(-2)), F.col("g")).cast("int")
     every = F.sequence(F.lit(0), F.col("g") - 1)
     row = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     cells = F.array_distinct(F.concat(F.transform(every, lambda k: row(F.col("grp"), k)), F.transform(every, lambda k: row(k, F.col("grp")))))
-    dealt = placed.join(size, F.col("key") == F.col("sized")).withColumn("g", g).withColumn("grp", grp).select("key", "grp", "did", "n", "sketch", "component", F.explode(cells).alias("c"))
-    dealt = dealt.select("key", "c.i", "c.j", "grp", "did", "n", "sketch", "component")
-    flag, schema = _live(percent, most)
+    dealt = _spread_join(placed, size, "key").withColumn("g", g).withColumn("grp", grp).select("key", "grp", "did", "n", "low", "high", "component", F.explode(cells).alias("c"))
+    dealt = dealt.select("key", "c.i", "c.j", "grp", "did", "n", "low", "high", "component")
+    flag, schema = _live(percent)
     live = materialize(dealt.repartition(n_out, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(flag, schema).distinct())
-    main = live.groupBy("key", "component").agg(F.count("*").alias("z")).groupBy(F.col("key").alias("of")).agg(F.max_by("component", F.struct("z", "component")).alias("main"))
-    rest = materialize(live.join(main, F.col("key") == F.col("of")).where("component != main").select("key", "did"))
+    main = live.groupBy("key", "component").agg(F.count("*").alias("z")).groupBy("key").agg(F.max_by("component", F.struct("z", "component")).alias("main"))
+    rest = materialize(_spread_join(live, main, "key").where("component != main").select("key", "did"))
     blocks = max(1, rest.select("did").distinct().count() // BLOCK)
     # Rows that share their least key come to one block, as far as its size allows.
     home = rest.groupBy("did").agg(F.min("key").alias("home"))
     block = F.pmod(F.xxhash64(F.when(F.lit(blocks) > 1, F.col("home"))), F.lit(blocks)).alias("block")
     rest = rest.join(home, "did").select("key", "did", block)
-    members = materialize(live.select("key", "did").join(rest.select("key", "block").distinct(), "key").select("block", "did").distinct())
+    members = materialize(_spread_join(live.select("key", "did"), rest.select("key", "block").distinct(), "key").select("block", "did").distinct())
     # A block is copied to several tasks only as far as its copies stay fewer than the rows that meet it.
     salts = max(1, min(n_out // blocks, 2 * members.count() // max(1, rest.select("did").distinct().count())))
     members = members.select("block", F.pmod(F.xxhash64("did"), F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), "did")
@@ -434,3 +448,16 @@ def _across(placed: DataFrame, bodies: DataFrame, percent: int, most: int, n_out
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2, percent=80)
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Components by the closure of all links; the smallest id reachable names a component.
+SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+d AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 2 THEN [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))] ELSE ws END) AS sh FROM w),
+s AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM d),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+SELECT doc_id, len(sh) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept FROM d LEFT JOIN m ON m.a = d.doc_id"""

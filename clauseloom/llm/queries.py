@@ -16,4 +16,4 @@ QUERIES = {
     "op9_fingerprints": ctph.query,
     "op10_byte_bpe": bpe.query,
 }
-SQL = {"op1_line_dedup": linededup.SQL, "op3_warc": warc.SQL, "op5_secrets": secrets.SQL}
+SQL = {"op1_line_dedup": linededup.SQL, "op3_warc": warc.SQL, "op4_near_duplicates": nearby.SQL, "op5_secrets": secrets.SQL}
