@@ -25,16 +25,43 @@ def tfidf(docs: DataFrame, tokens: Column, key: str = "doc_id", fit_on: DataFram
     return weighted.select(key, "term", "df", (F.col("x") / norm).alias("w"))
 
 
+#: Postings of a term that meet in one task, about, on each side.
+CELL = 2048
+
+
+def meet(left: DataFrame, right: DataFrame, on: str, left_key: str, right_key: str) -> DataFrame:
+    """The join of two sides on a term, postings of frequent terms dealt over cells of about CELL by CELL rows.
+
+    A term of z and y rows makes ceil(z / CELL) by ceil(y / CELL) cells, which are hashed apart, so no term is one
+    task's load. Terms of one side alone are left out before.
+    """
+    sizes = left.groupBy(on).agg(F.count("*").alias("_z")).join(right.groupBy(on).agg(F.count("*").alias("_y")), on)
+    sizes = sizes.select(on, F.ceil(F.col("_z") / CELL).cast("int").alias("_gi"), F.ceil(F.col("_y") / CELL).cast("int").alias("_gj"))
+    own = lambda key, g: F.pmod(F.xxhash64(key), F.col(g)).cast("int")
+    every = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
+    x = left.join(sizes, on).withColumn("_i", own(left_key, "_gi")).withColumn("_j", every("_gj")).drop("_gi", "_gj")
+    y = right.join(sizes, on).withColumn("_j", own(right_key, "_gj")).withColumn("_i", every("_gi")).drop("_gi", "_gj")
+    return x.join(y, [on, "_i", "_j"]).drop("_i", "_j")
+
+
 def cosine_join(weights: DataFrame, threshold: float, key: str = "doc_id") -> DataFrame:
     """(a, b, score) of all pairs a < b with cosine of at least threshold, exact for threshold > 0.
 
     Terms are ordered from rare to frequent. The last terms of a document, whose norm stays under the threshold, cannot
-    carry a pair alone, so only the terms before them are indexed; frequent terms fall out of the index.
+    carry a pair alone, so only the terms before them are indexed; frequent terms fall out of the index. A pair's indexed terms
+    give a part of its score, and what stands behind the last shared one at most the product of the norms left; only
+    pairs whose sum of both reaches the threshold are joined with all their terms.
     """
-    rest = F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key).orderBy(F.col("df").desc(), F.col("term").desc()))
-    index = weights.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold * (1 - 1e-9)).select(F.col(key).alias("k"), "term")
-    x, y = index.select(F.col("k").alias("a"), "term"), index.select(F.col("k").alias("b"), "term")
-    pairs = x.join(y, "term").where("a < b").select("a", "b").distinct()
+    square = F.col("w") * F.col("w")
+    rest = F.sum(square).over(W.partitionBy(key).orderBy(F.col("df").desc(), F.col("term").desc()))
+    index = weights.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold * (1 - 1e-9))
+    # r: the norm behind a term; s: the norm behind the last indexed term.
+    index = index.withColumn("r", F.sqrt(F.greatest(F.col("rest") - square, F.lit(0.0)))).withColumn("s", F.min("r").over(W.partitionBy(key)))
+    side = lambda k, p: index.select(F.col(key).alias(k), "term", *[F.col(c).alias(f"{c}{p}") for c in ("w", "r", "s")])
+    met = meet(side("a", "a"), side("b", "b"), "term", "a", "b").where("a < b")
+    part = met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), *[F.min(c).alias(c) for c in ("ra", "rb", "sa", "sb")])
+    most = F.col("part") + F.greatest(F.col("sa") * F.col("rb"), F.col("ra") * F.col("sb"))
+    pairs = part.where(most >= threshold - 1e-9).select("a", "b")
     left, right = weights.select(F.col(key).alias("a"), "term", F.col("w").alias("wa")), weights.select(F.col(key).alias("b"), "term", F.col("w").alias("wb"))
     scored = pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
     return scored.where(F.col("score") >= threshold)
@@ -43,7 +70,7 @@ def cosine_join(weights: DataFrame, threshold: float, key: str = "doc_id") -> Da
 def cosine_between(left: DataFrame, right: DataFrame, threshold: float, left_key: str, right_key: str) -> DataFrame:
     """Pairs of two sides that share a term, from the threshold on."""
     x, y = left.select(F.col(left_key).alias("a"), "term", F.col("w").alias("wa")), right.select(F.col(right_key).alias("b"), "term", F.col("w").alias("wb"))
-    return x.join(y, "term").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).where(F.col("score") >= threshold)
+    return meet(x, y, "term", "a", "b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).where(F.col("score") >= threshold)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "a", score: str = "score", tie: str = "b") -> DataFrame:
@@ -58,15 +85,20 @@ def token_table(df: DataFrame, tokens: Column, key: str) -> DataFrame:
     return words.select(key, F.size("ws").alias("size"), F.explode("ws").alias("word"))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """(a, b, shared, na, nb) of all pairs that share a word, from (key, word, size) tables."""
+def overlap_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float = 0.0) -> DataFrame:
+    """(a, b, shared, na, nb) of all pairs that share a word, from (key, word, size) tables.
+
+    Pairs whose sizes do not allow a Jaccard of least never meet.
+    """
     x, y = left.select(F.col(left_key).alias("a"), "word", F.col("size").alias("na")), right.select(F.col(right_key).alias("b"), "word", F.col("size").alias("nb"))
-    return x.join(y, "word").groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    met = meet(x, y, "word", "a", "b")
+    met = met.where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) if least > 0 else met
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
 
 
 def jaccard_join(left: DataFrame, right: DataFrame, threshold: float, left_key: str, right_key: str) -> DataFrame:
     """Pairs with a token Jaccard of at least threshold > 0."""
-    pairs = overlap_join(left, right, left_key, right_key)
+    pairs = overlap_join(left, right, left_key, right_key, threshold)
     return pairs.withColumn("score", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("score") >= threshold)
 
 
@@ -74,7 +106,7 @@ def multiset_overlap(left: DataFrame, right: DataFrame, left_key: str, right_key
     """(a, b, score) with the sum of the lesser counts of each shared word, from (key, word) tables with repeats."""
     x = left.groupBy(F.col(left_key).alias("a"), "word").agg(F.count("*").alias("ca"))
     y = right.groupBy(F.col(right_key).alias("b"), "word").agg(F.count("*").alias("cb"))
-    return x.join(y, "word").groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("score")).where("score > 1")
+    return meet(x, y, "word", "a", "b").groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("score")).where("score > 1")
 
 
 # ---- pairs ----------------------------------------------------------------------------------------------
