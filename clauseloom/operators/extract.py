@@ -130,10 +130,10 @@ def resource_gaps(components: DataFrame, alignments: DataFrame, key: str = "id",
 
 def broken_chains(components: DataFrame, alignments: DataFrame, key: str = "id") -> DataFrame:
     """Pairs of components that share an agency or whose deadlines are 90 to 365 days apart, without an alignment."""
-    c = components.select(F.col(key).alias("k"), "agencies", F.try_to_date("deadline", F.lit("MMMM d, yyyy")).alias("due"))
+    c = components.select(F.col(key).alias("k"), "agencies", F.try_to_date("deadline", "MMMM d, yyyy").alias("due"))
     by_agency = c.select("k", F.explode("agencies").alias("g"))
     one = by_agency.select(F.col("k").alias("a"), "g").join(by_agency.select(F.col("k").alias("b"), "g"), "g").where("a < b").select("a", "b")
-    month = c.where("due is not null").withColumn("m", F.floor(F.datediff("due", F.lit("1970-01-01")) / 365))
+    month = c.where("due is not null").withColumn("m", F.floor(F.datediff("due", F.lit("1970-01-01").cast("date")) / 365))
     x = month.select(F.col("k").alias("a"), F.col("due").alias("da"), F.explode(F.array(F.col("m") - 1, F.col("m"), F.col("m") + 1)).alias("m"))
     two = x.join(month.select(F.col("k").alias("b"), F.col("due").alias("db"), "m"), "m").where("a < b and abs(datediff(da, db)) between 90 and 365").select("a", "b")
     have = alignments.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))

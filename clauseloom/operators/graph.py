@@ -3,25 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import meet
+
+
+def once(spark):
+    """Cuts the plan between the rounds of a loop: a checkpoint where the session has a folder for it, else a cached copy."""
+    return (lambda df: df.checkpoint()) if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else (lambda df: df.persist())
+
 
 def walk(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, reverse: bool = False, depth: int | None = None) -> DataFrame:
     """(start, node, path, hops), one row for each path from a start of (id), no edge twice in a path.
 
-    Frontiers are joined hop by hop; a level without rows ends the walk, or depth hops if
+    Frontiers are joined hop by hop, each computed once; a level without rows ends the walk, or depth hops if
     it is given. reverse follows edges from dst to src.
     """
+    keep = once(edges.sparkSession)
     e = edges if types is None else edges.where(F.col("rel_type").isin(types))
     a, b = ("dst", "src") if reverse else ("src", "dst")
     step = e.select(F.col(a).alias("at"), F.col(b).alias("next"), F.concat_ws("|", "src", "rel_type", "dst").alias("edge")).distinct()
+    step = keep(step)
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path"), F.array().cast("array<string>").alias("used"))
     found = None
     hop = 0
     while depth is None or hop < depth:
         hop += 1
         joined = front.join(step, F.col("node") == F.col("at")).where(~F.array_contains("used", F.col("edge")))
-        front = joined.select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.concat("used", F.array("edge")).alias("used"))
+        front = keep(joined.select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.concat("used", F.array("edge")).alias("used")))
         if front.isEmpty():
             break
         level = front.withColumn("hops", F.lit(hop))
@@ -45,15 +55,25 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.where("src != dst").distinct()
 
 
-def closeness(edges: DataFrame, pairs: DataFrame, depth: int = 4) -> DataFrame:
-    """1 / (d + 1) for pairs (a, b), d the length of the shortest undirected path of at most depth edges; 0 beyond."""
-    net = undirected(edges)
+def closeness(edges: DataFrame, pairs: DataFrame, depth: int | None = None) -> DataFrame:
+    """1 / (d + 1) for pairs (a, b), d the length of the shortest undirected path; 0 without one.
+
+    All nodes reached from the left sides are kept, hop by hop, until every pair has met, nothing new is reached, or depth edges
+    are walked where it is given.
+    """
+    keep = once(edges.sparkSession)
+    net = keep(undirected(edges))
     reached = pairs.select("a").distinct().select("a", F.col("a").alias("node"), F.lit(0).alias("d"))
-    front = reached
-    for hop in range(1, depth + 1):
-        grown = front.join(net, F.col("node") == F.col("src")).select("a", F.col("dst").alias("node")).distinct()
-        front = grown.join(reached.select("a", "node"), ["a", "node"], "left_anti").withColumn("d", F.lit(hop))
-        reached = reached.unionByName(front)
+    front, hop = reached, 0
+    while depth is None or hop < depth:
+        hop += 1
+        # Left sides whose pairs have all met walk no further.
+        open_ = pairs.select("a", F.col("b").alias("node")).join(reached, ["a", "node"], "left_anti").select("a").distinct()
+        grown = front.join(open_, "a", "left_semi").join(net, F.col("node") == F.col("src")).select("a", F.col("dst").alias("node")).distinct()
+        front = keep(grown.join(reached.select("a", "node"), ["a", "node"], "left_anti").withColumn("d", F.lit(hop)))
+        if front.isEmpty():
+            break
+        reached = keep(reached.unionByName(front))
     hit = pairs.join(reached.withColumnRenamed("node", "b"), ["a", "b"], "left")
     return hit.select("a", "b", F.coalesce(1 / (F.col("d") + 1), F.lit(0.0)).alias("closeness"))
 
@@ -61,12 +81,16 @@ def closeness(edges: DataFrame, pairs: DataFrame, depth: int = 4) -> DataFrame:
 def cousins(edges: DataFrame, least: int = 3, sources: DataFrame | None = None) -> DataFrame:
     """(a, b, common, only_a, only_b) of sources a < b with at least least common targets and no edge between them.
 
-    sources (id, source), where given, leaves out pairs of the same source.
+    sources (id, source), where given, leaves out pairs of the same source. Only sources with enough targets that others have too
+    meet, and a target of many sources is dealt over many tasks.
     """
     e = edges.select("src", "dst").distinct()
     size = e.groupBy("src").agg(F.count("*").alias("n"))
-    x, y = e.select(F.col("src").alias("a"), "dst"), e.select(F.col("src").alias("b"), "dst")
-    both = x.join(y, "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
+    shared = e.join(e.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst"), "dst")
+    able = shared.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("src")
+    kept = shared.join(able, "src").select("src", "dst")
+    x, y = kept.select(F.col("src").alias("a"), "dst"), kept.select(F.col("src").alias("b"), "dst")
+    both = meet(x, y, "dst", "a", "b").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
     for p, q in (("src", "dst"), ("dst", "src")):
         both = both.join(e.select(F.col(p).alias("a"), F.col(q).alias("b")), ["a", "b"], "left_anti")
     if sources is not None:
@@ -76,6 +100,13 @@ def cousins(edges: DataFrame, least: int = 3, sources: DataFrame | None = None)
     return out.select("a", "b", "common", (F.col("na") - F.col("common")).alias("only_a"), (F.col("nb") - F.col("common")).alias("only_b"))
 
 
+def shared_targets(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with the sets of common targets and of those that one side alone has, in order."""
+    sets = edges.select("src", "dst").distinct().groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("t"))
+    out = pairs.join(sets.select(F.col("src").alias("a"), F.col("t").alias("_x")), "a").join(sets.select(F.col("src").alias("b"), F.col("t").alias("_y")), "b")
+    return out.select(*pairs.columns, F.array_intersect("_x", "_y").alias("common_targets"), F.array_except("_x", "_y").alias("targets_of_a"), F.array_except("_y", "_x").alias("targets_of_b"))
+
+
 def chains(edges: DataFrame) -> DataFrame:
     """Simple paths of two or three edges, one row an edge: (path, position, src, dst)."""
     e = edges.select("src", "dst").where("src != dst").distinct()
@@ -124,10 +155,18 @@ def influence(edges: DataFrame, documents: DataFrame, memo: str, kind: str, code
 
 
 def section_parents(sections: DataFrame) -> DataFrame:
-    """The nearest earlier shallower section of (doc, pos, level) is the parent: parent_pos or null."""
-    s, p = sections.alias("s"), sections.alias("p")
-    on = (F.col("s.doc") == F.col("p.doc")) & (F.col("p.pos") < F.col("s.pos")) & (F.col("p.level") < F.col("s.level"))
-    return s.join(p, on, "left").groupBy("s.doc", "s.pos", "s.level").agg(F.max("p.pos").alias("parent_pos")).select("doc", "pos", "level", "parent_pos")
+    """The nearest earlier shallower section of (doc, pos, level) is the parent: parent_pos or null.
+
+    For each level l that the table has, a running maximum gives the last position of a section above l; levels are few.
+    """
+    levels = [r.level for r in sections.select("level").distinct().orderBy("level").limit(257).collect()]
+    if len(levels) > 256:
+        raise ValueError("sections have more than 256 levels")
+    w = W.partitionBy("doc").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    parent = F.lit(None).cast(dict(sections.dtypes)["pos"])
+    for level in levels[1:]:
+        parent = F.when(F.col("level") == level, F.max(F.when(F.col("level") < level, F.col("pos"))).over(w)).otherwise(parent)
+    return sections.select("doc", "pos", "level", parent.alias("parent_pos"))
 
 
 def edge_list(edges: DataFrame, types: list[str]) -> DataFrame:
