@@ -179,3 +179,23 @@ def discovery_status(found: DataFrame, known: DataFrame, url: str = "url") -> Da
     """KNOWN or NEW for each address found."""
     k = known.select(url).distinct().withColumn("_known", F.lit(True))
     return found.join(k, url, "left").select(*found.columns, F.when(F.col("_known"), "KNOWN").otherwise("NEW").alias("status"))
+
+
+def proposal_package(df: DataFrame) -> DataFrame:
+    """Rows of the package's parts (decision_question, evidence_graph, authority_chain, change_hypothesis, impact_analysis, alternatives,
+    implementation_path, confidence_score, source_trace, assumptions) as a package with its label, issues and readiness."""
+    score = F.col("confidence_score")
+    label = F.when(score >= 0.8, "High").when(score >= 0.5, "Medium").when(score.isNotNull(), "Low")
+    fields = ["decision_question", "evidence_graph", "authority_chain", "change_hypothesis", "impact_analysis", "alternatives", "source_trace", "implementation_path"]
+    package = F.struct(*fields, F.struct(score.alias("score"), label.alias("label")).alias("confidence"))
+    issues = package_issues(F.col("package"), [*fields, "confidence"])
+    out = df.withColumn("package", package).withColumn("assumptions", F.coalesce("assumptions", F.array().cast("array<string>")))
+    out = out.withColumn("validation_issues", issues)
+    return out.select(*[c for c in df.columns if c not in (*fields, "confidence_score", "assumptions")], "package", "assumptions", "validation_issues", (F.size("validation_issues") == 0).alias("is_decision_ready"))
+
+
+def with_hashes(df: DataFrame, name: str, description: str, source: str, column: str = "hash") -> DataFrame:
+    """Missing and wrong integrity hashes are set right; repaired says where."""
+    right = X.triad_hash(F.col(name), F.col(description), F.col(source))
+    old = F.col(column) if column in df.columns else F.lit(None).cast("string")
+    return df.withColumn("repaired", ~old.eqNullSafe(right)).withColumn(column, right)

@@ -225,33 +225,6 @@ def apply_canonical(df: DataFrame, mapping: DataFrame, columns: list[str]) -> Da
     return df
 
 
-def similar_groups(values: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """(value, group) by blocking, the indel ratio and the least value reachable.
-
-    values (value). Values are compared where they share the first ten characters or the first word; distinct values only.
-    """
-    from ..functions import fuzzy
-
-    v = values.select("value").where("value is not null and value != ''").distinct()
-    keys = F.array_distinct(F.array(F.concat(F.lit("h|"), F.left(F.lower("value"), F.lit(10))), F.concat(F.lit("t|"), F.element_at(F.split(F.lower("value"), " "), 1))))
-    blocked = v.select("value", F.explode(keys).alias("k"))
-    pairs = blocked.select(F.col("value").alias("a"), "k").join(blocked.select(F.col("value").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
-    links = pairs.where(fuzzy.ratio(F.col("a"), F.col("b")) >= threshold).select("a", "b").checkpoint() if _can_checkpoint(values) else pairs.where(fuzzy.ratio(F.col("a"), F.col("b")) >= threshold).select("a", "b")
-    label = v.select("value", F.col("value").alias("group"))
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    while True:
-        near = both.join(label.withColumnRenamed("value", "b"), "b").groupBy(F.col("a").alias("value")).agg(F.min("group").alias("g"))
-        new = label.join(near, "value", "left").select("value", F.least("group", F.coalesce("g", "group")).alias("group"))
-        new = new.checkpoint() if _can_checkpoint(values) else new
-        if new.join(label.withColumnRenamed("group", "old"), "value").where("group != old").isEmpty():
-            return new
-        label = new
-
-
-def _can_checkpoint(df: DataFrame) -> bool:
-    return not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
-
-
 def upsert_nodes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not there yet are added."""
     return old.unionByName(new.dropDuplicates([key]).join(old, key, "left_anti").select(*old.columns))

@@ -198,9 +198,10 @@ def _(t):
     return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("j28_d06_block_keys", "SELECT p_partkey, 3 AS n FROM part")
+@query("d06_block_keys", "SELECT p_partkey, '0|' || left(lower(p_name), 12) || '|' || left(lower(p_type), 12) AS head, '1|' || string_split(lower(p_name), ' ')[1] || '|' || string_split(lower(p_type), ' ')[1] AS first, '2|' || left(lower(p_name), 5) || '|' || left(lower(p_type), 5) AS short FROM part")
 def _(t):
-    return t.part.select("p_partkey", F.size(J.block_keys(X.squash(F.col("p_brand")), X.squash(F.col("p_name")))).alias("n"))
+    keys = J.block_keys(X.squash(F.col("p_type")), X.squash(F.col("p_name")))
+    return t.part.select("p_partkey", *[F.get(keys, i).alias(n) for i, n in enumerate(("head", "first", "short"))])
 
 
 @query("j29_two_hop", "SELECT DISTINCT a.l_partkey AS part FROM lineitem a JOIN lineitem b USING (l_partkey) WHERE a.l_suppkey = 1 AND b.l_suppkey = 2")
@@ -272,6 +273,15 @@ def _(t):
     return G.cousins(_alignments(t), 3)
 
 
+@query("a20_g07_shared_targets", f"""
+WITH e AS ({_AL}), s AS (SELECT src, list_sort(list(dst)) AS t FROM e GROUP BY src), c AS (SELECT x.src AS a, y.src AS b, count(*) AS common FROM e x JOIN e y ON x.dst = y.dst AND x.src < y.src GROUP BY ALL HAVING count(*) >= 3)
+SELECT a, b, common, md5(array_to_string([z FOR z IN x.t IF list_contains(y.t, z)], ',')) AS both, md5(array_to_string([z FOR z IN x.t IF NOT list_contains(y.t, z)], ',')) AS of_a FROM c JOIN s x ON x.src = a JOIN s y ON y.src = b""")
+def _(t):
+    e = _alignments(t)
+    named = G.shared_targets(e, G.cousins(e, 3).select("a", "b", "common"))
+    return named.select("a", "b", "common", F.md5(F.array_join("common_targets", ",")).alias("both"), F.md5(F.array_join("targets_of_a", ",")).alias("of_a"))
+
+
 @query("g08_cousins_of_other_sources", f"""
 WITH e AS ({_AL}), c AS (SELECT x.src AS a, y.src AS b, count(*) AS common FROM e x JOIN e y ON x.dst = y.dst AND x.src < y.src GROUP BY ALL HAVING count(*) >= 3)
 SELECT a, b, common FROM c JOIN supplier sa ON 's' || sa.s_suppkey = a JOIN supplier sb ON 's' || sb.s_suppkey = b WHERE sa.s_nationkey <> sb.s_nationkey""")

@@ -316,11 +316,6 @@ def _(t):
     return j.select("p_partkey", F.col("canonical").alias("p_name"))
 
 
-@query("d01_d05_similar_groups")
-def _(t):
-    return R.similar_groups(t.part.select(F.col("p_name").alias("value")), 0.9)
-
-
 @query("m06_m11_fuzzy_ratios")
 def _(t):
     names = t.part.select("p_partkey", "p_name", "p_type")

@@ -187,11 +187,6 @@ def test_columns():
     assert R.matching_column("Dependent Component", ["Enabling Source", "Dependent Source"]) == "Dependent Source"
 
 
-def test_similar_groups(spark):
-    v = spark.createDataFrame([("Data plan",), ("Data plans",), ("Other",), (None,), ("",)], "value string")
-    assert {(r.value, r.group) for r in R.similar_groups(v, 0.9).collect()} == {("Data plan", "Data plan"), ("Data plans", "Data plan"), ("Other", "Other")}
-
-
 def test_registered_models_have_the_default_sizes(spark, monkeypatch):
     from clauseloom.operators import models
     from clauseloom.plans import pair_queries, registry

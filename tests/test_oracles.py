@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import clauseloom.plans.curation_queries
 import clauseloom.plans.pair_queries
 import clauseloom.plans.record_queries
 import clauseloom.plans.text_queries  # noqa: F401
