@@ -1,10 +1,12 @@
 """Surrogates for personal data, in DataFrame functions only.
 
 Each detected entity is replaced by a keyed value of its own type and format: letters by letters of the
-same case and script, digits by digits, separators stay; card numbers keep their check digit, addresses
+same case and script, digits by digits, separators stay; card numbers and IBANs have right check digits, network addresses
 their octet range, names the gender that the title shows. An entity is known by its canonical form
 (digits of numbers, lower case of addresses and names), so it has one surrogate everywhere, in any format. Distinct
-entities of a type whose surrogates meet, or meet a real entity, take further attempts until all differ.
+entities of a type whose surrogates meet, or meet a real entity, take further attempts until all differ. A format may have
+no free value left (or none at all, as an address without letters): from attempt ``PLAIN`` on surrogates are longer than what
+they replace, by four characters more with each attempt, so every entity has one in the end.
 
 A person is found by a title. Within a document the titled name's later forms, with or without a title, with a first
 name, an initial or the surname alone, are the same entity as its fullest form, and show that form's surrogate.
@@ -12,19 +14,26 @@ name, an initial or the surname alone, are the same entity as its fullest form,
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import materialize, public_id, row_id
 
+#: Attempts within the format; later ones lengthen it.
+PLAIN = 8
+
 # Titles by gender, given names of surrogates by gender and script.
-_MALE = "Mr|Herr|Herrn|Señor|Sr|Monsieur|Don|г-н"
-_FEMALE = "Mrs|Ms|Miss|Frau|Señora|Señorita|Sra|Madame|Mme|Mlle|Doña|г-жа"
+_MALE = "Mr|Herr|Herrn|Señor|Sr|Monsieur|Don|г-н|κ"
+_FEMALE = "Mrs|Ms|Miss|Frau|Señora|Señorita|Sra|Madame|Mme|Mlle|Doña|г-жа|κα"
 GIVEN = {
     ("m", "latin"): "Adam Boris Carlos Daniel Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Noah Oscar Paul".split(),
     ("f", "latin"): "Anna Berta Clara Diana Elena Flora Greta Helga Irene Julia Karin Laura Maria Nora Olga Paula".split(),
     ("m", "cyrillic"): "Адам Борис Виктор Глеб Денис Егор Захар Иван Кирилл Лев Максим Никита Олег Павел Роман Степан".split(),
     ("f", "cyrillic"): "Анна Белла Вера Галина Дарья Елена Жанна Зоя Ирина Клара Лидия Мария Нина Ольга Полина Раиса".split(),
+    ("m", "greek"): "Αλέξης Βασίλης Γιώργος Δημήτρης Ηλίας Θωμάς Κώστας Λευτέρης Μιχάλης Νίκος Παύλος Σπύρος Στέφανος Τάσος Φίλιππος Χρήστος".split(),
+    ("f", "greek"): "Αγγελική Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Ηρώ Ιωάννα Κατερίνα Λυδία Μαρία Νεφέλη Ξένια Σοφία Φωτεινή Χριστίνα".split(),
 }
 _TITLE = rf"(?:{_MALE}|{_FEMALE})\.? "
 _PARTICLES = "van von der den de del della di da du dos la le bin al ter zu".split()
@@ -116,8 +125,12 @@ def _linked(canon: Column, people: Column) -> Column:
 
 
 def _stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """128 keyed hexadecimal digits."""
-    return F.sha2(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), canon), 512)
+    """128 hexadecimal digits of HMAC-SHA-512."""
+    own = key.encode()
+    own = (hashlib.sha512(own).digest() if len(own) > 128 else own).ljust(128, b"\0")
+    pad = lambda x: F.lit(bytearray(c ^ x for c in own))
+    inner = F.sha2(F.concat(pad(0x36), F.encode(F.concat_ws("|", kind, attempt.cast("string"), canon), "UTF-8")), 512)
+    return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 512)
 
 
 def _number(h: Column, i: Column) -> Column:
@@ -132,11 +145,22 @@ def _each(text: Column, change) -> Column:
     return F.when(F.char_length(text) > 0, F.array_join(chars, "")).otherwise(text)
 
 
+#: Small and capital letters of a script, in order.
+_SCRIPTS = {
+    "cyrillic": ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"),
+    "greek": ("αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    "latin": ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+}
+
+
 def _letters(c: Column, n: Column) -> Column:
-    """A character of the same class, picked by n."""
-    pick = lambda first, size: F.chr(F.lit(ord(first)) + F.pmod(n, F.lit(size)))
-    low = lambda first, size: F.substr(F.lit("".join(chr(ord(first) + k) for k in range(size))), F.pmod(n, F.lit(size)) + 1, F.lit(1))
-    return F.when(c.rlike("[0-9]"), pick("0", 10)).when(c.rlike("[a-z]"), pick("a", 26)).when(c.rlike("[A-Z]"), pick("A", 26)).when(c.rlike("[а-я]"), low("а", 32)).when(c.rlike("[А-Я]"), low("А", 32)).when(c.rlike(r"\p{Ll}"), pick("a", 26)).when(c.rlike(r"\p{Lu}"), pick("A", 26)).otherwise(c)
+    """A character of the same class and script, picked by n."""
+    pick = lambda letters: F.substr(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1))
+    out = F.when(c.rlike("[0-9]"), pick("0123456789"))
+    for script, (small, capital) in _SCRIPTS.items():
+        of = rf"(?=\p{{Is{script.title()}}})" if script != "latin" else ""
+        out = out.when(c.rlike(rf"{of}\p{{Ll}}"), pick(small)).when(c.rlike(rf"{of}\p{{Lu}}"), pick(capital))
+    return out.otherwise(c)
 
 
 def _luhn(d: Column) -> Column:
@@ -151,41 +175,60 @@ def _luhn(d: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add)
 
 
+def _check_digits(iban: Column) -> Column:
+    """The two digits behind the country code that make the whole 1 modulo 97."""
+    turned = F.concat(F.substr(iban, F.lit(5), F.char_length(iban)), F.substr(iban, F.lit(1), F.lit(2)), F.lit("00"))
+
+    def add(acc: Column, i: Column) -> Column:
+        c = F.substr(turned, i, F.lit(1))
+        return F.when(c.rlike("[0-9]"), (acc * 10 + c.cast("int")) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
+
+    return F.lpad((98 - F.aggregate(F.sequence(F.lit(1), F.char_length(turned)), F.lit(0), add)).cast("string"), 2, "0")
+
+
 def surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical form of the surrogate."""
     h = _stream(key, kind, canon, attempt)
-    any_char = _each(canon, lambda c, i: _letters(c, _number(h, i)))
+    length = F.char_length(canon)
+    changed = lambda at: F.concat(F.substr(canon, F.lit(1), F.lit(at)), _each(F.substr(canon, F.lit(at + 1), length), lambda c, i: _letters(c, _number(h, i))))
+    # Beyond the format: digits and letters, more with each attempt.
+    more = F.when(attempt >= PLAIN, F.substr(_stream(key, F.concat(kind, F.lit("+")), canon, attempt), F.lit(1), (attempt - PLAIN + 1) * 4)).otherwise("")
+    digits = F.translate(more, "abcdef", "012345")
     # Numbers keep what names their kind: a card its first digit, a phone number its country code's first.
-    number = F.concat(F.substr(canon, F.lit(1), F.lit(1)), _each(F.substr(canon, F.lit(2), F.char_length(canon)), lambda c, i: _letters(c, _number(h, i))))
+    number = changed(1)
     body = F.concat(F.substr(number, F.lit(1), F.lit(15)), F.lit("0"))
     card = F.when(_luhn(canon) % 10 == 0, F.concat(F.substr(body, F.lit(1), F.lit(15)), F.pmod(10 - _luhn(body) % 10, F.lit(10)).cast("string"))).otherwise(number)
     ip = F.concat_ws(".", *[(F.pmod(_number(h, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)])
-    iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), _each(F.substr(canon, F.lit(3), F.char_length(canon)), lambda c, i: _letters(c, _number(h, i))))
-    gender, name = F.substr(canon, F.lit(1), F.lit(1)), F.substr(canon, F.lit(3), F.char_length(canon))
-    cyrillic = name.rlike(r"\p{IsCyrillic}")
+    iban = F.transform(F.array(F.concat(F.substr(canon, F.lit(1), F.lit(4)), F.substr(changed(4), F.lit(5), length), digits)), lambda x: F.concat(F.substr(x, F.lit(1), F.lit(2)), _check_digits(x), F.substr(x, F.lit(5), F.char_length(x))))[0]
+    gender, name = F.substr(canon, F.lit(1), F.lit(1)), F.substr(canon, F.lit(3), length)
 
-    def given(sex: str, script: str, i: Column) -> Column:
-        names = F.array(*[F.lit(x.lower()) for x in GIVEN[sex, script]])
-        return F.get(names, F.pmod(_number(h, i), F.lit(len(GIVEN[sex, script]))))
+    def in_script(make) -> Column:
+        return F.when(name.rlike(r"\p{IsCyrillic}"), make("cyrillic")).when(name.rlike(r"\p{IsGreek}"), make("greek")).otherwise(make("latin"))
 
     def first(i: Column) -> Column:
-        return F.when(cyrillic, F.when(gender == "m", given("m", "cyrillic", i)).otherwise(given("f", "cyrillic", i))).otherwise(F.when(gender == "m", given("m", "latin", i)).otherwise(given("f", "latin", i)))
+        def given(sex: str, script: str) -> Column:
+            return F.get(F.array(*[F.lit(x.lower()) for x in GIVEN[sex, script]]), F.pmod(_number(h, i), F.lit(len(GIVEN[sex, script]))))
+
+        return in_script(lambda script: F.when(gender == "m", given("m", script)).otherwise(given("f", script)))
 
-    def syllables(a: str, b: str) -> Column:
+    def last(script: str) -> Column:
+        a, b = {"cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρστχ", "αειου"), "latin": ("bcdfgklmnprst", "aeiou")}[script]
         part = lambda i: F.concat(F.substr(F.lit(a), F.pmod(_number(h, F.lit(i)), F.lit(len(a))) + 1, F.lit(1)), F.substr(F.lit(b), F.pmod(_number(h, F.lit(i + 1)), F.lit(len(b))) + 1, F.lit(1)))
-        return F.concat(part(3), part(5), part(7), part(9))
+        return F.concat(part(3), part(5), part(7), part(9), F.translate(more, "0123456789abcdef", _SCRIPTS[script][0][:16]))
 
-    last = F.when(cyrillic, syllables("бвгдзклмнпрст", "аеиоу")).otherwise(syllables("bcdfgklmnprst", "aeiou"))
     words = F.split(name, " ")
 
     def word(w: Column, i: Column) -> Column:
         at = F.when(i == 0, 1).otherwise(i + 10)
-        return F.when((i == F.size(words) - 1) & (F.char_length(w) > 1), last).when(F.char_length(w) == 1, _letters(w, _number(h, at))).when(w.isin(_PARTICLES), w).otherwise(first(at))
+        short = F.concat(_letters(w, _number(h, at)), F.when(i == F.size(words) - 1, F.translate(more, "0123456789", "ghijklmnop")).otherwise(""))
+        return F.when((i == F.size(words) - 1) & (F.char_length(w) > 1), in_script(last)).when(F.char_length(w) == 1, short).when(w.isin(_PARTICLES), w).otherwise(first(at))
 
     person = F.concat(gender, F.lit(":"), F.array_join(F.transform(words, word), " "))
     at = F.instr(canon, "@")
-    mail = F.concat(F.substr(any_char, F.lit(1), at), F.regexp_replace(F.substr(any_char, at + 1, F.char_length(canon)), r"[^.]+$", ""), F.regexp_extract(canon, r"([^.]+)$", 1))
-    return F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "name", person).when(kind == "email", mail).otherwise(number)
+    any_char = changed(0)
+    mail = F.concat(F.translate(more, "0123456789", "ghijklmnop"), F.substr(any_char, F.lit(1), at), F.regexp_replace(F.substr(any_char, at + 1, length), r"[^.]+$", ""), F.regexp_extract(canon, r"([^.]+)$", 1))
+    plain = F.when(kind == "card", F.concat(card, digits)).when(kind == "ip", F.concat(ip, F.when(attempt >= PLAIN, F.lit(".")).otherwise(""), digits))
+    return plain.when(kind == "iban", iban).when(kind == "name", person).when(kind == "email", mail).otherwise(F.concat(number, digits))
 
 
 def shown(kind: Column, m: Column, new: Column) -> Column:
@@ -199,6 +242,7 @@ def shown(kind: Column, m: Column, new: Column) -> Column:
         before = F.char_length(F.regexp_replace(F.substr(m, F.lit(1), i), " ", ""))
         return F.when(c != " ", F.substr(new, before, F.lit(1))).otherwise(c)
 
+    tail = lambda used: F.substr(new, F.char_length(used) + 1, F.char_length(new))
     same = _each(m, lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substr(new, i, F.lit(1)))).otherwise(F.substr(new, i, F.lit(1))))
     words, own = F.split(F.substr(new, F.lit(3), F.char_length(new)), " "), F.split(_bare(m), " ")
 
@@ -209,7 +253,8 @@ def shown(kind: Column, m: Column, new: Column) -> Column:
         return F.when(w.rlike(r"^\p{Lu}\.$"), F.concat(short, F.lit("."))).when(w.rlike(r"^\p{Lu}$"), short).when(w.rlike(r"^\P{Ll}+$"), F.upper(x)).when(w.rlike(r"^\p{Ll}"), x).otherwise(F.initcap(x))
 
     person = F.concat(_title(m), F.array_join(F.transform(own, word), " "))
-    return F.when(kind.isin("card", "ssn", "phone"), _each(m, digit)).when(kind == "iban", _each(m, not_space)).when(kind == "name", person).when(kind == "email", same).otherwise(new)
+    numbers = F.concat(_each(m, digit), tail(F.regexp_replace(m, "[^0-9]", "")))
+    return F.when(kind.isin("card", "ssn", "phone"), numbers).when(kind == "iban", F.concat(_each(m, not_space), tail(F.regexp_replace(m, " ", "")))).when(kind == "name", person).when(kind == "email", F.concat(same, tail(m))).otherwise(new)
 
 
 def _entities(text: Column, pattern: Column, people: Column) -> Column:
@@ -237,21 +282,27 @@ def _found(rows: DataFrame) -> DataFrame:
 def attempts(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first surrogate would meet another's or a real entity.
 
-    entities are distinct (kind, canon). Of the entities that meet, the least keeps its surrogate.
+    entities are distinct (kind, canon). Of the entities that meet, the least keeps its surrogate. Later attempts have room for all, as
+    surrogates grow; after 32 attempts there is an error.
     """
-    real = entities.select("kind", F.col("canon").alias("new"))
-    open_, kept = materialize(entities.withColumn("attempt", F.lit(0))), None
-    while True:
-        tried = open_.withColumn("new", surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt")))
+    n = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind, canon = F.col("kind"), F.col("canon")
+    # The rows are few and each costs much: they are dealt over all tasks.
+    entities = materialize(entities.repartition(n, "kind", "canon"))
+    real = entities.select("kind", canon.alias("new"))
+    open_, kept = entities, None
+    for attempt in range(32):
+        tried = materialize(open_.repartition(n, "kind", "canon").withColumn("new", surrogate(key, kind, canon, F.lit(attempt))))
         first = tried.groupBy("kind", "new").agg(F.min("canon").alias("canon"))
         free = first.join(real, ["kind", "new"], "left_anti")
         if kept is not None:
             free = free.join(kept.select("kind", "new"), ["kind", "new"], "left_anti")
-        won = materialize(tried.join(free, ["kind", "new", "canon"], "left_semi").select("kind", "canon", "attempt", "new"))
+        won = materialize(tried.join(free, ["kind", "new", "canon"], "left_semi").select("kind", "canon", F.lit(attempt).alias("attempt"), "new"))
         kept = won if kept is None else kept.unionByName(won)
-        open_ = materialize(open_.join(won, ["kind", "canon"], "left_anti").withColumn("attempt", F.col("attempt") + 1))
+        open_ = materialize(open_.join(won, ["kind", "canon"], "left_anti"))
         if open_.isEmpty():
             return kept.where("attempt > 0").select("kind", "canon", "attempt")
+    raise RuntimeError("surrogates still meet after 32 attempts")
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,7 +313,9 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(row_id(id_col).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
-    seen = _found(rows).where(F.size("found") > 0).select("did", "th", F.explode("found").alias("e")).select("did", "th", "e.kind", "e.canon")
+    # Texts are searched once; the matches are kept beside them.
+    rows = materialize(_found(rows).withColumn("pattern", F.when(F.size("found") > 0, F.nullif("pattern", F.lit(_ANY)))))
+    seen = rows.where(F.size("found") > 0).select("did", "th", F.explode("found").alias("e")).select("did", "th", "e.kind", "e.canon")
     seen = materialize(seen.distinct())
     moved = attempts(seen.select("kind", "canon").distinct(), key)
     placed = seen.join(moved, ["kind", "canon"]).groupBy("did", "th").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("moved"))
@@ -273,10 +326,9 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
         attempt = F.coalesce(F.element_at("moved", F.concat_ws("|", e["kind"], e["canon"])), F.lit(0))
         return F.transform(F.array(surrogate(key, e["kind"], e["canon"], attempt)), lambda n: shown(e["kind"], e["m"], n))[0]
 
-    gaps = F.split("text", F.col("pattern"), -1)
+    gaps = F.split("text", F.coalesce("pattern", F.lit(_ANY)), -1)
     joined = F.array_join(F.zip_with(gaps, F.transform("found", replace), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
-    done = _found(out)
-    return done.select(public_id("did").alias(id_col), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities"), F.when(F.size("found") > 0, joined).otherwise(F.col("text")).alias(text_col))
+    return out.select(public_id("did").alias(id_col), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_entities"), F.when(F.size("found") > 0, joined).otherwise(F.col("text")).alias(text_col))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
