@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,19 +18,39 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. A local session without it (tests) gets one of its own, gone at its end."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="clauseloom-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="clauseloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = "file://" + own
         spark.conf.set("spark.checkpoint.dir", path)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)
+        _gone_at_exit(sc, sc._jsc.sc().getCheckpointDir().get())
+    return path
+
+
+def _gone_at_exit(sc, path: str) -> None:
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+
+
+def stage_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for files between two steps; it goes when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _gone_at_exit(spark.sparkContext, path)
     return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Computes df once into the shared folder; Spark's cleaner drops the files when no plan holds them."""
+    """Computes df once into the shared folder. The files go with the driver, and before that with the last plan that
+    holds them where spark.cleaner.referenceTracking.cleanCheckpoints is set, as the engine's own sessions do."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -12,15 +12,15 @@ of a range that is a member by its header and its first decoded bytes, those of
 begins; from there on members follow each other, and a piece that ends before its member does goes on in the
 next, as the data happened to hold the magic. Members cut by the end of a range are joined with the pieces
 that open the next ranges. (A range that begins inside a payload which is itself an uncompressed archive can take a
-inner record for its first; the member around it is then found cut, which is an error.) Archives must not be named .gz, which Hadoop would not split.
+inner record for its first; the member around it is then found cut and reported as damaged.) Archives must not be named .gz, which Hadoop would not split.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import batch, public_id, row_id, shared_dir
+from ._shared import batch, public_id, row_id, stage_dir
 
 _MAGIC = b"\x1f\x8b\x08"
 _EMPTY_MEMBER = _MAGIC + bytes(6) + b"\xff\x03\x00" + bytes(8)
@@ -82,7 +82,9 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000, date: s
     rows = pages.select(row_id("page_id").alias("_p"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha", F.sha1("html"))
     large = F.octet_length("html") >= min_revisit
     groups = rows.where(large).groupBy("sha").agg(F.max("_p").alias("newest"), F.count("*").alias("copies")).where("copies > 1").select("sha", "newest")
-    joined = rows.join(groups, "sha", "left")
+    # Payloads too small for revisits have keys of their own, so that empty pages do not meet in one task.
+    keyed = rows.withColumn("_key", F.when(large, F.col("sha")).otherwise(F.concat(F.lit("-"), F.xxhash64("_p", "url").cast("string"))))
+    joined = keyed.join(groups.withColumnRenamed("sha", "_key"), "_key", "left")
     refers = F.when(large & (F.col("newest") != F.col("_p")), F.col("newest"))
     write, schema = _write(date)
     members = joined.select(public_id("_p").alias("page"), "url", "html", "sha", refers.alias("refers")).mapInArrow(write, schema)
@@ -110,14 +112,8 @@ def starts_record(piece: bytes) -> bool:
     return first.startswith(b"WARC/") or (not first and z.eof)
 
 
-def inflate(piece: bytes) -> bytes | None:
-    """The data of a whole member, None if it is cut. A damaged one is an error."""
-    z = zlib.decompressobj(31)
-    try:
-        data = z.decompress(_MAGIC + piece)
-    except zlib.error as e:
-        raise ValueError("a member is damaged") from e
-    return data if z.eof else None
+#: What a damaged member gives: no page, no payload, record_type damaged.
+_DAMAGED = (None, None, None, "damaged", None, None, None)
 
 
 _FIELDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
@@ -137,48 +133,90 @@ def _fields(data: bytes, keep: bool) -> tuple | None:
     kind = r.get("warc-type")
     digest = base64.b32decode(r["warc-payload-digest"].removeprefix("sha1:")).hex() if "warc-payload-digest" in r else hashlib.sha1(r[":payload"]).hexdigest()
     if kind == "response" and digest != hashlib.sha1(r[":payload"]).hexdigest():
-        raise ValueError(f"payload of {r.get('warc-record-id')} does not match its digest")
+        return (_number(r.get("warc-record-id")), *_DAMAGED[1:])
     return _number(r.get("warc-record-id")), length, digest, kind, _number(r.get("warc-refers-to")), r.get("warc-target-uri"), r[":payload"] if keep else None
 
 
+class _Members:
+    """Puts members together from the pieces between magics, one inflation over all of a member's pieces."""
+
+    def __init__(self, keep: bool):
+        self.keep = keep
+        self.reset()
+
+    def reset(self) -> None:
+        self.z, self.pieces, self.out, self.began = None, [], [], False
+
+    def push(self, piece: bytes) -> list[tuple] | None:
+        """The records that end with the piece; None for a piece before the first start. Behind a damaged member, what was taken into it
+        is looked through for the next start."""
+        if self.z is None and not self.began and not starts_record(piece):
+            return None
+        rows, queue = [], deque([piece])
+        while queue:
+            own = queue.popleft()
+            if self.z is None:
+                if not self.began and not starts_record(own):
+                    continue
+                self.began, self.z, self.pieces, self.out = True, zlib.decompressobj(31), [], []
+            self.pieces.append(own)
+            try:
+                self.out.append(self.z.decompress(_MAGIC + own))
+            except zlib.error:
+                queue.extendleft(reversed(self.pieces[1:]))
+                self.reset()
+                rows.append(_DAMAGED)
+                continue
+            if self.z.eof:
+                got = _fields(b"".join(self.out), self.keep)
+                self.z, self.pieces, self.out = None, [], []
+                if got:
+                    rows.append(got)
+        return rows
+
+    def finish(self) -> list[tuple]:
+        """What is still open is damaged, and what was taken into it is looked through."""
+        rows = []
+        while self.z is not None:
+            rows.append(_DAMAGED)
+            held = self.pieces[1:]
+            self.reset()
+            for piece in held:
+                rows += self.push(piece) or []
+        return rows
+
+
 def _scan(keep: bool):
-    """Decodes the members that lie whole in a range; kind 0: a record, 1: the start of a cut member, 2: a piece without a start before it in its range."""
+    """Decodes the members that lie whole in a range; kind 0: a record, 1: the start of a cut member, 2: a piece without a start before
+    it in its range, 3: a place behind which pieces belong to no cut member, as a damaged one stands there."""
     out = pa.schema([("kind", pa.int32()), ("file", pa.string()), ("at", pa.int64()), ("seq", pa.int64()), ("piece", pa.binary()), *_FIELDS])
+    none = [None] * len(_FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, seq, open_piece, began = None, 0, None, False
+        where, seq, members = None, 0, _Members(keep)
         rows: list[tuple] = []
 
         def close():
-            nonlocal open_piece
-            if open_piece is not None:
-                rows.append((1, *where, seq, open_piece, *[None] * len(_FIELDS)))
-                open_piece = None
-
-        def take(piece: bytes) -> bytes | None:
-            """Emits the record if the piece is a whole member, else returns it."""
-            data = inflate(piece)
-            if data is None:
-                return piece
-            if got := _fields(data, keep):
-                rows.append((0, *where, seq, None, *got))
-            return None
+            if members.z is not None:
+                rows.append((1, *where, seq, _MAGIC.join(members.pieces), *none))
+            members.reset()
 
         for b in batches:
             for file, at, piece in zip(b["file"].to_pylist(), b["at"].to_pylist(), b["piece"].to_pylist(), strict=True):
                 if (file, at) != where:
                     close()
-                    where, seq, began = (file, at), 0, False
+                    where, seq = (file, at), 0
                 seq += 1
                 if at == 0 and seq == 1 and not piece:
                     continue  # what stands before the first magic
-                if open_piece is not None:
-                    open_piece = take(open_piece + _MAGIC + piece)
-                elif began or starts_record(piece):
-                    began = True
-                    open_piece = take(piece)
-                else:
-                    rows.append((2, *where, seq, piece, *[None] * len(_FIELDS)))
+                found = members.push(piece)
+                if found is None:
+                    rows.append((2, *where, seq, piece, *none))
+                    continue
+                for got in found:
+                    rows.append((0, *where, seq, None, *got))
+                    if got is _DAMAGED:
+                        rows.append((3, *where, seq, None, *none))
             if len(rows) > 500:
                 cols = list(zip(*rows, strict=True))
                 rows = []
@@ -195,11 +233,11 @@ def _stitch(keep: bool):
         for b in batches:
             rows = []
             for parts in b["parts"].to_pylist():
-                data = inflate(_MAGIC.join(p["piece"] for p in sorted(parts, key=lambda p: (p["at"], p["seq"]))))
-                if data is None:
-                    raise ValueError("a member is cut")
-                if got := _fields(data, keep):
-                    rows.append(got)
+                members = _Members(keep)
+                for p in sorted(parts, key=lambda p: (p["at"], p["seq"])):
+                    for piece in p["piece"].split(_MAGIC):
+                        rows += members.push(piece) or []
+                rows += members.finish()
             cols = list(zip(*rows, strict=True)) or [[]] * len(_FIELDS)
             yield batch(_FIELDS, **dict(zip(_FIELDS.names, cols, strict=True)))
 
@@ -209,8 +247,8 @@ def _stitch(keep: bool):
 def read_archives(spark, path: str, payload: bool = True) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload) for every record of the archives under path.
 
-    A revisit has the length and digest of the full payload, and no payload. Damaged members and a response
-    that does not match its digest raise an error.
+    A revisit has the length and digest of the full payload, and no payload. A damaged or cut member, and a response that does not
+    match its digest, give a row of record_type damaged; reading goes on at the next record behind it.
     """
     raw = spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\x1f\x8b\x08").text(path)
     pieces = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("piece"))
@@ -219,14 +257,14 @@ def read_archives(spark, path: str, payload: bool = True) -> DataFrame:
     whole = found.where("kind = 0").select(*_FIELDS.names)
     # At most one cut member a range, and the pieces that follow it.
     cut = found.where("kind > 0").select("kind", "file", "at", "seq", "piece")
-    owner = F.last(F.when(F.col("kind") == 1, F.struct("at", "seq")), ignorenulls=True).over(W.partitionBy("file").orderBy("at", "seq"))
-    parts = cut.withColumn("owner", owner).where("owner is not null").groupBy("file", "owner").agg(F.collect_list(F.struct("at", "seq", "piece")).alias("parts"))
+    owner = F.last(F.when(F.col("kind").isin(1, 3), F.struct("kind", "at", "seq")), ignorenulls=True).over(W.partitionBy("file").orderBy("at", "seq", "kind"))
+    parts = cut.withColumn("owner", owner).where("owner.kind = 1").groupBy("file", "owner").agg(F.collect_list(F.struct("at", "seq", "piece")).alias("parts"))
     stitch, schema = _stitch(payload)
     return whole.unionByName(parts.mapInArrow(stitch, schema))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark, 'warc')}/archives"
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     return read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
