@@ -1,9 +1,9 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Test items and documents are compared after lower-casing, with every run of other characters than
-letters and digits as one space. An item of m characters may differ in k = error_rate m edits; it is cut in k + 1
-pieces, of which one must stand unchanged in any passage within that distance. One automaton finds the
-pieces of all items in a pass over the document; around each hit Myers' bit-parallel distance decides.
+letters and digits as one space. An item of m characters may differ in k = error_rate m edits (a space at both ends, so that
+words are whole, counts too); it is cut in k + 1 pieces, of which one must stand unchanged in any passage within that distance.
+One automaton finds the pieces of many items in a pass over the document; around each hit Myers' bit-parallel distance decides.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def least_distance(item: str, window: str) -> int:
 class Matcher:
     """Finds the items that stand in a text within their error budgets."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, short: int):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float):
         import ahocorasick
 
         self.items = []
@@ -68,9 +68,7 @@ class Matcher:
             item = normal(text)
             if not item:
                 continue
-            errors = int(error_rate * len(item)) if len(item) >= short else 0
-            if len(item) < short:
-                item = f" {item} "  # short items must stand as whole words
+            errors, item = int(error_rate * len(item)), f" {item} "
             self.items.append((item_id, item, errors))
             for at, piece in pieces(item, errors):
                 places.setdefault(piece, []).append((len(self.items) - 1, at))
@@ -104,13 +102,13 @@ class Matcher:
         return found
 
 
-def _scan(items, error_rate: float, short: int):
+def _scan(items, error_rate: float):
     out = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = worker_cache()
         if kept.get("matcher_of") != items.id:
-            kept["matcher"], kept["matcher_of"] = Matcher(items.value, error_rate, short), items.id
+            kept["matcher"], kept["matcher_of"] = Matcher(items.value, error_rate), items.id
         find = kept["matcher"].find
         for b in batches:
             rows = [(did, th, item, d) for did, th, text in zip(b["did"].to_pylist(), b["th"].to_pylist(), b["text"], strict=True) for item, d in find(text.as_py()).items()]
@@ -132,21 +130,24 @@ class _Items:
     def value(self):
         return self._held.value
 
+    def drop(self) -> None:
+        self._held.unpersist()
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", error_rate: float = 0.05, short: int = 20, broadcast_chars: int = 16_000_000) -> DataFrame:
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", error_rate: float = 0.05, broadcast_chars: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, distance): each document and test item that stands in it within error_rate of its length.
 
-    Items of fewer than short characters must stand unchanged and as whole words; empty and null items match nothing. The
-    items are sent to the tasks in groups of at most about broadcast_chars characters, each with a pass of its own over
-    the documents. Documents without a match and null texts have no row; repeated ids and items give one row. Other
-    columns are not read.
+    Items too short for an edit must stand unchanged; empty and null items match nothing. The items are sent to the tasks in
+    groups of at most about broadcast_chars characters, one group at a time with a pass of its own over the documents, so
+    neither the driver nor a task ever holds more. Documents without a match and null texts have no row; repeated ids and items
+    give one row. Other columns are not read.
     """
-    found = _hits(docs, benchmark, id_col, text_col, error_rate, short, broadcast_chars)
+    found = _hits(docs, benchmark, id_col, text_col, error_rate, broadcast_chars)
     best = found.groupBy("did", "item_id").agg(F.min("distance").alias("distance"))
     return best.select(public_id("did").alias(id_col), "item_id", "distance")
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", error_rate: float = 0.05, short: int = 20, broadcast_chars: int = 16_000_000) -> DataFrame:
+def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", error_rate: float = 0.05, broadcast_chars: int = 2_000_000) -> DataFrame:
     """(did, th, item_id, distance) of every row and item, th the hash of the row's text."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
@@ -157,8 +158,12 @@ def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     found = None
     for g in range(groups):
         rows = [(r.item_id, r.text) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()]
-        run, schema = _scan(_Items(spark, rows), error_rate, short)
+        items = _Items(spark, rows)
+        run, schema = _scan(items, error_rate)
         hits = source.mapInArrow(run, schema)
+        if groups > 1:
+            hits = materialize(hits)
+            items.drop()
         found = hits if found is None else found.unionByName(hits)
     return found
 
