@@ -25,6 +25,7 @@ PATTERNS = {
     "endpoint": (r"((?:[a-z][a-z0-9+]*://[A-Za-z0-9._~:/?#@!$&()*+;=%-]+))", 1, 8),
 }
 _SPAN = "array<struct<kind:int,lo:int,hi:int>>"
+CHUNK = 128
 
 
 def spans_of(text: Column, kind: str) -> Column:
@@ -37,21 +38,40 @@ def spans_of(text: Column, kind: str) -> Column:
         F.split(text, pattern, -1).alias("gaps"),
     )
 
-    def place(s: Column) -> Column:
-        start = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
+    def one(gap: Column, m: Column) -> Column:
+        return F.struct(F.char_length(gap).alias("gap"), F.char_length(m).alias("own"))
 
-        def step(acc: Column, i: Column) -> Column:
-            lo = acc["pos"] + F.char_length(F.get(s["gaps"], i))
-            hi = lo + F.char_length(F.get(s["m"], i))
-            ok = F.char_length(F.get(s["v"], i)) >= least
-            if kind == "part":
-                ok &= F.get(s["v"], i).rlike("[0-9]") & F.get(s["v"], i).rlike("[A-Za-z]")
-            one = F.array(F.struct(F.lit(number).alias("kind"), lo.alias("lo"), hi.alias("hi"))).cast(_SPAN)
-            return F.struct(hi.alias("pos"), F.when(ok, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def long_enough(v: Column) -> Column:
+        ok = F.char_length(v) >= least
+        return ok & v.rlike("[0-9]") & v.rlike("[A-Za-z]") if kind == "part" else ok
 
-        return F.when(F.size(s["m"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(s["m"]) - 1), start, step, lambda acc: acc["out"]))
+    def chunks(s: Column) -> Column:
+        """The matches with their lengths, ``CHUNK`` at a time: positions add up within a chunk and over the chunks, so the
+        lists that grow by copying stay short."""
+        n = F.size(s["m"])
+        each = F.zip_with(F.zip_with(F.slice(s["gaps"], F.lit(1), n), s["m"], one), s["v"], lambda x, v: F.struct(x["gap"].alias("gap"), x["own"].alias("own"), long_enough(v).alias("ok")))
+        return F.transform(F.array(each), lambda e: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: F.slice(e, c * CHUNK + 1, F.lit(CHUNK))))[0]
 
-    return F.coalesce(F.when(text.rlike(pattern), F.transform(F.array(found), place)[0]), F.array().cast(_SPAN))
+    def place(parts: Column) -> Column:
+        sums = F.transform(parts, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["gap"] + x["own"]))
+        none = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(sums, none, lambda a, x: F.struct((a["pos"] + x).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")), lambda a: a["out"])
+
+        def spans(c: Column, start: Column) -> Column:
+            def step(a: Column, x: Column) -> Column:
+                lo = a["pos"] + x["gap"]
+                hi = lo + x["own"]
+                span = F.array(F.struct(F.lit(number).alias("kind"), lo.alias("lo"), hi.alias("hi"))).cast(_SPAN)
+                return F.struct(hi.alias("pos"), F.when(x["ok"], F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
+
+            return F.aggregate(c, F.struct(start.alias("pos"), F.array().cast(_SPAN).alias("out")), step, lambda a: a["out"])
+
+        return F.flatten(F.zip_with(parts, starts, spans))
+
+    def of(s: Column) -> Column:
+        return F.when(F.size(s["m"]) > 0, F.transform(F.array(chunks(s)), place)[0])
+
+    return F.coalesce(F.when(text.rlike(pattern), F.transform(F.array(found), of)[0]), F.array().cast(_SPAN))
 
 
 def _text_of(spans: Column) -> Column:
@@ -70,15 +90,20 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(row_id(id_col).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
     rows = rows.select("did", "th", *[spans_of(F.col("text"), k).alias(k) for k in KINDS])
-    base = F.concat("assign", "access", "hex")
-    # A weak span that overlaps a base one is the base one's.
-    weak = F.filter(F.concat("ident", "part", "endpoint"), lambda w: ~F.exists(base, lambda b: (b["lo"] < w["hi"]) & (w["lo"] < b["hi"])))
-    rows = materialize(rows.select("did", "th", base.alias("base"), weak.alias("weak")))
+    rows = materialize(rows.select("did", "th", F.concat("assign", "access", "hex").alias("base"), F.concat("ident", "part", "endpoint").alias("weak")))
     parts = rows.where(F.size("weak") > 0).distinct().select("did", "th", F.explode(F.concat("base", "weak")).alias("s")).select("did", "th", "s.kind", "s.lo", "s.hi")
 
     def bins(lo: Column, hi: Column) -> Column:
         return F.explode(F.sequence(F.floor(lo / reach), F.floor(hi / reach))).alias("bin")
 
+    def binned(some: DataFrame, p: str) -> DataFrame:
+        return some.select("did", "th", *[F.col(c).alias(f"{p}{c}") for c in ("kind", "lo", "hi")], bins(F.col("lo"), F.col("hi")))
+
+    # A weak span that overlaps a base one is the base one's.
+    b, w = binned(parts.where("kind < 3"), "b_"), binned(parts.where("kind >= 3"), "")
+    inside = w.join(b, ["did", "th", "bin"]).where("b_lo < hi and lo < b_hi").select("did", "th", "kind", "lo", "hi").distinct()
+    parts = parts.join(inside, ["did", "th", "kind", "lo", "hi"], "left_anti")
+
     roles = {"id": F.col("kind").isin(1, 3), "secret": F.col("kind").isin(0, 2, 4)}
 
     def near(some: DataFrame, role: str) -> DataFrame:
