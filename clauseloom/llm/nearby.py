@@ -343,9 +343,11 @@ def classes_of_rows(docs: DataFrame, id_col: str, text_col: str, width: int, per
     if not placed.isEmpty():
         more = _across(placed, bodies, percent, n_out)
         classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
-    placed = nodes.select("node", "least").join(classes.withColumnRenamed("id", "node"), "node", "left").withColumn("class", F.coalesce("component", "node"))
-    named = placed.groupBy("class").agg(F.min("least").alias("named"))
-    placed = materialize(placed.join(named, "class").select("node", "class", "named"))
+    placed = materialize(nodes.select("node", "least").join(classes.withColumnRenamed("id", "node"), "node", "left"))
+    linked = placed.where("component is not null").select("node", "least", F.col("component").alias("class"))
+    named = linked.groupBy("class").agg(F.min("least").alias("named"))
+    linked = _spread_join(linked, named, "class", by="node").select("node", "class", "named")
+    placed = materialize(linked.unionByName(placed.where("component is null").select("node", F.col("node").alias("class"), F.col("least").alias("named"))))
     if repeated:
         sets = sets.join(one, "did", "left").withColumn("node", F.coalesce("first", "node"))
     out = sets.select("did", "th", "n", "row", "node").join(placed, "node", "left")
