@@ -7,11 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import meet
-
-
-def once(spark):
-    """Cuts the plan between the rounds of a loop: a checkpoint where the session has a folder for it, else a cached copy."""
-    return (lambda df: df.checkpoint()) if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else (lambda df: df.persist())
+from .records import once
 
 
 def walk(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, reverse: bool = False, depth: int | None = None) -> DataFrame:

@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy
 from ..functions import text as X
 from ..functions.fuzzy import indel_ratio, sequence_ratio, token_set_ratio
-from .graph import once
 from .joins import block_keys, cosine_between, meet, tfidf, top_k
-from .records import halved_threshold
+from .records import halved_threshold, once
 
 #: Queries that are held at once.
 BLOCK = 256

@@ -82,9 +82,42 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, columns: list[str], order: str, partition: str | None = None) -> DataFrame:
-    """Nulls take the last value before them, within the partition where one is given."""
-    w = (W.partitionBy(partition) if partition else W.partitionBy(F.lit(0))).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    """Nulls take the last value before them, within the partition where one is given.
+
+    Without one the rows are cut into ranges of the order, and each range takes what the ranges before it end with.
+    """
+    if partition:
+        w = W.partitionBy(partition).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    cut = in_ranges(df, order)
+    ends = cut.groupBy("_range").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
+    # One row a range.
+    w = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = ends.select("_range", *[F.last(c, ignorenulls=True).over(w).alias(f"_before_{c}") for c in columns])
+    w = W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    filled = cut.join(F.broadcast(before), "_range")
+    return filled.select(*[F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"_before_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """df with _range, the number of the range of the order that a row is in; computed once, as ranges are drawn from a sample."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return once(df.sparkSession)(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, column: str, *order: str) -> DataFrame:
+    """Df with numbers from 1 in the order, which must tell all rows apart; ranges are numbered by themselves and moved on."""
+    cut = in_ranges(df, *order)
+    # One row a range.
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_size"))
+    offset = F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return cut.join(F.broadcast(sizes.select("_range", offset.alias("_offset"))), "_range").withColumn(column, own + F.col("_offset")).drop("_range", "_offset")
+
+
+def once(spark):
+    """Computes a plan that others build on: a checkpoint where the session has a folder for it, else a cached copy."""
+    return (lambda df: df.checkpoint()) if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty() else (lambda df: df.persist())
 
 
 def score_json(*scores: str) -> Column:

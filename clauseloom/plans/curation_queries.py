@@ -414,6 +414,6 @@ def _(t):
     return last_value(t.orders.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).otherwise(" nan")), "o_custkey", "o_orderpriority", "o_orderkey")
 
 
-@query("w06_w07_halved_of_scores", "WITH m AS (SELECT max(l_discount) / 2 AS m FROM lineitem) SELECT (SELECT max(0.64 / 2 ** i) FROM range(11) r(i) WHERE 0.64 / 2 ** i <= m) AS threshold FROM m")
+@query("w06_w07_halved", "WITH m AS (SELECT max(l_discount) / 2 AS m FROM lineitem) SELECT (SELECT max(0.64 / 2 ** i) FROM range(11) r(i) WHERE 0.64 / 2 ** i <= m) AS threshold FROM m")
 def _(t):
     return R.halved_threshold(t.lineitem.select((F.col("l_discount") / 2).alias("score")), "score")

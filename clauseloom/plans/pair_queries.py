@@ -12,7 +12,9 @@ from ..operators import joins as J
 from ..operators import models as M
 from ..operators import quality as V
 from ..operators import records as R
+from ..operators import vectors as N
 from ..sources import readers, writers
+from ..streaming.incremental import remaining
 from .registry import query
 
 _RE = "[\\p{L}\\p{N}_]{2,}"
@@ -126,10 +128,15 @@ def _(t):
 
 @query("j07_s35_vector_search", "SELECT query, id, round(s, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM (SELECT a.vec_id AS query, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.vec_id % 50 = 0)) WHERE rank <= 3")
 def _(t):
-    return readers.vector_search(t.embeddings.where("vec_id % 50 = 0"), t.embeddings, 3).select("query", "id", F.round("score", 5).alias("score"), "rank")
+    return N.vector_search(t.embeddings.where("vec_id % 50 = 0"), t.embeddings, 3).select("query", "id", F.round("score", 5).alias("score"), "rank")
 
 
-@query("m05_j32_unit_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 5) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query("j32_cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.50001")
+def _(t):
+    return N.cosine_pairs(t.embeddings, 0.50001).select("a", "b", F.round("score", 5).alias("score"))
+
+
+@query("m05_unit_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 5) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def _(t):
     x, y = t.embeddings.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), t.embeddings.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
     return x.join(y, "a").select("a", "b", F.round(S.unit_cosine(F.col("x"), F.col("y")), 5).alias("score"))
@@ -193,9 +200,9 @@ def _(t):
     return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey")
 
 
-@query("j26_j27_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j26_j27_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def _(t):
-    return t.customer.join(t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return remaining(t.customer.select("c_custkey"), t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("d06_block_keys", "SELECT p_partkey, '0|' || left(lower(p_name), 12) || '|' || left(lower(p_type), 12) AS head, '1|' || string_split(lower(p_name), ' ')[1] || '|' || string_split(lower(p_type), ' ')[1] AS first, '2|' || left(lower(p_name), 5) || '|' || left(lower(p_type), 5) AS short FROM part")

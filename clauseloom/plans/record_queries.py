@@ -168,11 +168,6 @@ def _(t):
     return R.recommended_score(t.orders, "o_totalprice").select(F.round("mean_head", 4).alias("mean_head"), "at_rank")
 
 
-@query("w06_w07_halved", "SELECT 0.04 AS threshold FROM lineitem HAVING max(l_tax) < 0.16 AND max(l_tax) >= 0.08 LIMIT 1")
-def _(t):
-    return R.halved_threshold(t.lineitem.select((F.col("l_tax") / 2).alias("x")), "x")
-
-
 @query("w08_top_five", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 5")
 def _(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(5)
@@ -192,9 +187,18 @@ def _(t):
 
 @query("w12_surrogate_ids", "SELECT n_name, 'S' || lpad(row_number() OVER (ORDER BY n_name)::VARCHAR, 3, '0') AS id FROM nation")
 def _(t):
-    from pyspark.sql import Window as W
+    return R.numbered(t.nation, "i", "n_name").select("n_name", F.concat(F.lit("S"), F.lpad(F.col("i").cast("string"), 3, "0")).alias("id"))
+
 
-    return t.nation.select("n_name", F.concat(F.lit("S"), F.lpad(F.row_number().over(W.orderBy("n_name")).cast("string"), 3, "0")).alias("id"))
+@query("w12_sequential_ids", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS i FROM orders")
+def _(t):
+    return R.numbered(t.orders, "i", "o_totalprice", "o_orderkey").select("o_orderkey", "i")
+
+
+@query("p26_forward_fill_whole", "SELECT event_id, last_value(CASE WHEN event_id % 97 = 0 THEN event_type END IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS v, last_value(CASE WHEN event_id = 5 THEN user_id END IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS u FROM events")
+def _(t):
+    e = t.events.select("event_id", F.when(F.col("event_id") % 97 == 0, F.col("event_type")).alias("v"), F.when(F.col("event_id") == 5, F.col("user_id")).alias("u"))
+    return R.forward_fill(e, ["v", "u"], "event_id")
 
 
 @query("p26_forward_fill", "SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS v FROM events")

@@ -56,10 +56,10 @@ scalar("x14_citation_context", "documents", "doc_id", lambda: {"n": F.size(X.cit
 scalar("x16_sentences", "documents", "doc_id", lambda: {"n": F.size(X.sentences(T())).cast("long")}, "len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g'))), lambda s: length(s) >= 40)) AS n")
 scalar("x17_guarded_sentences", "documents", "doc_id", lambda: {"n": F.size(X.guarded_sentences(T())).cast("long")})
 scalar("x18_x19_mending", "documents", "doc_id", lambda: {"a": digest(X.mend_hyphens(T())), "b": digest(X.mend_scan(T()))})
-scalar("x20_years", "documents", "doc_id", lambda: {"years": F.array_join(X.years(F.concat(F.lit("2022-2026 FY24 FY 2019 "), F.col("source"))), ",")}, "'2019,2022,2024,2026' AS years")
-scalar("x21_f21_obsolete", "part", "p_partkey", lambda: {"kind": X.document_type(F.concat(F.lit("Strategic Plan "), F.col("p_name"))), "old": X.obsolete(F.concat(F.lit("Strategic Plan 20"), F.lpad(F.pmod("p_partkey", F.lit(50)).cast("string"), 2, "0")))}, "'Strategic Plan' AS kind, (2000 + p_partkey % 50) < 2026 AS old")
+scalar("x20_years", "orders", "o_orderkey", lambda: {"years": F.array_join(X.years(F.concat(F.lit("from 2022-2026, FY24, FY 2019 and "), F.date_format("o_orderdate", "yyyy"), F.lit("."))), ",")}, "array_to_string(list_sort(list_distinct([2019, 2022, 2024, 2026, year(o_orderdate)])), ',') AS years")
+scalar("x21_f21_obsolete", "part", "p_partkey", lambda: {"kind": X.document_type(F.concat(F.element_at(F.array(*[F.lit(x) for x in ("Strategic Plan ", "Annual Report ", "OMB M-", "EO ", "Note ")]), (F.pmod("p_partkey", F.lit(5)) + 1).cast("int")), F.col("p_name"))), "old": X.obsolete(F.concat(F.lit("Strategic Plan 20"), F.lpad(F.pmod("p_partkey", F.lit(50)).cast("string"), 2, "0")))}, "['Strategic Plan', 'Annual Plan/Report', 'OMB Memorandum', 'Executive Order', 'Other'][p_partkey % 5 + 1] AS kind, (2000 + p_partkey % 50) < 2026 AS old")
 scalar("x22_x23_x24_dates", "orders", "o_orderkey", lambda: {"d": X.any_date(F.date_format("o_orderdate", "MM/dd/yyyy")), "f": X.find_date(F.concat(F.lit("on "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit("."))), "i": X.iso_prefix(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm"))}, "o_orderdate::DATE AS d, o_orderdate::DATE AS f, o_orderdate::DATE AS i")
-scalar("x25_x26_slugs", "pages", "page_id", lambda: {"t": X.slug_title(F.lit("https://x.gov/far-case-2021-005")), "c": X.case_citation(F.concat(F.lit("https://x.gov/far-case-2021-"), F.lpad(F.pmod("page_id", F.lit(1000)).cast("string"), 3, "0")))}, "'Far Case 2021 005' AS t, 'FAR Case 2021-' || lpad((page_id % 1000)::VARCHAR, 3, '0') AS c")
+scalar("x25_x26_slugs", "pages", "page_id", lambda: {"t": X.slug_title(F.concat(F.lit("https://x.gov/a/the-page_no-"), F.col("page_id"), F.lit("/"))), "c": X.case_citation(F.concat(F.lit("https://x.gov/far-case-2021-"), F.lpad(F.pmod("page_id", F.lit(1000)).cast("string"), 3, "0")))}, "'The Page No ' || page_id AS t, 'FAR Case 2021-' || lpad((page_id % 1000)::VARCHAR, 3, '0') AS c")
 scalar("x27_metadata", "pages", "page_id", lambda: {"m": F.to_json(X.guess_metadata(F.col("url"), F.col("html")))})
 scalar("x28_triad_hash", "pages", "page_id", lambda: {"h": X.triad_hash(F.col("page_id"), F.nullif(F.col("url"), F.col("url")), F.col("url"))}, "sha256(page_id::VARCHAR || '||nan||' || url) AS h")
 scalar("x29_match_id", "pages", "page_id", lambda: {"h": X.match_id(F.col("url"), F.col("page_id"))}, "left(sha1(lower(trim(url)) || '||' || page_id::VARCHAR), 16) AS h")
@@ -69,7 +69,7 @@ scalar("x35_x36_actions", "documents", "doc_id", lambda: {"a": digest(X.policy_a
 scalar("x39_first_words", "documents", "doc_id", lambda: {"h": digest(X.first_words(T()))}, "md5(array_to_string(list_slice(regexp_extract_all(text, '\\S+'), 1, 300), ' ')) AS h")
 scalar("f12_likely_requirement", "documents", "doc_id", lambda: {"n": F.size(F.filter(X.policy_sentences(_ascii()), X.likely_requirement)).cast("long")})
 scalar("f13_content_status", "pages", "page_id", lambda: {"s": X.content_status(F.col("url"), F.when(F.col("page_id") % 4 == 0, "").when(F.col("page_id") % 4 == 1, F.col("url")).when(F.col("page_id") % 4 == 2, "short").otherwise(F.col("html")))}, "CASE page_id % 4 WHEN 0 THEN 'EMPTY' WHEN 1 THEN 'EQUALS_URL' WHEN 2 THEN 'TOO_SHORT' ELSE 'OK' END AS s")
-scalar("f14_f15_f18_urls", "pages", "page_id", lambda: {"gov": X.gov_host(F.concat(F.lit("https://www.epa.gov/x?"), F.col("page_id"))), "doc": X.document_url(F.concat(F.lit("https://x.org/a."), F.when(F.col("page_id") % 2 == 0, "pdf").otherwise("html"))), "case_page": X.case_url(F.lit("https://x/far-case-2020-001"))}, "true AS gov, page_id % 2 = 0 AS doc, true AS case_page")
+scalar("f14_f15_f18_urls", "pages", "page_id", lambda: {"gov": X.gov_host(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www.epa.gov/x?"), F.col("page_id"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://epa.gov.example.com/"), F.col("page_id"))).otherwise(F.col("url"))), "doc": X.document_url(F.concat(F.lit("https://x.org/a."), F.when(F.col("page_id") % 2 == 0, "pdf").otherwise("html"))), "case_page": X.case_url(F.concat(F.lit("https://x/far-case-"), F.col("page_id") + 1900, F.lit("-001")))}, "page_id % 3 = 0 AS gov, page_id % 2 = 0 AS doc, page_id + 1900 <= 9999 AS case_page")
 scalar("f17_date_window", "orders", "o_orderkey", lambda: {"inside": X.date_window(F.to_date("o_orderdate"), F.to_date(F.lit("1997-06-30")))}, "o_orderdate::DATE BETWEEN DATE '1997-06-30' - 62 AND DATE '1997-06-30' AS inside")
 scalar("f19_generic_name", "part", "p_partkey", lambda: {"g": X.generic_name(F.when(F.col("p_partkey") % 3 == 0, "Section").otherwise(F.col("p_name")))}, "p_partkey % 3 = 0 AS g")
 scalar("s14_html_text", "pages", "page_id", lambda: {"title": X.html_title(F.col("html")), "h": digest(X.html_text(F.col("html")))}, """
@@ -96,14 +96,25 @@ def _paragraphs(t):
     return readers.paragraphs(t.pages)
 
 
-@query("e02_componentise")
+#: What stands before every second text, as the invented prose has no requirements, dates or citations of its own.
+_LEAD = "The Department of Energy shall submit a report on funding under 5 USC 552 by January 15, 2027 to all. It was cold. "
+
+
+def _led(t, lead: str = _LEAD):
+    return t.documents.where("text is not null").select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, lead).otherwise("It was cold. "), _ascii()).alias("text"))
+
+
+_EVEN = "FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0"
+
+
+@query("e02_componentise", f"SELECT doc_id, 0 AS pos, 'requirement' AS type, 'January 15, 2027' AS deadline, 1.0::DOUBLE AS priority, 'Department of Energy' AS agencies {_EVEN}")
 def _componentise(t):
-    return E.componentise(t.documents).select("doc_id", "pos", "type", "deadline", "priority")
+    return E.componentise(_led(t)).select("doc_id", "pos", "type", "deadline", "priority", F.array_join("agencies", ",").alias("agencies"))
 
 
-@query("e13_clauses")
+@query("e13_clauses", f"SELECT doc_id, 'C-001' AS clause_id, 1 AS n {_EVEN}")
 def _clauses(t):
-    return E.clauses(t.documents, "C").select("doc_id", "clause_id", F.size("citations").alias("n"))
+    return E.clauses(_led(t), "C").select("doc_id", "clause_id", F.size("citations").alias("n"))
 
 
 @query("e18_order_sections")
@@ -116,9 +127,9 @@ def _bullets(t):
     return E.bullets(t.documents.select("doc_id", F.concat(F.lit("## Head\n- one\n"), "text").alias("text")))
 
 
-@query("e16_section_components")
+@query("e16_section_components", f"SELECT doc_id, 1 AS pos, 0 AS n, 'Establish Plan' AS name, 'The Secretary shall establish a data governance plan for all programs.' AS description {_EVEN}")
 def _components(t):
-    return E.section_components(E.split_sections(t.documents, "\\n"))
+    return E.section_components(E.split_sections(_led(t, "Sec. 1. The Secretary shall establish a data governance plan for all programs. Sec. 2. "), "\\s*Sec\\.\\s+\\d+\\.\\s"))
 
 
 @query("x38_summarise")

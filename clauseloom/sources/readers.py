@@ -178,21 +178,6 @@ def fetched(urls: DataFrame, fetch) -> DataFrame:
     return urls.select("url").distinct().mapInPandas(run, "url string, status int, content string")
 
 
-def vector_search(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest corpus rows of each query by cosine, (query, id, score, rank).
-
-    Work is queries x corpus; each query keeps k rows before the shuffle (window group limit).
-    """
-    from pyspark.sql import Window as W
-
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))
-    q = queries.select(F.col(key).alias("query"), unit(F.col(vector)).alias("_q"))
-    c = corpus.select(F.col(key).alias("id"), unit(F.col(vector)).alias("_c"))
-    score = F.aggregate(F.zip_with("_q", "_c", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    pairs = q.join(c, F.col("query") != F.col("id")).select("query", "id", score.alias("score"))
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
-
-
 def graph_seed(spark: SparkSession, nodes_csv: str, edges_csv: str) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables; category codes stay text, edges with unknown ends are dropped, equal edges once."""
     nodes = spark.read.option("header", True).schema("label string, id string, name string, type string, categoryCode string, date date, citation string").csv(nodes_csv)

@@ -67,21 +67,25 @@ def when_valid(issues: DataFrame, write: Callable[[], None]) -> bool:
     return False
 
 
-def change_stream(source: DataFrame, state_path: str, checkpoint: str, act: Callable[[DataFrame], None], key: str = "path", content: str = "content"):
-    """T01 as a stream: each micro-batch is held against the hash table at state_path, acted on and added to it."""
+def change_stream(source: DataFrame, state_path: str, checkpoint: str, act: Callable[[DataFrame], None], key: str = "path", content: str = "content", order: str | None = None):
+    """T01 as a stream: each micro-batch is held against the hash table at state_path, acted on and added to it.
+
+    Of several rows of a key in a batch the last by order counts (by content where there is none). The table has a folder for each batch, which
+    a batch that is run again replaces, and no batch reads its own or later ones, so a repeat acts on the same rows.
+    """
     spark = source.sparkSession
 
     def step(batch: DataFrame, epoch: int) -> None:
-        latest = batch.groupBy(key).agg(F.max(content).alias(content))
+        latest = batch.groupBy(key).agg(F.max_by(content, order or content).alias(content))
         try:
-            old = spark.read.parquet(state_path).groupBy(key).agg(F.max_by("hash", "epoch").alias("hash"))
+            old = spark.read.parquet(state_path).where(F.col("epoch") < epoch).groupBy(key).agg(F.max_by("hash", "epoch").alias("hash"))
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             old = spark.createDataFrame([], f"{key} string, hash string")
         found = changes(latest, old, key, content).where("change != 'GONE'").persist()
         act(found)
-        found.select(key, "hash", F.lit(epoch).alias("epoch")).write.mode("append").parquet(state_path)
+        found.select(key, "hash").write.mode("overwrite").parquet(f"{state_path}/epoch={epoch}")
         found.unpersist()
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
