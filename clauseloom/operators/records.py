@@ -214,6 +214,27 @@ def pair_rules(baskets: DataFrame, basket: str, item: str, support: float, lift:
     return out.where(F.col("lift") >= lift)
 
 
+def itemsets(baskets: DataFrame, basket: str, item: str, support: float) -> DataFrame:
+    """(items, n, support) of all sets of items, in order, that stand together in at least the share support of the baskets."""
+    from pyspark.ml.fpm import FPGrowth
+
+    rows = baskets.select(basket, F.col(item).cast("string").alias("item")).where("item is not null")
+    sets = rows.groupBy(basket).agg(F.collect_set("item").alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(sets)
+    total = sets.agg(F.count("*").alias("total"))
+    return model.freqItemsets.crossJoin(F.broadcast(total)).select(F.array_sort("items").alias("items"), F.col("freq").alias("n"), (F.col("freq") / F.col("total")).alias("support"))
+
+
+def itemset_rules(sets: DataFrame, lift: float = 1.0) -> DataFrame:
+    """(antecedent, consequent, support, confidence, lift) for every way to part an itemset of (items, support) in two, from the lift on."""
+    parted = sets.where(F.size("items") > 1).select("items", "support", F.expr("explode(sequence(1, shiftleft(1, size(items)) - 2)) AS mask"))
+    sides = parted.select("support", *[F.expr(f"filter(items, (x, i) -> shiftright(mask, i) % 2 = {bit})").alias(name) for bit, name in ((1, "antecedent"), (0, "consequent"))])
+    of = lambda name: sets.select(F.col("items").alias(name), F.col("support").alias(f"_{name}"))
+    out = sides.join(of("antecedent"), "antecedent").join(of("consequent"), "consequent")
+    confidence = F.col("support") / F.col("_antecedent")
+    return out.select("antecedent", "consequent", "support", confidence.alias("confidence"), (confidence / F.col("_consequent")).alias("lift")).where(F.col("lift") >= lift)
+
+
 def differential_terms(tokens: DataFrame, label: str, k: int = 40) -> DataFrame:
     """The k terms with the highest and the lowest count in accepted minus rejected rows of (label 0/1, term)."""
     net = tokens.groupBy("term").agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(-1)).alias("net"))

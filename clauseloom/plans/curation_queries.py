@@ -194,7 +194,7 @@ def _(t):
 
 @query("d01_similar_groups")
 def _(t):
-    return M.similar_groups(t.documents.select(F.left("text", F.lit(10**9)).alias("value"), F.col("doc_id").alias("at")).where(F.char_length("value") <= 200), 0.9).select(digest(F.col("value")).alias("value"), digest(F.col("group")).alias("group"))
+    return M.similar_groups(t.part.select(F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("value"), F.col("p_partkey").alias("at")), 0.9)
 
 
 # ---- gaps, packages, reports ----------------------------------------------------------------------------

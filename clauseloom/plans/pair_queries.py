@@ -317,6 +317,11 @@ def _(t):
     return G.section_parents(s).select("doc", "pos", "parent_pos")
 
 
+@query("k01_sheets", "SELECT o_orderkey, o_orderpriority, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 1 AS sheet, (row_number() OVER (ORDER BY o_orderkey) - 1) % 1000 + 1 AS row FROM orders")
+def _(t):
+    return writers.sheets(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey", rows=1000)
+
+
 @query("k13_pair_report")
 def _(t):
     return writers.pair_report(_between(t, 0.2))

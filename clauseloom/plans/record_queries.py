@@ -53,6 +53,27 @@ def _(t):
     return r.select("a", "b", *[F.round(c, 9).alias(c) for c in ("support", "confidence", "lift")])
 
 
+_SETS = """
+WITH c AS (SELECT o_custkey, bit_or(1 << (left(o_orderpriority, 1)::INT - 1)) AS m FROM orders GROUP BY 1), n AS (SELECT count(*) AS total FROM c),
+s AS (SELECT k, count(*) AS n, count(*) / any_value(total) AS support FROM c, n, range(1, 32) r(k) WHERE m & k = k GROUP BY k HAVING count(*) >= 0.3 * any_value(total))"""
+
+
+def _priorities(t):
+    return R.itemsets(t.orders.select("o_custkey", F.left("o_orderpriority", F.lit(1)).alias("item")), "o_custkey", "item", 0.3)
+
+
+@query("a05_itemsets", _SETS + " SELECT array_to_string([i::VARCHAR FOR i IN range(1, 6) IF (k >> (i - 1)) & 1 = 1], ',') AS items, n, round(support, 9) AS support FROM s")
+def _(t):
+    return _priorities(t).select(F.array_join("items", ",").alias("items"), "n", F.round("support", 9).alias("support"))
+
+
+@query("a05_rules_of_itemsets", _SETS + """ SELECT array_to_string([i::VARCHAR FOR i IN range(1, 6) IF (a.k >> (i - 1)) & 1 = 1], ',') AS antecedent, array_to_string([i::VARCHAR FOR i IN range(1, 6) IF (b.k >> (i - 1)) & 1 = 1], ',') AS consequent,
+round(s.support, 9) AS support, round(s.support / a.support, 9) AS confidence, round(s.support / a.support / b.support, 9) AS lift FROM s JOIN s a ON s.k & a.k = a.k AND a.k <> s.k JOIN s b ON b.k = s.k - a.k WHERE s.support / a.support / b.support >= 1.001""")
+def _(t):
+    r = R.itemset_rules(_priorities(t), 1.001)
+    return r.select(*[F.array_join(c, ",").alias(c) for c in ("antecedent", "consequent")], *[F.round(c, 9).alias(c) for c in ("support", "confidence", "lift")])
+
+
 @query("a06_value_counts", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
 def _(t):
     return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))

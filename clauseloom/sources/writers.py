@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators.records import numbered
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, format: str = "parquet") -> dict[str, str]:
@@ -19,10 +20,15 @@ def write_tables(tables: dict[str, DataFrame], path: str, format: str = "parquet
     return out
 
 
-def sheet(df: DataFrame, rows: int = 1_048_574) -> DataFrame:
-    """Sanitised cells, at most as many rows as a worksheet holds; the cap is the format's."""
+#: Rows of data that a worksheet holds.
+SHEET_ROWS = 1_048_574
+
+
+def sheets(df: DataFrame, *order: str, rows: int = SHEET_ROWS) -> DataFrame:
+    """Sanitised cells with sheet and row, both from 1: rows in the order fill one worksheet after the other, none is left out."""
     cells = [F.to_json(c) if t.startswith(("array", "map", "struct")) else X.excel_cell(F.col(c)) if t == "string" else F.col(c) for c, t in df.dtypes]
-    return df.select(*[x.alias(c) for x, c in zip(cells, df.columns, strict=True)]).limit(rows)
+    at = numbered(df.withColumns({c: x for x, c in zip(cells, df.columns, strict=True)}), "_at", *order)
+    return at.select(*df.columns, (F.floor((F.col("_at") - 1) / rows) + 1).cast("int").alias("sheet"), (F.pmod(F.col("_at") - 1, F.lit(rows)) + 1).cast("int").alias("row"))
 
 
 def csv_with_mark(df: DataFrame, path: str) -> None:
