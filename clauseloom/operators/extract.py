@@ -46,6 +46,18 @@ RATIONALES = [
     ("testing", r"\b(test|monitor|performance|evaluate)\b", r"\b(test|performance|monitoring|evaluation|metric|benchmark)\b"),
     ("lock_in", r"\b(vendor lock-in|interoperability|portability)\b", r"\b(open source|standard|api|export|portable|interoperable)\b"),
 ]
+TITLE_PATTERNS = [
+    r"(?i)(\d+(?:st|nd|rd|th)\s+Century\s+[A-Za-z\s]+Act(?:\s+of\s+\d{4})?)",
+    r"(?i)((?:The\s+)?[A-Z][A-Za-z\s]+Act\s+of\s+\d{4})",
+    r"(?i)((?:The\s+)?[A-Z][A-Za-z\s]+\s+Act)",
+    r"(?i)(Public\s+Law\s+\d+[-–]\d+)",
+    r"(?i)(Title\s+\d+[A-Z]*\s+of\s+the\s+.+?\s+Code)",
+    r"(?i)(\d+\s+U\.?S\.?C\.?\s+.*)",
+    r"(?i)(Code\s+of\s+Federal\s+Regulations\s+.*)",
+    r"(?i)(Executive\s+Order\s+\d+)",
+    r"(?i)(Federal\s+Register\s+.*)",
+    r"([A-Z][A-Z\s]{10,}(?:\s+[A-Z]+){1,})",
+]
 MODAL = r"(?i)\b(must|shall|required|deadline|effective|within\s+\d+\s+days|is\s+hereby|are\s+hereby)\b"
 # ----------------------------------------------------------------------------------------------------------
 
@@ -194,11 +206,19 @@ def snippets(c: Column, word: str, reach: int = 200) -> Column:
     return F.when(F.size(gaps) > 1, F.array_join(one, "---")).otherwise("")
 
 
-def document_title(c: Column) -> Column:
-    """A title from the first lines: order, memorandum, act, else the first line."""
-    head = F.left(c, F.lit(2000))
-    tries = ["(?i)Executive Order\\s+\\d+[^\\n]{0,80}", "\\bM-\\d{2}-\\d{2}[^\\n]{0,80}", "[A-Z][A-Za-z ]{3,80} Act(?: of \\d{4})?"]
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(head, p, 0)), F.lit("")) for p in tries], F.trim(F.element_at(F.split(head, "\n"), 1)))
+def document_title(c: Column, metadata: Column | None = None, fallback: Column | None = None, early: int = 8000) -> Column:
+    """The document's own title field if it has ten characters, else the longest match of the first pattern that the early
+    text has (a title block stands there, so the limit is the feature), else the fallback (a file name), without scanning errors."""
+    head = F.left(c, F.lit(early))
+
+    def longest(pattern: str) -> Column:
+        found = F.transform(F.regexp_extract_all(head, F.lit(pattern), F.lit(1)), lambda m, i: F.struct((-F.char_length(m)).alias("n"), i.alias("i"), m.alias("m")))
+        return F.when(F.size(found) > 0, F.array_min(found)["m"])
+
+    known = F.when(F.char_length(metadata) >= 10, metadata) if metadata is not None else F.lit(None).cast("string")
+    title = F.coalesce(known, *[longest(p) for p in TITLE_PATTERNS])
+    title = F.nullif(F.trim(F.regexp_replace(F.regexp_replace(title, "(?<![0-9])l(?=[0-9])", "1"), "\\s+", " ")), F.lit(""))
+    return F.coalesce(title, F.initcap(F.translate(fallback, "_", " "))) if fallback is not None else title
 
 
 def page_ranges(bookmarks: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -80,7 +80,8 @@ scalar("s16_lead_text", "documents", "doc_id", lambda: {"n": F.char_length(X.lea
 scalar("s26_links", "pages", "page_id", lambda: {"n": F.size(X.links(F.col("html"))).cast("long")}, """len(list_distinct(regexp_extract_all(html, '(?i)href=["'']([^"''#]+)', 1))) AS n""")
 scalar("e01_e05_sentences", "conversations", "conv_id", lambda: {"turn": F.col("turn"), "k": E.sentence_type(_ascii()), "agencies": F.size(E.agencies(_ascii())).cast("long"), "metrics": F.size(E.metrics(_ascii())).cast("long"), "deadline": E.deadline(_ascii())})
 scalar("e12_suggested_agency", "documents", "doc_id", lambda: {"agency": E.suggested_agency(T())}, "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(w)}') THEN '{a}'" for a, w in E.AGENCY_TOPICS.items()) + " ELSE 'Requires interagency coordination' END AS agency")
-scalar("e23_document_title", "documents", "doc_id", lambda: {"h": digest(E.document_title(_ascii()))})
+scalar("e23_document_title", "documents", "doc_id", lambda: {"title": E.document_title(F.concat(F.when(F.col("doc_id") % 3 == 0, "9: Public Law 104-13; Public Law 104-1064.").when(F.col("doc_id") % 3 == 1, "9: Executive  Order\t12866\n").otherwise("9:"), F.regexp_replace(T(), "[A-Za-z0-9]", "")), F.when(F.col("doc_id") % 5 == 0, "short").when(F.col("doc_id") % 7 == 0, "A title of its own"), F.concat(F.lit("the_file_"), F.col("source")))},
+       "CASE WHEN doc_id % 7 = 0 AND doc_id % 5 <> 0 THEN 'A title of its own' WHEN text IS NOT NULL AND doc_id % 3 = 0 THEN 'Public Law 104-1064' WHEN text IS NOT NULL AND doc_id % 3 = 1 THEN 'Executive Order 12866' ELSE 'The File Src' || substr(source, 4) END AS title")
 scalar("e26_snippets", "documents", "doc_id", lambda: {"n": F.char_length(E.snippets(T(), "the")).cast("long")})
 scalar("m17_m18_enabling", "documents", "doc_id", lambda: {"score": F.round(S.enabling_score(_ascii(), F.lit("requires data access")), 6), "domains": F.array_join(S.domains(_ascii()), ",")})
 scalar("m19_m20_causal", "part", "p_partkey", lambda: {"score": S.causal_score(F.element_at(F.array(*[F.lit(x) for x in ("Support staff", "law of risk", "funding plan", "none")]), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int")), F.lit("risk law")), "confidence": S.causal_confidence(F.lit(0.5), F.lit(85))}, "CASE p_partkey % 4 WHEN 0 THEN 85 WHEN 1 THEN 75 WHEN 2 THEN 70 END::INT AS score, 74 AS confidence")
