@@ -55,6 +55,35 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes that go to a Python worker at a time, where the session has no setting of its own.
+_BATCH_BYTES = 8 << 20
+
+
+def lean(run):
+    """A function over batches that gives its memory back to the system at its end, as workers stay for later stages; batches are small."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def row_id(col: str = "doc_id"):
     """A non-null long for joins and order; rows with a null id share NULL_ID."""
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
@@ -79,7 +108,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(texts: pa.Array, limit: int = 1 << 20):
+def slices(texts: pa.Array, limit: int = 1 << 18):
     """(start, length) of runs of rows with about limit bytes of text or a single longer row, at most 1000 rows."""
     ends = text_bytes(texts)[1]
     at, n = 0, len(ends) - 1

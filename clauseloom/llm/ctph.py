@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import U64, batch, powers, prefix_sums, public_id, range_hash, row_id
+from ._shared import U64, batch, lean, powers, prefix_sums, public_id, range_hash, row_id
 
 WINDOW, LETTERS, LEAST = 7, 64, 3
 _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -146,7 +146,7 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
     begins = F.array(*[F.lit(b).cast("long") for b in first])
     own = source.select((F.size(F.filter(begins, lambda c: c <= F.col("did"))) - 1).alias("bucket"), F.lit(0).alias("halo"), "did", F.coalesce("text", F.lit("")).alias("text"))
     dealt = own.unionByName(halo).repartitionByRange(n, "bucket").sortWithinPartitions("bucket", "halo", "did", "text")
-    out = dealt.mapInArrow(_pairs, "did long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = dealt.mapInArrow(lean(_pairs), "did long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumn("did", public_id("did")).withColumnRenamed("did", id_col)
 
 

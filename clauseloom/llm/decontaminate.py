@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import batch, materialize, public_id, row_id, worker_cache
+from ._shared import batch, lean, materialize, public_id, row_id, worker_cache
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -160,7 +160,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         rows = [(r.item_id, r.text) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g).collect()]
         items = _Items(spark, rows)
         run, schema = _scan(items, error_rate)
-        hits = source.mapInArrow(run, schema)
+        hits = source.mapInArrow(lean(run), schema)
         if groups > 1:
             hits = materialize(hits)
             items.drop()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import batch, materialize, public_id, row_id
+from ._shared import batch, lean, materialize, public_id, row_id
 
 _WS = b" \t\n\x0b\x0c\r"
 _RUNS = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("pos", pa.binary()), ("top", pa.list_(pa.int64()))])
@@ -115,17 +115,17 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     one empty line, which always stays. Other columns are not read.
     """
     rows, schema = _keys(min_chars)
-    keys = materialize(_source(docs, id_col, text_col).mapInArrow(rows, schema))
+    keys = materialize(_source(docs, id_col, text_col).mapInArrow(lean(rows), schema))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("h1"), F.col("h2"), F.col("did").desc(), F.col("th")]
     stream, schema = _streams(min_docs)
-    runs = materialize(keys.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(stream, schema))
+    runs = materialize(keys.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(lean(stream), schema))
     # At most two rows a task.
     edges = runs.where(F.col("kind") == _SUMMARY).groupBy("h1", "h2").agg(F.array_distinct(F.flatten(F.collect_list("top"))).alias("top"))
     edges = edges.where(F.size("top") >= min_docs).select("h1", "h2", F.array_max("top").alias("keeper"))
     opened = runs.where(F.col("kind") == _OPEN).join(F.broadcast(edges), ["h1", "h2"]).where(F.col("did") != F.col("keeper"))
     drops = runs.where(F.col("kind") == _DROP).select("did", "th", "pos").unionByName(opened.select("did", "th", "pos"))
-    return drops.groupBy("did", "th").agg(F.collect_list("pos").alias("parts")).mapInArrow(_bitmaps, "did long, th long, keep binary")
+    return drops.groupBy("did", "th").agg(F.collect_list("pos").alias("parts")).mapInArrow(lean(_bitmaps), "did long, th long, keep binary")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_lines, n_dropped, text) for every row of docs, text being the kept lines."""
     masks = keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)
     joined = _source(docs, id_col, text_col).join(masks, ["did", "th"], "left").select("did", "text", "keep")
-    return joined.mapInArrow(_apply, "did long, n_lines long, n_dropped long, text string").select(public_id("did").alias(id_col), "n_lines", "n_dropped", F.col("text").alias(text_col))
+    return joined.mapInArrow(lean(_apply), "did long, n_lines long, n_dropped long, text string").select(public_id("did").alias(id_col), "n_lines", "n_dropped", F.col("text").alias(text_col))
 
 
 def apply_to_documents(docs: DataFrame, **params) -> DataFrame:

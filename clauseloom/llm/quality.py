@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import batch, materialize, mix, prefix_sums, range_hash, shingle_sets, slices, text_bytes, word_spans
+from ._shared import batch, lean, materialize, mix, prefix_sums, range_hash, shingle_sets, slices, text_bytes, word_spans
 
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"%&$*#", b"|", b".,;:?", b"<>{}[]()/\\=_~^", bytes(range(128, 256)), b"\n", b"\t "]
 _CLASS_OF = np.zeros(256, np.int64)
@@ -212,7 +212,7 @@ def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
             packed = [[v.tobytes() for v in c] for c in (r.x.astype("<f4"), r.bits, r.meta.astype("<i2"))]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *[pa.array(c, pa.binary()) for c in packed]], ["doc_id", *_STORED.names])
 
-    rows = _with_views(docs).select("doc_id", "_cl_text", "_cl_lang", "_cl_source").mapInArrow(run, f"doc_id {kind}, _cl_x binary, _cl_bits binary, _cl_meta binary")
+    rows = _with_views(docs).select("doc_id", "_cl_text", "_cl_lang", "_cl_source").mapInArrow(lean(run), f"doc_id {kind}, _cl_x binary, _cl_bits binary, _cl_meta binary")
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("_cl_doc")).agg(F.min("quality").cast("int").alias("_cl_y"))
     return rows.join(known, F.col("doc_id") == F.col("_cl_doc"), "left").drop("_cl_doc").fillna({"_cl_y": -1})
 
@@ -235,10 +235,10 @@ def _total(rows: DataFrame, tasks: int, size: int, f) -> np.ndarray:
                 total += np.frombuffer(x.as_buffer(), "<i8")
         yield batch(out, blob=[total.tobytes()])
 
-    parts = rows.select("_cl_x", "_cl_bits", "_cl_meta", "_cl_y").mapInArrow(own, "blob binary")
+    parts = rows.select("_cl_x", "_cl_bits", "_cl_meta", "_cl_y").mapInArrow(lean(own), "blob binary")
     while tasks > 32:
         tasks = -(-tasks // 32)
-        parts = parts.repartition(tasks).mapInArrow(add, "blob binary")
+        parts = parts.repartition(tasks).mapInArrow(lean(add), "blob binary")
     return sum((np.frombuffer(r.blob, "<i8") for r in parts.collect()), np.zeros(size, np.int64)) / 2**20
 
 
@@ -381,7 +381,7 @@ def classify(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
             both, one, two = model.scores(_rows_of(b))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(both), pa.array(one), pa.array(two), pa.array(both >= model.threshold)], ["doc_id", "score", "text_score", "meta_score", "kept"])
 
-    return rows.mapInArrow(score, f"doc_id {dict(docs.dtypes)['doc_id']}, {_SCORES}")
+    return rows.mapInArrow(lean(score), f"doc_id {dict(docs.dtypes)['doc_id']}, {_SCORES}")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
@@ -396,7 +396,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
         for b in batches:
             yield b.select(columns).filter(pa.array(model.scores(_make_rows(b))[0] >= model.threshold))
 
-    return _with_views(docs).mapInArrow(keep, docs.schema)
+    return _with_views(docs).mapInArrow(lean(keep), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

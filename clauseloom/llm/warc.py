@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import batch, public_id, row_id, stage_dir
+from ._shared import batch, lean, public_id, row_id, stage_dir
 
 _MAGIC = b"\x1f\x8b\x08"
 _EMPTY_MEMBER = _MAGIC + bytes(6) + b"\xff\x03\x00" + bytes(8)
@@ -87,7 +87,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000, date: s
     joined = keyed.join(groups.withColumnRenamed("sha", "_key"), "_key", "left")
     refers = F.when(large & (F.col("newest") != F.col("_p")), F.col("newest"))
     write, schema = _write(date)
-    members = joined.select(public_id("_p").alias("page"), "url", "html", "sha", refers.alias("refers")).mapInArrow(write, schema)
+    members = joined.select(public_id("_p").alias("page"), "url", "html", "sha", refers.alias("refers")).mapInArrow(lean(write), schema)
     members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 
@@ -253,14 +253,14 @@ def read_archives(spark, path: str, payload: bool = True) -> DataFrame:
     raw = spark.read.option("encoding", "ISO-8859-1").option("lineSep", "\x1f\x8b\x08").text(path)
     pieces = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("piece"))
     scan, schema = _scan(payload)
-    found = pieces.mapInArrow(scan, schema)
+    found = pieces.mapInArrow(lean(scan), schema)
     whole = found.where("kind = 0").select(*_FIELDS.names)
     # At most one cut member a range, and the pieces that follow it.
     cut = found.where("kind > 0").select("kind", "file", "at", "seq", "piece")
     owner = F.last(F.when(F.col("kind").isin(1, 3), F.struct("kind", "at", "seq")), ignorenulls=True).over(W.partitionBy("file").orderBy("at", "seq", "kind"))
     parts = cut.withColumn("owner", owner).where("owner.kind = 1").groupBy("file", "owner").agg(F.collect_list(F.struct("at", "seq", "piece")).alias("parts"))
     stitch, schema = _stitch(payload)
-    return whole.unionByName(parts.mapInArrow(stitch, schema))
+    return whole.unionByName(parts.mapInArrow(lean(stitch), schema))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import batch, public_id, row_id, worker_cache
+from ._shared import batch, lean, public_id, row_id, worker_cache
 
 #: Words are runs of letters, digits and marks; any other visible character is a word of its own.
 WORDS = re.compile(r"\w+|[^\w\s]")
@@ -137,7 +137,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     from .bpe import vocabulary_path
 
     run, schema = _counts(path or vocabulary_path(), cache_words)
-    rows = docs.select(row_id(id_col).alias("did"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    rows = docs.select(row_id(id_col).alias("did"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), schema)
     return rows.withColumn("did", public_id("did")).withColumnRenamed("did", id_col)
 
 
