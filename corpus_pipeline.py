@@ -6,12 +6,10 @@ next stage's docs.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from clauseloom.llm import bpe, decontaminate, linededup, nearby, quality
-from clauseloom.llm._shared import shared_dir
+from clauseloom.llm._shared import stage_dir
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each document's whole text."""
-    return bpe.encode_documents(docs).drop("ids")
+    return bpe.encode_documents(docs, with_ids=False).drop("ids")
 
 
 STAGES = [
@@ -53,7 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; what lies between two stages is in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    home = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    home = stage_dir(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         path = f"{home}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
