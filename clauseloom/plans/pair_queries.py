@@ -131,9 +131,9 @@ def _(t):
     return N.vector_search(t.embeddings.where("vec_id % 50 = 0"), t.embeddings, 3).select("query", "id", F.round("score", 5).alias("score"), "rank")
 
 
-@query("j32_cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.50001")
+@query("j32_cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.40001")
 def _(t):
-    return N.cosine_pairs(t.embeddings, 0.50001).select("a", "b", F.round("score", 5).alias("score"))
+    return N.cosine_pairs(t.embeddings, 0.40001).select("a", "b", F.round("score", 5).alias("score"))
 
 
 @query("m05_unit_cosine", "SELECT a.vec_id AS a, b.vec_id AS b, round((list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 1) / 2, 5) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
