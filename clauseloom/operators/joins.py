@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .records import once
 
 
 # ---- TF-IDF -------------------------------------------------------------------------------------------
@@ -44,27 +49,79 @@ def meet(left: DataFrame, right: DataFrame, on: str, left_key: str, right_key: s
     return x.join(y, [on, "_i", "_j"]).drop("_i", "_j")
 
 
+#: Documents whose postings are held at once.
+BLOCK = 8192
+
+
+def _held_postings(threshold: float):
+    """Rows come ordered by (block, part, kind): a block's documents (kind 0), which become an inverted index, and after them those that meet it."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
+
+    def index(rows: list):
+        sizes = np.array([len(t) for _, t, _ in rows])
+        term, w = (np.concatenate([r[i] for r in rows]) for i in (1, 2))
+        order = np.argsort(term, kind="stable")
+        term, owner = term[order], np.repeat(np.arange(len(rows)), sizes)[order]
+        first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
+        return term[first], first, np.append(first[1:], len(term)), owner, w[order], np.array([r[0] for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, held = None, [], None
+        for b in batches:
+            found: list[tuple] = []
+            ends = b["terms"].offsets.to_numpy()
+            terms, weights = b["terms"].values.to_numpy(), b["ws"].values.to_numpy()
+            at = zip(*(b[c].to_pylist() for c in ("block", "part", "kind", "own", "key")), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+            for block, part, kind, own, key, lo, hi in at:
+                if (block, part) != group:
+                    group, rows, held = (block, part), [], None
+                t, w = terms[lo:hi], weights[lo:hi]
+                if kind == 0:
+                    rows.append((key, t, w))
+                    continue
+                if held is None:
+                    if not rows:
+                        continue
+                    held, rows = index(rows), []
+                every, starts, stops, owner, ws, keys = held
+                place = np.minimum(np.searchsorted(every, t), len(every) - 1)
+                hit = every[place] == t
+                lo_, n = starts[place[hit]], (stops - starts)[place[hit]]
+                ends_ = np.cumsum(n)
+                if not len(ends_):
+                    continue
+                postings = np.repeat(lo_ - (ends_ - n), n) + np.arange(ends_[-1])
+                score = np.bincount(owner[postings], weights=ws[postings] * np.repeat(w[hit], n), minlength=len(keys))
+                near = np.flatnonzero(score >= threshold)
+                # Within a block a pair is met from both sides and counts once.
+                near = near[keys[near] < key] if own == block else near
+                found.append((np.minimum(keys[near], key), np.maximum(keys[near], key), score[near]))
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    return run, "a long, b long, score double"
+
+
 def cosine_join(weights: DataFrame, threshold: float, key: str = "doc_id") -> DataFrame:
-    """(a, b, score) of all pairs a < b with cosine of at least threshold, exact for threshold > 0.
+    """(a, b, score) of all pairs a < b with cosine of at least threshold > 0, all found; key is a whole number.
 
-    Terms are ordered from rare to frequent. The last terms of a document, whose norm stays under the threshold, cannot
-    carry a pair alone, so only the terms before them are indexed; frequent terms fall out of the index. A pair's indexed terms
-    give a part of its score, and what stands behind the last shared one at most the product of the norms left; only
-    pairs whose sum of both reaches the threshold are joined with all their terms.
+    Documents are packed vectors (64-bit hashes of terms, weights). A block of them is held as an inverted index, and every document of the same
+    and of later blocks meets it once: scores add up in an array, so no candidate pair is ever a row. A task holds a block and a batch.
     """
-    square = F.col("w") * F.col("w")
-    rest = F.sum(square).over(W.partitionBy(key).orderBy(F.col("df").desc(), F.col("term").desc()))
-    index = weights.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold * (1 - 1e-9))
-    # r: the norm behind a term; s: the norm behind the last indexed term.
-    index = index.withColumn("r", F.sqrt(F.greatest(F.col("rest") - square, F.lit(0.0)))).withColumn("s", F.min("r").over(W.partitionBy(key)))
-    side = lambda k, p: index.select(F.col(key).alias(k), "term", *[F.col(c).alias(f"{c}{p}") for c in ("w", "r", "s")])
-    met = meet(side("a", "a"), side("b", "b"), "term", "a", "b").where("a < b")
-    part = met.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), *[F.min(c).alias(c) for c in ("ra", "rb", "sa", "sb")])
-    most = F.col("part") + F.greatest(F.col("sa") * F.col("rb"), F.col("ra") * F.col("sb"))
-    pairs = part.where(most >= threshold - 1e-9).select("a", "b")
-    left, right = weights.select(F.col(key).alias("a"), "term", F.col("w").alias("wa")), weights.select(F.col(key).alias("b"), "term", F.col("w").alias("wb"))
-    scored = pairs.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
-    return scored.where(F.col("score") >= threshold)
+    spark = weights.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = weights.groupBy(F.col(key).cast("long").alias("key")).agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("w").cast("double").alias("w"))).alias("v"))
+    packed = once(spark)(packed.select("key", F.col("v.t").alias("terms"), F.col("v.w").alias("ws")))
+    blocks = max(1, -(-packed.count() // BLOCK))
+    parts = max(1, n // blocks)
+    own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
+    rows = packed.withColumn("own", own)
+    # Block i is held for each later block j and each of its parts.
+    held = rows.select(F.col("own").alias("block"), F.explode(F.sequence(F.col("own") * parts, F.lit(blocks * parts - 1))).alias("part"), F.lit(0).alias("kind"), "own", "key", "terms", "ws")
+    place = F.col("own") * parts + F.pmod(F.xxhash64("key", F.lit(7)), F.lit(parts)).cast("int")
+    met = rows.select(F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"), place.alias("part"), F.lit(1).alias("kind"), "own", "key", "terms", "ws")
+    run, schema = _held_postings(threshold)
+    return held.unionByName(met).repartition(n, "block", "part").sortWithinPartitions("block", "part", "kind").mapInArrow(run, schema)
 
 
 def cosine_between(left: DataFrame, right: DataFrame, threshold: float, left_key: str, right_key: str) -> DataFrame:

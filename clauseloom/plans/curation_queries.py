@@ -194,7 +194,7 @@ def _(t):
 
 @query("d01_similar_groups")
 def _(t):
-    return M.similar_groups(t.part.select(F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("value"), F.col("p_partkey").alias("at")), 0.9)
+    return M.similar_groups(t.part.select(F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("value"), F.col("p_partkey").alias("at")))
 
 
 # ---- gaps, packages, reports ----------------------------------------------------------------------------

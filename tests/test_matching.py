@@ -110,8 +110,8 @@ def test_top_composite(spark, names):
         assert all(got[a, -b] == scored[-b] for _, b in want)
 
 
-def test_cosine_join_with_split_terms(spark, monkeypatch):
-    monkeypatch.setattr(J, "CELL", 3)
+def test_cosine_join_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 20)
     r = random.Random(2)
     docs = [(i, [r.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(r.randrange(0, 12))]) for i in range(80)]
     docs += [(100 + i, docs[i][1]) for i in range(5)]
@@ -125,6 +125,15 @@ def test_cosine_join_with_split_terms(spark, monkeypatch):
     assert all(abs(s - sum(x * vec[b].get(t, 0) for t, x in vec[a].items())) < 1e-9 for (a, b), s in got.items())
 
 
+def test_meet_deals_frequent_terms(spark, monkeypatch):
+    monkeypatch.setattr(J, "CELL", 3)
+    left = [(i, "xyz"[i % 3] if i % 7 else "q") for i in range(40)]
+    right = [(i, "xyw"[i % 3]) for i in range(30)]
+    x, y = spark.createDataFrame(left, "a long, term string"), spark.createDataFrame(right, "b long, term string")
+    got = sorted((r.a, r.b, r.term) for r in J.meet(x, y, "term", "a", "b").collect())
+    assert got == sorted((a, b, t) for a, t in left for b, u in right if t == u)
+
+
 def test_closeness_has_no_end_of_its_own(spark):
     edges = spark.createDataFrame([(f"n{i}", "r", f"n{i + 1}") for i in range(9)] + [("x", "r", "y")], "src string, rel_type string, dst string")
     pairs = spark.createDataFrame([("n0", "n9"), ("n3", "n3"), ("n0", "x"), ("n9", "n7")], "a string, b string")
