@@ -6,8 +6,8 @@ differ in about (1 - s) K of them. The positions are split in ``M`` chunks; of t
 most ``FAR`` = 2 M - 1 positions, some chunk differs in at most one (pigeonhole), so they share a key among the chunk's variants
 with one position left out. Every pair up to that distance is found, and nothing but the sizes of the sets, which
 bound the similarity, and the distance itself, read from two bits of each position, drops a pair before its full sets are
-compared. With K = 64 and M = 16 a pair of similarity 0.8 lies beyond distance 31 with probability 0.0000002, one of 0.85 with
-less than a billionth.
+compared. With K = 64 and M = 12 a pair of similarity 0.8 lies beyond distance 23 with probability 0.0009, one of 0.85 with
+0.000009.
 
 Rows of a key are streamed in key order from range partitions, so a frequent key spans tasks. Short runs
 give their pairs; long runs
@@ -26,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import NULL_ID, U64, batch, materialize, mix, public_id, row_id, shingle_sets, slices
+from ._shared import NULL_ID, U64, batch, lean, materialize, mix, public_id, row_id, shingle_sets, slices
 
-K, M = 64, 16
+K, M = 64, 12
 #: The distance up to which all pairs are found.
 FAR = 2 * M - 1
+#: Columns of a signature's visible bits.
+_BITS = ("b0", "b1")
+_BITS_DDL = ", ".join(f"{c} long" for c in _BITS)
 #: Runs of up to so many rows give all their pairs.
 SHORT = 12
 #: So many sets, about, are held at once against other rows of their keys.
@@ -72,31 +75,29 @@ def _sets(width: int):
     return run, "did long, th long, n long, s1 long, s2 long, sig binary"
 
 
-_KEYS = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("n", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+_KEYS = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("n", pa.int32()), *[(c, pa.int64()) for c in _BITS]])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """K rows a node: for each chunk, each variant with one position left out."""
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
         sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint16).reshape(-1, K)
         terms = mix(sig.astype(U64) + (np.arange(1, K + 1, dtype=np.uint64) << U64(32)))
-        low, high = (np.repeat(x, K) for x in two_bits(sig))
+        seen = {c: np.repeat(x, K) for c, x in visible(sig).items()}
         keys = np.empty((len(sig), K), U64)
         for c, at in enumerate(_CHUNKS):
             total = terms[:, at].sum(axis=1, dtype=U64)
             for k in at:
                 keys[:, k] = mix(total - terms[:, k] + U64(((int(k) + 1) * 0xC2B2AE3D27D4EB4F + c) & (2**64 - 1)))
         did, n = b["did"].to_numpy(), b["n"].to_numpy().astype(np.int32)
-        yield batch(_KEYS, key=keys.ravel().view(np.int64), did=np.repeat(did, K), n=np.repeat(n, K), low=low, high=high)
+        yield batch(_KEYS, key=keys.ravel().view(np.int64), did=np.repeat(did, K), n=np.repeat(n, K), **seen)
 
 
-def two_bits(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of each position, of the first half of the positions and of the others, as one 64-bit integer each."""
-    own = (sig & np.uint16(3)).astype(U64).reshape(len(sig), 2, K // 2) << (np.arange(K // 2, dtype=np.uint64) * U64(2))
+def visible(sig: np.ndarray) -> dict[str, np.ndarray]:
+    """Two bits of each position, of 32 positions as one 64-bit integer each."""
+    own = (sig & np.uint16(3)).astype(U64).reshape(len(sig), len(_BITS), 32) << (np.arange(32, dtype=np.uint64) * U64(2))
     both = np.bitwise_or.reduce(own, axis=2).view(np.int64)
-    return both[:, 0], both[:, 1]
+    return {c: both[:, i] for i, c in enumerate(_BITS)}
 
 
 def _alike(a: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -104,7 +105,7 @@ def _alike(a: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     n1, n2 = a["n"][i].astype(np.int64), a["n"][j].astype(np.int64)
     ok = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
     apart = np.zeros(len(i), np.int64)
-    for c in ("low", "high"):
+    for c in _BITS:
         x = a[c][i].view(U64) ^ a[c][j].view(U64)
         apart += np.bitwise_count((x | (x >> U64(1))) & U64(0x5555555555555555))
     return ok & (apart <= FAR)
@@ -112,8 +113,8 @@ def _alike(a: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
 
 def _runs(percent: int):
     """Streams rows ordered by (key, did). kind 0: a candidate pair (did, other); kind 1: a row of a long or cut run."""
-    out = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("did", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
-    names = ("key", "did", "n", "low", "high")
+    out = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("did", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), *[(c, pa.int64()) for c in _BITS]])
+    names = ("key", "did", "n", *_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None  # the rows of the last run so far; of a long one only the first row
@@ -123,11 +124,11 @@ def _runs(percent: int):
             ok = _alike(a, i, j, percent) & (a["did"][i] != a["did"][j])
             i, j = i[ok], j[ok]
             z = len(i)
-            return batch(out, kind=np.zeros(z, np.int32), key=np.zeros(z, np.int64), did=a["did"][i], other=a["did"][j], n=np.zeros(z, np.int32), low=np.zeros(z, np.int64), high=np.zeros(z, np.int64))
+            return batch(out, kind=np.zeros(z, np.int32), key=np.zeros(z, np.int64), did=a["did"][i], other=a["did"][j], n=np.zeros(z, np.int32), **{c: np.zeros(z, np.int64) for c in _BITS})
 
         def kept(i, a):
             z = len(i)
-            return batch(out, kind=np.ones(z, np.int32), key=a["key"][i], did=a["did"][i], other=np.zeros(z, np.int64), n=a["n"][i], low=a["low"][i], high=a["high"][i])
+            return batch(out, kind=np.ones(z, np.int32), key=a["key"][i], did=a["did"][i], other=np.zeros(z, np.int64), n=a["n"][i], **{c: a[c][i] for c in _BITS})
 
         def settle(a, starts, sizes, long_first: bool, cut):
             """All pairs of short runs; for long ones the star, and their rows."""
@@ -176,7 +177,7 @@ def _runs(percent: int):
         if rest is not None:
             yield from settle(rest, np.array([0]), np.array([len(rest["key"])]), last_long, np.array([True]))
 
-    return run, "kind int, key long, did long, other long, n int, low long, high long"
+    return run, f"kind int, key long, did long, other long, n int, {_BITS_DDL}"
 
 
 def _set_bytes(width: int):
@@ -302,7 +303,7 @@ def classes_of_rows(docs: DataFrame, id_col: str, text_col: str, width: int, per
     text = F.col(text_col).cast("string")
     source = docs.select(row_id(id_col).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
     sets, schema = _sets(width)
-    sets = source.mapInArrow(sets, schema).withColumn("node", F.when(F.col("n") > 0, F.xxhash64("s1", "s2", "n")))
+    sets = source.mapInArrow(lean(sets), schema).withColumn("node", F.when(F.col("n") > 0, F.xxhash64("s1", "s2", "n")))
     sets = materialize(sets.withColumn("row", F.monotonically_increasing_id()))
     full = sets.where("n > 0")
     real = F.when(F.col("did") != F.lit(NULL_ID), F.col("did"))
@@ -311,22 +312,22 @@ def classes_of_rows(docs: DataFrame, id_col: str, text_col: str, width: int, per
     # Below this size another set cannot be similar enough.
     least = next(k for k in range(1, 10_000) if 100 * k >= percent * (k + 1)) if percent < 100 else 1 << 30
     order = ["key", "did"]
-    rows = nodes.where(F.col("n") >= least).select(F.col("node").alias("did"), "n", "sig").mapInArrow(_keys, "key long, did long, n int, low long, high long")
+    rows = nodes.where(F.col("n") >= least).select(F.col("node").alias("did"), "n", "sig").mapInArrow(lean(_keys), f"key long, did long, n int, {_BITS_DDL}")
     stream, schema = _runs(percent)
-    found = materialize(rows.repartitionByRange(n_out, *order).sortWithinPartitions(*order).mapInArrow(stream, schema))
+    found = materialize(rows.repartitionByRange(n_out, *order).sortWithinPartitions(*order).mapInArrow(lean(stream), schema))
     pairs = found.where("kind = 0").select(F.least("did", "other").alias("a"), F.greatest("did", "other").alias("b")).distinct()
-    long_rows = found.where("kind = 1").select("key", "did", "n", "low", "high")
+    long_rows = found.where("kind = 1").select("key", "did", "n", *_BITS)
     asked = pairs.select(F.col("a").alias("did")).unionByName(pairs.select(F.col("b").alias("did"))).unionByName(long_rows.select("did")).distinct()
     bodies, schema = _set_bytes(width)
     # Each node's set is made again from one row, which copies under the same id repeat.
     asked = nodes.join(asked.withColumnRenamed("did", "node"), "node", "left_semi").select(F.col("rep.did").alias("did"), F.col("rep.th").alias("th"), "node")
-    bodies = source.join(asked, ["did", "th"]).select(F.col("node").alias("did"), "text").mapInArrow(bodies, schema)
+    bodies = source.join(asked, ["did", "th"]).select(F.col("node").alias("did"), "text").mapInArrow(lean(bodies), schema)
     bodies = materialize(bodies.groupBy("did").agg(F.min("body").alias("body")) if _repeats(sets) else bodies)
     check, schema = _confirm(percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x, y = bodies.select(F.col("did").alias("a"), F.col("body").alias("x")), bodies.select(F.col("did").alias("b"), F.col("body").alias("y"))
-        return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, schema))
+        return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(check), schema))
 
     links = confirmed(pairs)
     one = sets.where(F.col("did") != F.lit(NULL_ID)).groupBy("did").agg(F.min("node").alias("first"), F.count("*").alias("z")).where("z > 1 and first is not null")
@@ -368,7 +369,7 @@ def _repeats(sets: DataFrame) -> bool:
 def _live(percent: int):
     """Streams rows ordered by cell (key, i, j). Gives the rows that sizes and visible distances let be near a row of another component."""
     out = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("component", pa.int64())])
-    names = ("key", "i", "j", "grp", "did", "n", "low", "high", "component")
+    names = ("key", "i", "j", "grp", "did", "n", *_BITS, "component")
 
     def live(a: dict) -> np.ndarray:
         """A cell's flags, some rows at a time against all."""
@@ -427,10 +428,10 @@ def _across(placed: DataFrame, bodies: DataFrame, percent: int, n_out: int) -> D
     every = F.sequence(F.lit(0), F.col("g") - 1)
     row = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     cells = F.array_distinct(F.concat(F.transform(every, lambda k: row(F.col("grp"), k)), F.transform(every, lambda k: row(k, F.col("grp")))))
-    dealt = _spread_join(placed, size, "key").withColumn("g", g).withColumn("grp", grp).select("key", "grp", "did", "n", "low", "high", "component", F.explode(cells).alias("c"))
-    dealt = dealt.select("key", "c.i", "c.j", "grp", "did", "n", "low", "high", "component")
+    dealt = _spread_join(placed, size, "key").withColumn("g", g).withColumn("grp", grp).select("key", "grp", "did", "n", *_BITS, "component", F.explode(cells).alias("c"))
+    dealt = dealt.select("key", "c.i", "c.j", "grp", "did", "n", *_BITS, "component")
     flag, schema = _live(percent)
-    live = materialize(dealt.repartition(n_out, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(flag, schema).distinct())
+    live = materialize(dealt.repartition(n_out, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(flag), schema).distinct())
     main = live.groupBy("key", "component").agg(F.count("*").alias("z")).groupBy("key").agg(F.max_by("component", F.struct("z", "component")).alias("main"))
     rest = materialize(_spread_join(live, main, "key").where("component != main").select("key", "did"))
     blocks = max(1, rest.select("did").distinct().count() // BLOCK)
@@ -439,13 +440,13 @@ def _across(placed: DataFrame, bodies: DataFrame, percent: int, n_out: int) -> D
     block = F.pmod(F.xxhash64(F.when(F.lit(blocks) > 1, F.col("home"))), F.lit(blocks)).alias("block")
     rest = rest.join(home, "did").select("key", "did", block)
     members = materialize(_spread_join(live.select("key", "did"), rest.select("key", "block").distinct(), "key").select("block", "did").distinct())
-    # A block is copied to several tasks only as far as its copies stay fewer than the rows that meet it.
-    salts = max(1, min(n_out // blocks, 2 * members.count() // max(1, rest.select("did").distinct().count())))
+    # A block is copied to several tasks only as far as its copies stay far fewer than the rows that meet it.
+    salts = max(1, min(n_out // blocks, members.count() // (4 * max(1, rest.select("did").distinct().count()))))
     members = members.select("block", F.pmod(F.xxhash64("did"), F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), "did")
     held = rest.select("block", "did").distinct().select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(0).alias("kind"), "did")
     rows = held.unionByName(members).join(bodies, "did").select("block", "salt", "kind", "did", "body")
     check, schema = _against_block(percent)
-    return materialize(rows.repartition(n_out, "block", "salt").sortWithinPartitions("block", "salt", "kind").mapInArrow(check, schema).distinct())
+    return materialize(rows.repartition(n_out, "block", "salt").sortWithinPartitions("block", "salt", "kind").mapInArrow(lean(check), schema).distinct())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
