@@ -6,8 +6,7 @@ differ in about (1 - s) K of them. The positions are split in ``M`` chunks; of t
 most ``FAR`` = 2 M - 1 positions, some chunk differs in at most one (pigeonhole), so they share a key among the chunk's variants
 with one position left out. Every pair up to that distance is found, and nothing but the sizes of the sets, which
 bound the similarity, and the distance itself, read from two bits of each position, drops a pair before its full sets are
-compared. With K = 64 and M = 12 a pair of similarity 0.8 lies beyond distance 23 with probability 0.0009, one of 0.85 with
-0.000009.
+compared. With K = 64 and M = 16 a pair of similarity 0.8 lies beyond distance 31 with probability 0.0000001.
 
 Rows of a key are streamed in key order from range partitions, so a frequent key spans tasks. Short runs
 give their pairs; long runs
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._shared import NULL_ID, U64, batch, lean, materialize, mix, public_id, row_id, shingle_sets, slices
 
-K, M = 64, 12
+K, M = 64, 16
 #: The distance up to which all pairs are found.
 FAR = 2 * M - 1
 #: Columns of a signature's visible bits.
@@ -440,8 +439,8 @@ def _across(placed: DataFrame, bodies: DataFrame, percent: int, n_out: int) -> D
     block = F.pmod(F.xxhash64(F.when(F.lit(blocks) > 1, F.col("home"))), F.lit(blocks)).alias("block")
     rest = rest.join(home, "did").select("key", "did", block)
     members = materialize(_spread_join(live.select("key", "did"), rest.select("key", "block").distinct(), "key").select("block", "did").distinct())
-    # A block is copied to several tasks only as far as its copies stay far fewer than the rows that meet it.
-    salts = max(1, min(n_out // blocks, members.count() // (4 * max(1, rest.select("did").distinct().count()))))
+    # A block is copied to several tasks only as far as its copies stay at most twice the rows that meet it.
+    salts = max(1, min(n_out // blocks, 2 * members.count() // max(1, rest.select("did").distinct().count())))
     members = members.select("block", F.pmod(F.xxhash64("did"), F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), "did")
     held = rest.select("block", "did").distinct().select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(0).alias("kind"), "did")
     rows = held.unionByName(members).join(bodies, "did").select("block", "salt", "kind", "did", "body")
