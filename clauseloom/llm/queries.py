@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, ctph, decontaminate, linededup, nearby, pii, quality, secrets, warc, wordpiece
+from . import bpe, ctph, decontaminate, funnels, linededup, nearby, neighbours, phrases, pii, quality, secrets, warc, wordpiece
 
 QUERIES = {
     "op1_line_dedup": linededup.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_fingerprints": ctph.query,
     "op10_byte_bpe": bpe.query,
+    "op11_phrases": phrases.query,
+    "op12_funnels": funnels.query,
+    "op13_neighbours": neighbours.query,
 }
-SQL = {"op1_line_dedup": linededup.SQL, "op3_warc": warc.SQL, "op4_near_duplicates": nearby.SQL, "op5_secrets": secrets.SQL}
+SQL = {"op1_line_dedup": linededup.SQL, "op3_warc": warc.SQL, "op4_near_duplicates": nearby.SQL, "op5_secrets": secrets.SQL, "op11_phrases": phrases.SQL, "op12_funnels": funnels.SQL}
