@@ -56,18 +56,24 @@ def _sweep(funnels: dict, kinds: list[str], within: int, span: int, client: pa.D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, end, counts, chains, excluded = None, 0, {}, [], []
+        out: list[tuple] = []
 
-        def given(who):
-            f, step, gap = zip(*counts, strict=True)
-            n = list(counts.values())
+        def given():
+            cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, schema=schema)
+
+        def counted(who):
+            out.extend([(f, who, step, gap, n) for (f, step, gap), n in counts.items()])
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array([who] * len(n), client), pa.array(step, pa.int32()), pa.array(gap, pa.int64()), pa.array(n, pa.int64())], schema=schema)
 
         for b in batches:
-            for who, at, us, bits in zip(*(b[c].to_pylist() for c in ("client", "span", "us", "kinds")), strict=True):
-                if (who, at) != now:
+            for who, at, us, bits in zip(b["client"].to_pylist(), *(b[c].to_numpy().tolist() for c in ("span", "us", "kinds")), strict=True):
+                if now is None or at != now[1] or who != now[0]:
                     if counts:
-                        yield given(now[0])
+                        counted(now[0])
+                        if len(out) >= _HELD:
+                            yield given()
                     now, end = (who, at), (at + 1) * span
                     # A chain: the time of its first row and the times from step to step that follow.
                     chains, excluded = [[None] * (n + 1) for n in lengths], [None] * len(lengths)
@@ -90,9 +96,12 @@ def _sweep(funnels: dict, kinds: list[str], within: int, span: int, client: pa.D
                     if ends:
                         excluded[f] = us
                 if len(counts) >= _HELD:
-                    yield given(who)
+                    counted(who)
+                    yield given()
         if counts:
-            yield given(now[0])
+            counted(now[0])
+        if out:
+            yield given()
 
     return run
 
