@@ -156,7 +156,8 @@ class _Block:
             gap = self.proj[seen] - proj
             seen = seen[(gap * gap).sum(axis=1) <= reach * bound + _SLACK]
             score = (self.rows[seen] * row).sum(axis=1) / (self.norm[seen] * norm)
-            worst = best[-1][0] if len(best) == k else -inf
+            # What is farther than the bound, here or from an earlier block, is not among the k best.
+            worst = max(best[-1][0] if len(best) == k else -inf, 1 - bound / 2 - _SLACK)
             new = [(s, i) for j, s in zip(seen.tolist(), score.tolist(), strict=True) if s >= worst for i in self.ids[j]]
             if new:
                 best = sorted(best + new, key=lambda x: (-x[0], x[1]))[:k]
