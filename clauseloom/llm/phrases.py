@@ -1,17 +1,18 @@
 """Phrase collocation mining on compressed position bitmaps.
 
 Each task reads texts into shards of one language, a list of word positions in which a free position stands between
-pieces, and gives one row for each word of a shard: the bitmap of its positions. A bitmap is a list of 16-bit words
+pieces, and stores for each word of a shard the bitmap of its positions. A bitmap is a list of 16-bit words
 that are not empty, each behind the number of words it stands after the one before. Popcounts summed over the
 shards are the counts of words.
 
-The bitmaps of words that are frequent enough meet again by shard. A phrase grows by shifting its bitmap (of the positions of
-its last word) by one and ANDing it with another; free positions keep phrases within pieces. Words ANDed with words give
-pairs, and popcounts summed over the shards tell which pairs are frequent. Their bitmaps go back to the shards, and
-there phrases of three words and more grow depth-first: a phrase ANDed with the pair that begins with its last word.
-No phrase is tried whose words or pairs are not all frequent in the whole corpus, and none that is gets lost.
+A phrase grows by shifting its bitmap (of the positions of its last word) by one and ANDing it with another; free positions
+keep phrases within pieces. In the first round over the stored shards words grow to pairs, in the second pairs grow
+depth-first to longer phrases: a phrase is ANDed with the pair that begins with its last word. After each round the popcounts
+are summed over the shards, and the phrases that are frequent enough in the whole corpus are marked in a filter of a fixed size.
+The next round grows only what is marked. A filter has no false negatives, so no frequent phrase gets lost, and what it lets through
+by chance is dropped by its sum; with more phrases than the filter can tell apart the rounds grow more and find the same.
 
-What moves is a row for each (shard, word) and (shard, pair), so a word or pair that every text holds is one row a shard.
+Only counts move: a row for each phrase and task, so a word or pair that every text holds is no one's load.
 """
 
 from __future__ import annotations
@@ -22,18 +23,21 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import lean, stage_dir, text_bytes
+from ._shared import U64, lean, mix, stage_dir, text_bytes
 
 #: Positions of a shard; a piece is never cut, so a longer piece is a longer shard.
-SHARD = 1 << 19
+SHARD = 1 << 20
 _BITS, _FAR = 16, 65535
 #: ANDs that are done at a time, and bitmap words of the phrases that grow together.
 _STEP, _GROWN = 1 << 21, 1 << 16
+#: Bits of a filter, 16 MB whatever the input.
+FILTER = 1 << 27
 #: A-Z lower-cased; the ends of pieces become line feeds, tabs become spaces.
 _FOLD = bytes(ord("\n") if chr(c) in ".,;:!?\n\x0b\x0c\r" else ord(" ") if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -105,47 +109,37 @@ def _binary(off: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-_WORDS = pa.schema([("lang", pa.string()), ("shard", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("bits", pa.binary())])
+_SHARDS = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("bits", pa.list_(pa.binary()))])
 
 
-def _words(size: int):
+def _shards(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId() << 32, count()
         held: dict[str, tuple[dict, list]] = {}
         total = 0
 
         def given(lang):
             vocabulary, at = held.pop(lang)
-            at = np.array(at, np.int64)
-            if not vocabulary:
-                return
-            place = np.flatnonzero(at >= 0)
-            item, off, data = pack(at[place], place >> 4, (1 << (place & 15)).astype("<u2"))
-            shard = part + next(made)
-            words = list(vocabulary)
-            n = np.bincount(at[place], minlength=len(words))
-            step = 1 << 14
-            for i in range(0, len(words), step):
-                cut = off[i : i + step + 1]
-                k = len(cut) - 1
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * k), pa.array(np.full(k, shard)), pa.array(words[i : i + step], pa.binary()), pa.array(n[i : i + step]), _binary(cut - cut[0], data[cut[0] : cut[-1]])], schema=_WORDS)
+            if vocabulary:
+                at = np.array(at, np.int64)
+                place = np.flatnonzero(at >= 0)
+                _, off, data = pack(at[place], place >> 4, (1 << (place & 15)).astype("<u2"))
+                cols = [pa.array(list(vocabulary), pa.binary()).view(pa.string()), pa.array(np.bincount(at[place], minlength=len(vocabulary))), _binary(off, data)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), *(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in cols)], schema=_SHARDS)
 
         for b in batches:
             data, off = text_bytes(b["text"])
             for i, lang in enumerate(b["lang"].to_pylist()):
-                if lang not in held:
-                    held[lang] = (defaultdict(count().__next__), [])
-                vocabulary, at = held[lang]
+                vocabulary, at = held.setdefault(lang, (defaultdict(count().__next__), []))
                 before = len(at)
                 for piece in data[off[i] : off[i + 1]].tobytes().translate(_FOLD).split(b"\n"):
                     if words := [x for x in piece.split(b" ") if x]:
                         at.extend(map(vocabulary.__getitem__, words))
                         at.append(-1)
                         if len(at) >= size:
-                            total += len(at) - before
+                            total -= before
                             yield from given(lang)
-                            total, before = total - len(at), 0
-                            held[lang] = vocabulary, at = defaultdict(count().__next__), []
+                            vocabulary, at = held[lang] = defaultdict(count().__next__), []
+                            before = 0
                 total += len(at) - before
                 while total > 2 * size:
                     # Many languages at once: the fullest shard goes.
@@ -158,90 +152,106 @@ def _words(size: int):
     return run
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """The rows of each shard, which come one after the other."""
-    held, now = [], None
+def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    seed = xxhash.xxh3_64_intdigest(lang.encode())
+    return np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], U64)
+
+
+def _pair_hashes(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix(u * U64(0x9E3779B97F4A7C15) + v)
+
+
+def _marked(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
+    h = h % U64(FILTER)
+    return (marks[(h >> U64(6)).astype(np.int64)] >> (h & U64(63))) & U64(1) == 1
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where words and pairs are marked: the number of a 64-bit word and its bit."""
     for b in batches:
-        shard = b["shard"].to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1), len(shard)] if len(shard) else []
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            if held and shard[i] != now:
-                yield now, pa.Table.from_batches(held)
-                held = []
-            now = shard[i]
-            held.append(b.slice(i, j - i))
-    if held:
-        yield now, pa.Table.from_batches(held)
+        found = []
+        for lang, phrase in zip(b["lang"].to_pylist(), b["phrase"].cast(pa.binary()).to_pylist(), strict=True):
+            h = _word_hashes(lang, phrase.split(b" "))
+            found.append(h[0] if len(h) == 1 else _pair_hashes(h[:1], h[1:])[0])
+        h = np.array(found, U64) % U64(FILTER)
+        yield pa.RecordBatch.from_arrays([pa.array((h >> U64(6)).astype(np.int32)), pa.array((U64(1) << (h & U64(63))).view(np.int64))], ["word", "bit"])
 
 
-_PAIRS = pa.schema([("shard", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+def marks(phrases: DataFrame) -> np.ndarray:
+    """The filter of these words or pairs; at most FILTER / 64 rows come to the driver."""
+    rows = phrases.select("lang", "phrase").mapInArrow(lean(_places), "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(FILTER // 64, np.int64)
+    out[rows["word"].to_numpy()] = rows["bit"].to_numpy()
+    return out.view(U64)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard, rows in _by_shard(batches):
-        ids = rows["id"].to_numpy()
-        words = unpack(rows["bits"].combine_chunks())
-        order = np.argsort(words[1], kind="stable")
-        u, v, block, bits = anded(shifted(*words), tuple(x[order] for x in words))
-        pair, off, data = pack(u * len(ids) + v, block, bits)
-        n = _popcounts(off, data)
-        step = 1 << 15
-        for i in range(0, len(pair), step):
-            cut, p = off[i : i + step + 1], pair[i : i + step]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), shard)), pa.array(ids[p // len(ids)]), pa.array(ids[p % len(ids)]), pa.array(n[i : i + step]), _binary(cut - cut[0], data[cut[0] : cut[-1]])], schema=_PAIRS)
+_COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
-def _popcounts(off: np.ndarray, data: np.ndarray) -> np.ndarray:
-    ones = np.bitwise_count(data.view("<u2").reshape(-1, 2)[:, 1]).astype(np.int64)
-    return np.add.reduceat(ones, off[:-1] // 4) if len(off) > 1 else np.zeros(0, np.int64)
+def _counted(lang: str, parts: list[pa.Array], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    step = 1 << 15
+    for i in range(0, len(n), step):
+        text = pc.binary_join_element_wise(*(p.slice(i, step) for p in parts), " ")
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(text)), text, pa.array(n[i : i + step])], schema=_COUNTED)
 
 
-_LONGER = pa.schema([("path", pa.list_(pa.int64())), ("n", pa.int64())])
+def _sums(key: np.ndarray, block: np.ndarray, bits: np.ndarray):
+    """Entries put together; where each key begins, and the popcount of its bitmap."""
+    key, block, bits = merged(key, block, bits)
+    new = np.append(0, np.flatnonzero(np.diff(key)) + 1)[: len(key)]
+    n = np.add.reduceat(np.bitwise_count(bits).astype(np.int64), new) if len(key) else np.zeros(0, np.int64)
+    return key, block, bits, new, n
 
 
-def _longer(longest: int):
+def _grown(word_marks, pair_marks, longest: int):
+    """Without pair_marks the pairs of marked words; with them the phrases of three to longest words whose pairs are all marked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_shard(batches):
-            u, v = rows["u"].to_numpy(), rows["v"].to_numpy()
-            pairs = unpack(rows["bits"].combine_chunks())
-            order = np.argsort(pairs[1], kind="stable")
-            by_block = tuple(x[order] for x in pairs)
-
-            def grown(paths: np.ndarray, bitmaps: tuple):
-                """Phrases one word longer than the paths, each chunk of them with all that grows from it."""
-                ends = np.append(np.flatnonzero(np.diff(bitmaps[0])) + 1, len(bitmaps[0]))
-                at = 0
-                while at < len(bitmaps[0]):
-                    to = int(ends[min(np.searchsorted(ends, at + _GROWN), len(ends) - 1)])
-                    item, pair, block, bits = anded(shifted(*(x[at:to] for x in bitmaps)), by_block)
-                    at = to
-                    if not len(item):
-                        continue
-                    both, block, bits = merged(item * len(u) + pair, block, bits)
-                    new = np.append(0, np.flatnonzero(np.diff(both)) + 1)
-                    key = both[new]
-                    path = np.column_stack((paths[key // len(u)], v[key % len(u)]))
-                    n = np.add.reduceat(np.bitwise_count(bits).astype(np.int64), new)
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * path.shape[1]), pa.array(path.reshape(-1))), pa.array(n)], schema=_LONGER)
-                    if path.shape[1] < longest:
-                        yield from grown(path, (np.repeat(np.arange(len(new)), np.diff(np.append(new, len(both)))), block, bits))
-
-            yield from grown(np.column_stack((u, v)), pairs)
+        for b in batches:
+            for i in range(len(b)):
+                yield from _of_shard(b["lang"][i].as_py(), b["words"][i].values, b["bits"][i].values)
+
+    def _of_shard(lang, words, bitmaps):
+        hashes = _word_hashes(lang, words.cast(pa.binary()).to_pylist())
+        keep = np.flatnonzero(_marked(word_marks.value, hashes))
+        words, hashes = words.take(pa.array(keep)), hashes[keep]
+        items = unpack(bitmaps.take(pa.array(keep)))
+        order = np.argsort(items[1], kind="stable")
+        u, v, block, bits = anded(shifted(*items), tuple(x[order] for x in items))
+        key, block, bits, new, n = _sums(u * max(len(words), 1) + v, block, bits)
+        u, v = key[new] // max(len(words), 1), key[new] % max(len(words), 1)
+        if pair_marks is None:
+            yield from _counted(lang, [words.take(pa.array(u)), words.take(pa.array(v))], n)
+            return
+        good = _marked(pair_marks.value, _pair_hashes(hashes[u], hashes[v]))
+        number = np.cumsum(good) - 1
+        pair = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key))))
+        own = good[pair]
+        u, v = u[good], v[good]
+        pairs = number[pair[own]], block[own], bits[own]
+        order = np.argsort(pairs[1], kind="stable")
+        yield from _deeper(lang, words, v, np.column_stack((u, v)), pairs, tuple(x[order] for x in pairs))
+
+    def _deeper(lang, words, lasts, paths, bitmaps, by_block):
+        """Phrases one word longer than the paths, each chunk of them with all that grows from it."""
+        ends = np.append(np.flatnonzero(np.diff(bitmaps[0])) + 1, len(bitmaps[0]))
+        at = 0
+        while at < len(bitmaps[0]):
+            to = int(ends[min(np.searchsorted(ends, at + _GROWN), len(ends) - 1)])
+            item, pair, block, bits = anded(shifted(*(x[at:to] for x in bitmaps)), by_block)
+            at = to
+            key, block, bits, new, n = _sums(item * len(lasts) + pair, block, bits)
+            if len(new):
+                path = np.column_stack((paths[key[new] // len(lasts)], lasts[key[new] % len(lasts)]))
+                yield from _counted(lang, [words.take(pa.array(c)) for c in path.T], n)
+                if path.shape[1] < longest:
+                    yield from _deeper(lang, words, lasts, path, (np.repeat(np.arange(len(new)), np.diff(np.append(new, len(key)))), block, bits), by_block)
 
     return run
 
 
-def _shards(df: DataFrame, *order: str) -> DataFrame:
-    return df.repartition("shard").sortWithinPartitions("shard", *order)
-
-
-def _cut(lefts: DataFrame, rights: DataFrame, phrases: DataFrame, k: int) -> DataFrame:
-    """Counts and texts of both sides of the cut after k words."""
-    side = lambda t, name: t.select(F.col("path").alias(f"_{name}"), F.col("f").alias(f"{name}{k}"), F.col("text").alias(f"_{name}_text"), F.col("lang").alias(f"_{name}_lang"))
-    out = phrases.withColumns({"_l": F.slice("path", 1, k), "_r": F.slice("path", k + 1, F.size("path") - k)})
-    out = out.join(side(lefts, "l"), "_l").join(side(rights, "r"), "_r")
-    found = {} if "text" in phrases.columns else {"text": F.concat_ws(" ", "_l_text", "_r_text"), "lang": F.col("_l_lang")}
-    return out.withColumns(found).drop("_l", "_r", "_l_text", "_r_text", "_l_lang", "_r_lang")
+def _side(counts: DataFrame, name: str) -> DataFrame:
+    return counts.select("lang", F.col("phrase").alias(f"_{name}"), F.col("f").alias(name))
 
 
 def _score(k: int) -> Column:
@@ -268,48 +278,49 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int =
         df.write.parquet(f"{home}/{name}")
         return spark.read.parquet(f"{home}/{name}")
 
+    def frequent(df: DataFrame, name: str) -> DataFrame:
+        return stored(df.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), name)
+
+    def grown(*filters) -> DataFrame:
+        return shards.mapInArrow(lean(_grown(*(None if m is None else spark.sparkContext.broadcast(m) for m in filters), longest)), "lang string, phrase string, n long")
+
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    words = stored(texts.mapInArrow(lean(_words(shard)), "lang string, shard long, word binary, n long, bits binary"), "words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    # Numbers of words are stored, so they are the same in all that follows.
-    frequent = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "frequent")
-    items = words.join(frequent.select("lang", "word", "id"), ["lang", "word"]).select("shard", "id", "bits")
-    pairs = _shards(items, "id").mapInArrow(lean(_pairs), "shard long, u long, v long, n long, bits binary")
-    # One row a shard for each pair.
-    pairs = stored(pairs.withColumn("f", F.sum("n").over(W.partitionBy("u", "v"))).where(F.col("f") >= least), "pairs")
-    counts = pairs.groupBy(F.array("u", "v").alias("path")).agg(F.max("f").alias("f"))
+    shards = stored(texts.mapInArrow(lean(_shards(shard)), "lang string, words array<string>, n array<long>, bits array<binary>"), "shards")
+    totals = shards.groupBy("lang").agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    words = frequent(shards.select("lang", F.explode(F.arrays_zip("words", "n")).alias("x")).select("lang", F.col("x.words").alias("phrase"), F.col("x.n").alias("n")), "words")
+    word_marks = marks(words)
+    by_size = {1: words, 2: frequent(grown(word_marks, None), "pairs")}
     if longest > 2:
-        more = _shards(pairs.select("shard", "u", "v", "bits"), "u", "v").mapInArrow(lean(_longer(longest)), "path array<long>, n long")
-        counts = counts.unionByName(more.groupBy("path").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-    counts = stored(counts, "counts")
-    tables = {1: frequent.select(F.array("id").alias("path"), "f", F.col("word").cast("string").alias("text"), "lang")}
+        longer = frequent(grown(word_marks, marks(by_size[2])), "longer")
+        by_size |= {m: longer.where(F.size(F.split("phrase", " ")) == m) for m in range(3, longest + 1)}
+    found = inner = None
     for m in range(2, longest + 1):
-        scored = counts.where(F.size("path") == m)
+        scored = by_size[m]
         for k in range(1, m):
-            scored = _cut(tables[k], tables[m - k], scored, k).withColumn(f"score{k}", _score(k))
-        cuts = [F.struct(F.col(f"score{k}").alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in range(1, m)]
-        best = F.least(*cuts) if len(cuts) > 1 else cuts[0]
-        tables[m] = stored(scored.select("path", "f", "text", "lang", best.alias("best")), f"phrases{m}")
-    found, inner = tables[2], None
-    for m in range(3, longest + 1):
-        found = found.unionByName(tables[m])
-        parts = F.array(*[F.slice("path", i, size) for size in range(2, m) for i in range(1, m - size + 2)])
-        within = tables[m].select(F.explode(parts).alias("path"), F.col("f").alias("longer"))
-        inner = within if inner is None else inner.unionByName(within)
+            scored = scored.withColumns({f"_l{k}": F.substring_index("phrase", " ", k), f"_r{k}": F.substring_index("phrase", " ", k - m)})
+            scored = scored.join(_side(by_size[k], f"l{k}"), ["lang", f"_l{k}"]).join(_side(by_size[m - k], f"r{k}"), ["lang", f"_r{k}"])
+        cuts = [F.struct(_score(k).alias("score"), F.lit(k).alias("k"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in range(1, m)]
+        scored = scored.select("lang", "phrase", "f", (F.least(*cuts) if m > 2 else cuts[0]).alias("best"))
+        found = scored if found is None else found.unionByName(scored)
+        if m > 2:
+            split = F.split("phrase", " ")
+            parts = F.array(*[F.array_join(F.slice(split, i, size), " ") for size in range(2, m) for i in range(1, m - size + 2)])
+            within = by_size[m].select("lang", F.explode(parts).alias("phrase"), F.col("f").alias("longer"))
+            inner = within if inner is None else inner.unionByName(within)
     if inner is not None:
-        found = found.join(inner.groupBy("path").agg(F.max("longer").alias("longer")), "path", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < cover * F.col("f")))
-    order = (F.desc("score"), F.desc("f"), F.col("text"))
-    flat = found.select("lang", "text", "f", "best.l", "best.r", "best.score")
+        found = found.join(inner.groupBy("lang", "phrase").agg(F.max("longer").alias("longer")), ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < cover * F.col("f")))
+    order = (F.desc("score"), F.desc("f"), F.col("phrase"))
+    flat = found.select("lang", "phrase", "f", "best.l", "best.r", "best.score")
     # Ranks of a language are found by ranges of the order, so a large language is not one task's load.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stored(flat.repartitionByRange(parts, "lang", *order).withColumn("part", F.spark_partition_id()), "ranges")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(flat.repartitionByRange(ranges, "lang", *order).withColumn("part", F.spark_partition_id()), "ranges")
     # A row for each range and language in it.
     sizes = dealt.groupBy("lang", "part").agg(F.count("*").alias("size"))
     before = F.coalesce(F.sum("size").over(W.partitionBy("lang").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("lang", "part", before.alias("before")).where(F.col("before") < top)
     own = F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))
     ranked = dealt.join(offsets, ["lang", "part"]).withColumn("rank", own + F.col("before")).where(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", F.col("text").alias("phrase"), F.col("f").alias("a"), "l", "r", "n", "score")
+    return ranked.join(totals, "lang").select("lang", "rank", "phrase", F.col("f").alias("a"), "l", "r", "n", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
