@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from ._shared import U64, lean, mix, stage_dir, text_bytes
 
 #: Positions of a shard; a piece is never cut, so a longer piece is a longer shard.
-SHARD = 1 << 20
+SHARD = 1 << 18
 _BITS, _FAR = 16, 65535
 #: ANDs that are done at a time, and bitmap words of the phrases that grow together.
-_STEP, _GROWN = 1 << 21, 1 << 16
+_STEP, _GROWN = 1 << 20, 1 << 15
 #: Bits of a filter, 16 MB whatever the input.
 FILTER = 1 << 27
 #: A-Z lower-cased; the ends of pieces become line feeds, tabs become spaces.
