@@ -9,11 +9,12 @@ import pytest
 import clauseloom.plans.curation_queries
 import clauseloom.plans.pair_queries
 import clauseloom.plans.record_queries
+import clauseloom.plans.stream_queries
 import clauseloom.plans.text_queries  # noqa: F401
 from clauseloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 def norm(v):
