@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import shared_folder
+from ..sources import paged as P
 from ..streaming import stateful as S
 from .registry import query
 
@@ -58,3 +59,44 @@ def _(t):
     runs = [{"candidates": candidates.where(early), "decisions": decisions.where(~early)}, {"candidates": candidates.where(~early), "decisions": decisions.where(early)}]
     out = _in_runs(t.spark, shared_folder(t.spark, "decisions"), runs, lambda candidates, decisions: S.decision_stream(candidates, decisions))
     return S.current(out).select("match_id", "present", "score", "decision", "notes", F.unix_micros("decided_at").alias("decided_us"), "history")
+
+
+_RECORDS = """
+WITH d AS (
+  SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'Executive Order ' WHEN page_id % 7 = 1 THEN 'OMB ' WHEN page_id % 7 = 2 THEN 'Memorandum ' ELSE '' END || coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title,
+    CASE WHEN page_id % 2 = 0 THEN 'PRESDOCU' WHEN page_id % 5 = 0 THEN 'RULE' ELSE 'NOTICE' END AS type, DATE '2024-01-01' + (page_id % 150)::INT AS published, url
+  FROM pages WHERE page_id IS NOT NULL)"""
+
+
+def _pages(t, name: str, size: int = 25):
+    """The pages table as a service: records by page number, oldest id first, without gaps."""
+    from ..operators.records import numbered
+
+    k = F.col("page_id")
+    lead = F.when(k % 7 == 0, "Executive Order ").when(k % 7 == 1, "OMB ").when(k % 7 == 2, "Memorandum ").otherwise("")
+    known = t.pages.where("page_id IS NOT NULL").select(
+        "page_id", F.concat(lead, F.coalesce(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(""))).alias("title"),
+        F.when(k % 2 == 0, "PRESDOCU").when(k % 5 == 0, "RULE").otherwise("NOTICE").alias("type"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (k % 150).cast("int")).cast("string").alias("publication_date"), F.col("url").alias("html_url"), F.concat(F.lit("doc-"), k.cast("string")).alias("document_number"),
+    )
+    pages = numbered(known, "_n", "page_id", "html_url").withColumn("page", F.floor((F.col("_n") - 1) / size) + 1).drop("_n", "page_id")
+    return P.landed_pages(pages, f"{shared_folder(t.spark, name)}/pages")
+
+
+@query("s18_s24_register", _RECORDS + """
+SELECT 'doc-' || page_id AS citation, title, type AS document_type, strftime(published, '%Y-%m-%d') AS publication_date, coalesce(url, '') AS url FROM d
+WHERE published BETWEEN DATE '2024-02-28' AND DATE '2024-04-30' AND (type = 'PRESDOCU' AND contains(lower(title), 'executive order') OR type = 'NOTICE' AND (contains(lower(title), 'omb') OR contains(lower(title), 'memorandum')))""")
+def _(t):
+    return P.register_documents(P.read_pages(t.spark, "register_pages", _pages(t, "register"), P.REGISTER), "2024-04-30")
+
+
+@query("s19_s20_paged_stream", _RECORDS + """
+SELECT DISTINCT 'doc-' || page_id AS citation, title, strftime(published, '%Y-%m-%d') AS publication_date, url FROM d WHERE published BETWEEN DATE '2024-02-28' AND DATE '2024-04-30'""")
+def _(t):
+    fetch, home = _pages(t, "versions"), shared_folder(t.spark, "versions-stream")
+    # The first run leaves the last page, which may still grow; the second goes on at it.
+    for last in (False, True):
+        stream = P.stream_pages(t.spark, "version_pages", fetch, P.REGISTER, last=last)
+        S.start(stream, f"{home}/out", f"{home}/checkpoint").awaitTermination()
+    records = t.spark.read.parquet(f"{home}/out").withColumnsRenamed({"html_url": "url"}).withColumn("citation", F.col("document_number"))
+    return P.version_documents(records, "2024-04-30")
