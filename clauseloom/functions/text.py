@@ -287,7 +287,7 @@ def slug_title(url: Column) -> Column:
 
 def guess_metadata(url: Column, text: Column) -> Column:
     """Authority by host, document type by address, first date of the first 1000 characters."""
-    host, low = F.coalesce(F.parse_url(url, F.lit("HOST")), F.lit("")), F.lower(url)
+    host, low = F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")), F.lower(url)
     authority = F.when(host.contains("whitehouse.gov"), "Executive Office of the President").when(host.contains("congress.gov"), "U.S. Congress")
     authority = authority.when(host.rlike("epa\\.gov|energy\\.gov|commerce\\.gov"), F.concat(F.upper(F.element_at(F.split(host, "\\."), 1)), F.lit(" Department"))).otherwise("U.S. Government")
     kind = F.when(low.rlike("executive-order|eo-"), "Executive Order").when(low.rlike("public-law|pl-"), "Public Law").when(low.rlike("omb-memo|circular"), "OMB Memorandum").when(low.contains("strategic-plan"), "Strategic Plan").otherwise("Web Page")
@@ -392,12 +392,12 @@ def content_status(url: Column, content: Column) -> Column:
 
 def gov_host(url: Column) -> Column:
     """F14."""
-    return F.coalesce(F.lower(F.parse_url(url, F.lit("HOST"))).rlike("(^|\\.)[a-z0-9-]+\\.gov$"), F.lit(False))
+    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))).rlike("(^|\\.)[a-z0-9-]+\\.gov$"), F.lit(False))
 
 
 def document_url(url: Column) -> Column:
     """an address that ends in a document's extension or asks for a download."""
-    path, query = F.coalesce(F.lower(F.parse_url(url, F.lit("PATH"))), F.lit("")), F.coalesce(F.lower(F.parse_url(url, F.lit("QUERY"))), F.lit(""))
+    path, query = F.coalesce(F.lower(F.try_parse_url(url, F.lit("PATH"))), F.lit("")), F.coalesce(F.lower(F.try_parse_url(url, F.lit("QUERY"))), F.lit(""))
     return path.rlike("\\.(pdf|docx?|xlsx?|pptx?|csv|txt|xml)$") | query.rlike("(^|&)(download|file|attachment|doc|document)=")
 
 

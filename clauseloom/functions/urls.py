@@ -13,17 +13,16 @@ SPECIAL_PUBLICATIONS = {
     "800-63B": "800-63b/rev-3", "800-63C": "800-63c/rev-3", "800-218": "800-218", "800-160": "800-160/rev-1", "800-184": "800-184",
     "800-144": "800-144", "800-137": "800-137", "800-55": "800-55/rev-1", "800-53B": "800-53b", "800-125": "800-125", "800-124": "800-124/rev-2",
 }
-#: Pattern and address, tried in this order; $1 and $2 are groups of the pattern.
+#: Pattern and address, tried in this order; $1 and $2 are groups of the pattern. Where a third part is given, its pattern is
+#: held against the first match, and its address taken where that fits.
 BEFORE = [
     (r"(\d+)\s*USC\s*([0-9A-Za-z\-]+)", "https://uscode.house.gov/view.xhtml?req=(title:$1%20section:$2)"),
-    (r"(\d+)\s*CFR\s*([0-9]+\.[0-9]+)", "https://www.ecfr.gov/current/title-$1/section-$2"),
-    (r"(\d+)\s*CFR\s*([0-9]+)", "https://www.ecfr.gov/current/title-$1/part-$2"),
+    (r"(\d+)\s*CFR\s*([0-9]+(?:\.[0-9]+)?)", "https://www.ecfr.gov/current/title-$1/part-$2", (r"\.", "https://www.ecfr.gov/current/title-$1/section-$2")),
     (r"\bFAR\s*([0-9]+)(?:\.[0-9]+)?", "https://www.acquisition.gov/far/part-$1"),
     (r"\bDFARS\s*([0-9]+)(?:\.[0-9]+)?", "https://www.acquisition.gov/dfars/part-$1"),
     (r"\bExecutive Order\s*(\d+)\b", "https://www.archives.gov/federal-register/executive-orders/$1.html"),
     (r"OMB\s*Circular\s*A-?(\d+)", "https://www.whitehouse.gov/omb/information-for-agencies/circulars/"),
-    (r"\bM-26-03\b", "https://www.whitehouse.gov/wp-content/uploads/2025/12/M-26-03-Presidents-Management-Agenda.pdf"),
-    (r"\bM-\d{2}-\d{2}\b", "https://www.whitehouse.gov/omb/information-resources/guidance/memoranda/"),
+    (r"\bM-\d{2}-\d{2}\b", "https://www.whitehouse.gov/omb/information-resources/guidance/memoranda/", (r"(?i)M-26-03", "https://www.whitehouse.gov/wp-content/uploads/2025/12/M-26-03-Presidents-Management-Agenda.pdf")),
 ]
 AFTER = [
     (r"\bFIPS\s*(199|200)\b", "https://csrc.nist.gov/publications/detail/fips/$1/final"),
@@ -58,10 +57,11 @@ def canonical_url(name: Column, component_id: Column) -> Column:
     text = F.trim(F.concat_ws(" ", F.coalesce(name.cast("string"), F.lit("")), F.coalesce(component_id.cast("string"), F.lit(""))))
     text = F.regexp_replace(F.regexp_replace(text, r"(?i)\bEO\b", "Executive Order"), r"(?i)\bSP\s*800\b", "NIST SP 800")
 
-    def rule(pattern: str, address: str) -> Column:
+    def rule(pattern: str, address: str, special: tuple[str, str] | None = None) -> Column:
         p = "(?i)" + pattern
-        built = F.regexp_replace(F.regexp_extract(text, p, 0), p, address) if "$" in address else F.lit(address)
-        return F.when(text.rlike(p), built)
+        match = F.regexp_extract(text, p, 0)
+        built = lambda a: F.regexp_replace(match, p, a) if "$" in a else F.lit(a)
+        return F.when(text.rlike(p), F.when(match.rlike(special[0]), built(special[1])).otherwise(built(address)) if special else built(address))
 
     number = F.nullif(F.regexp_extract(text, r"(?i)SP\s*800-([0-9]+[A-Za-z]?)", 1), F.lit(""))
     table = F.create_map(*[F.lit(x) for kv in SPECIAL_PUBLICATIONS.items() for x in kv])

@@ -139,15 +139,25 @@ def _(t):
     return both.select("doc_id", digest(F.array_join("keywords", ",")).alias("keywords"), F.size("phrases").alias("phrases"))
 
 
-@query("x15_canonical_url", """
-SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'https://www.google.com/search?q=site:.gov+' || p_partkey || CASE WHEN p_partkey % 14 = 0 THEN '+and+more' ELSE '' END
+_CITED = {
+    "48 CFR 9 and 40 CFR 60.1": "https://www.ecfr.gov/current/title-48/part-9", "40 CFR 60.1 and 48 CFR 9": "https://www.ecfr.gov/current/title-40/section-60.1",
+    "M-24-10 and M-26-03": "https://www.whitehouse.gov/omb/information-resources/guidance/memoranda/",
+    "m-26-03 and M-24-10": "https://www.whitehouse.gov/wp-content/uploads/2025/12/M-26-03-Presidents-Management-Agenda.pdf",
+    "FAR 9.1 and 5 USC 552": "https://uscode.house.gov/view.xhtml?req=(title:5%20section:552)", "EO 14028, 48 CFR 9": "https://www.ecfr.gov/current/title-48/part-9",
+}
+
+
+@query("x15_canonical_url", f"""
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN CASE p_partkey // 5 % {len(_CITED)} {" ".join(f"WHEN {i} THEN '{url}'" for i, url in enumerate(_CITED.values()))} END
+ELSE CASE p_partkey % 7 WHEN 0 THEN 'https://www.google.com/search?q=site:.gov+' || p_partkey || CASE WHEN p_partkey % 14 = 0 THEN '+and+more' ELSE '' END
 WHEN 1 THEN 'https://uscode.house.gov/view.xhtml?req=(title:5%20section:' || p_partkey || ')' WHEN 2 THEN 'https://www.ecfr.gov/current/title-48/section-9.' || p_partkey
 WHEN 3 THEN 'https://www.acquisition.gov/far/part-9' WHEN 4 THEN 'https://www.archives.gov/federal-register/executive-orders/' || p_partkey || '.html'
-WHEN 5 THEN 'https://csrc.nist.gov/publications/detail/sp/800-53a/rev-5/final' ELSE 'https://csrc.nist.gov/publications/detail/fips/200/final' END AS url FROM part""")
+WHEN 5 THEN 'https://csrc.nist.gov/publications/detail/sp/800-53a/rev-5/final' ELSE 'https://csrc.nist.gov/publications/detail/fips/200/final' END END AS url FROM part""")
 def _(t):
     k = F.col("p_partkey")
-    named = F.element_at(F.array(*[F.lit(x) for x in ("", "5 USC ", "48 CFR 9.", "FAR 9.1 and EO ", "eo ", "SP 800-53A ", "FIPS 200 ")]), (k % 7 + 1).cast("int"))
-    return t.part.select("p_partkey", urls.canonical_url(F.concat(named, k.cast("string")), F.when(k % 14 == 0, "and  more")).alias("url"))
+    one = lambda texts, i: F.element_at(F.array(*[F.lit(x) for x in texts]), (i + 1).cast("int"))
+    named = F.concat(one(("", "5 USC ", "48 CFR 9.", "FAR 9.1 and EO ", "eo ", "SP 800-53A ", "FIPS 200 "), k % 7), k.cast("string"))
+    return t.part.select("p_partkey", urls.canonical_url(F.when(k % 5 == 0, one(_CITED, F.floor(k / 5) % len(_CITED))).otherwise(named), F.when((k % 14 == 0) & (k % 5 != 0), "and  more")).alias("url"))
 
 
 # ---- ratio joins ----------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as X
 from ..operators import extract as E
+from ..operators import linknames, outline
 from ..sources import readers
 from .registry import Tables, digest, query
 
@@ -145,3 +146,43 @@ SELECT doc_id, pos, CASE WHEN len(regexp_split_to_array(before, '\\s+')) < 50 TH
 def _context(t):
     s = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "sentence"))
     return E.context_sentence(s).select("doc_id", "pos", digest(F.col("context")).alias("context"))
+
+
+@query("e25_link_names")
+def _(t):
+    return linknames.named_links(t.pages)
+
+
+@query("e30_inventory", """
+WITH p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS pos FROM (SELECT doc_id, list_transform(string_split(text, '. '), lambda x: trim(regexp_replace(x, '[^a-z ]', '', 'g'))) AS parts FROM documents WHERE text IS NOT NULL)),
+k AS (
+  SELECT *, last_value(CASE WHEN pos % 5 = 0 THEN pos END IGNORE NULLS) OVER w AS cat_at, last_value(CASE WHEN pos % 5 IN (1, 3) THEN pos END IGNORE NULLS) OVER w AS name_at
+  FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+c AS (
+  SELECT doc_id, name_at, 'cat' || (cat_at // 5 % 3) AS category, cat_at, max(part) FILTER (pos = name_at) AS component, coalesce(string_agg(part, ' ' ORDER BY pos) FILTER (pos > name_at AND part <> ''), '') AS description
+  FROM k WHERE name_at > cat_at GROUP BY ALL),
+last AS (SELECT doc_id, 'cat' || (pos // 5 % 3) AS category, max(pos) AS cat_at FROM p WHERE pos % 5 = 0 GROUP BY ALL)
+SELECT doc_id, name_at::INT AS pos, category, component, md5(description) AS description FROM c JOIN last USING (doc_id, category, cat_at)""")
+def _(t):
+    # The parts of a text as the lines of an inventory: a category, two components, each with a line about it.
+    part = lambda x: F.trim(F.regexp_replace(x, "[^a-z ]", ""))
+    line = lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("## cat"), (F.floor(i / 5) % 3).cast("string"))).when(i % 5 % 2 == 1, F.concat(F.lit("- **"), part(x), F.lit(":**"))).otherwise(F.concat(F.lit("- "), part(x)))
+    texts = t.documents.select("doc_id", F.array_join(F.transform(F.split("text", "\\. ", -1), line), "\n").alias("text"))
+    return outline.inventory(texts).withColumn("description", digest(F.col("description")))
+
+
+@query("e31_pillar_actions")
+def _(t):
+    # Parts of a text as the lines of a plan: now and then a pillar or a title, else bullets.
+    line = lambda x, i: F.when(i % 11 == 5, F.concat(F.lit("Pillar II: "), x)).when(i % 4 == 1, F.initcap(x)).when(i % 4 == 3, x).otherwise(F.concat(F.lit("\u2022 "), x))
+    texts = t.documents.select("doc_id", F.array_join(F.transform(F.split("text", "[.\n]+ ?", -1), line), "\n").alias("text"))
+    return outline.pillar_actions(texts)
+
+
+@query("e29_numbered_sections")
+def _(t):
+    # Each text as layout lines, thirty a page; every seventeenth is a numbered heading.
+    lines = t.documents.where("text IS NOT NULL").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "[.] ?", -1)).alias("n", "text"))
+    number = F.format_string("%d.%03d %s", 100 + F.col("path") % 900, F.col("n") % 1000, F.initcap(F.left(F.regexp_replace("text", "\\s+", " "), F.lit(20))))
+    text = F.when(F.col("n") % 17 == 3, number).when(F.col("n") % 5 == 1, F.concat(F.lit("(a) "), F.col("text"))).otherwise(F.col("text"))
+    return outline.numbered_sections(lines.select("path", F.floor(F.col("n") / 30).cast("int").alias("page"), F.col("n").alias("line"), text.alias("text"), F.lit(9.0).alias("size"), (F.col("n") % 2 == 0).alias("bold")))

@@ -49,6 +49,6 @@ def test_same_as_sql(spark, db, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["x11_capital_phrases", "x12_citations", "e20_bullets", "e18_order_sections", "m06_m11_fuzzy_ratios"])
+@pytest.mark.parametrize("name", ["x11_capital_phrases", "x12_citations", "e20_bullets", "e18_order_sections", "m06_m11_fuzzy_ratios", "e25_link_names", "e31_pillar_actions", "e29_numbered_sections"])
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
