@@ -22,7 +22,8 @@ PATTERNS = {
     "hex": (r"([0-9a-f]{24,})", 1, 24),
     "ident": (r"""((?i:client_?id|access_?key_?id|account_?id|user_?name))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]+)""", 2, 3),
     "part": (r"([A-Za-z0-9+/_=-]{20,})", 1, 20),
-    "endpoint": (r"((?:[a-z][a-z0-9+]*://[A-Za-z0-9._~:/?#@!$&()*+;=%-]+))", 1, 8),
+    # A scheme has at most 31 characters (of a longer run its end), so a long run of letters costs no more than its length.
+    "endpoint": (r"((?:[a-z][a-z0-9+]{0,30}://[A-Za-z0-9._~:/?#@!$&()*+;=%-]+))", 1, 8),
 }
 _SPAN = "array<struct<kind:int,lo:int,hi:int>>"
 CHUNK = 128
