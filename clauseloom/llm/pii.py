@@ -37,21 +37,23 @@ GIVEN = {
 }
 _TITLE = rf"(?:{_MALE}|{_FEMALE})\.? "
 _PARTICLES = "van von der den de del della di da du dos la le bin al ter zu".split()
-_LEAD = rf"(?:(?:{'|'.join(_PARTICLES)}) )*"
+#: Repeated groups are possessive, as Java would else call itself for each repeat, and bounded: a name has at most 31 words with
+#: 8 particles each, a word 17 joined parts, initials 16 letters, an address 256 characters before the @ and 127 labels after it.
+_LEAD = rf"(?:(?:{'|'.join(_PARTICLES)}) ){{0,8}}+"
 #: A capitalised word without a possessive ending, or initials.
 _REST = r"(?:['’-](?!s(?!\p{L}))[\p{L}\p{M}]+)"
-_WORD = rf"(?:\p{{Lu}}[\p{{L}}\p{{M}}]+{_REST}*|\p{{Lu}}{_REST}+|(?:\p{{Lu}}\.)+|\p{{Lu}}(?= \p{{Lu}}))"
+_WORD = rf"(?:\p{{Lu}}[\p{{L}}\p{{M}}]+{_REST}{{0,16}}+|\p{{Lu}}{_REST}{{1,16}}+|(?:\p{{Lu}}\.){{1,16}}+|\p{{Lu}}(?= \p{{Lu}}))"
 #: What does not go on a name: the title of the next one and a generation.
 _STOP = rf"(?!{_TITLE}|(?:Jr|Sr|II|III|IV)(?!\p{{L}}))"
 #: Type and pattern, in the order in which a match is told apart.
 TYPES = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,256}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,126}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "name": rf"(?<![\p{{L}}]){_TITLE}{_LEAD}{_WORD}(?: {_STOP}{_LEAD}{_WORD})*",
+    "name": rf"(?<![\p{{L}}]){_TITLE}{_LEAD}{_WORD}(?: {_STOP}{_LEAD}{_WORD}){{0,30}}+",
 }
 _ANY = "|".join(f"(?:{p})" for p in TYPES.values())
 
