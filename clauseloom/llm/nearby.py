@@ -19,6 +19,7 @@ all of the key's rows. So no pair inside a component is ever needed, and no link
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ _BITS_DDL = ", ".join(f"{c} long" for c in _BITS)
 SHORT = 12
 #: So many sets, about, are held at once against other rows of their keys.
 BLOCK = 4096
+#: Rows of a key meet in cells of about so many by so many rows.
+CELL = 2000
 _rng = np.random.default_rng(41)
 _MUL = _rng.integers(1, 2**63, K, dtype=np.uint64) * U64(2) + U64(1)
 _ADD = _rng.integers(1, 2**63, K, dtype=np.uint64)
@@ -338,10 +341,8 @@ def classes_of_rows(docs: DataFrame, id_col: str, text_col: str, width: int, per
     # A row of a key that two tasks share is counted once.
     long_rows = materialize(long_rows.distinct())
     placed = long_rows.join(classes.withColumnRenamed("id", "did"), "did", "left").withColumn("component", F.coalesce("component", "did"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    placed = materialize(_spread_join(placed, mixed, "key", "left_semi"))
-    if not placed.isEmpty():
-        more = _across(placed, bodies, percent, n_out)
+    more = _across(placed, bodies, percent, n_out)
+    if more is not None:
         classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     placed = materialize(nodes.select("node", "least").join(classes.withColumnRenamed("id", "node"), "node", "left"))
     linked = placed.where("component is not null").select("node", "least", F.col("component").alias("class"))
@@ -365,28 +366,40 @@ def _repeats(sets: DataFrame) -> bool:
     return not sets.groupBy("did", "th").count().where("count > 1").isEmpty()
 
 
-def _live(percent: int):
-    """Streams rows ordered by cell (key, i, j). Gives the rows that sizes and visible distances let be near a row of another component."""
-    out = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("component", pa.int64())])
-    names = ("key", "i", "j", "grp", "did", "n", *_BITS, "component")
-
-    def live(a: dict) -> np.ndarray:
-        """A cell's flags, some rows at a time against all."""
-        z = len(a["key"])
-        found = np.zeros(z, bool)
-        left = np.flatnonzero(a["grp"] == a["i"])
-        right = np.flatnonzero(a["grp"] == a["j"])
-        for at in range(0, len(left), 256):
-            x = np.repeat(left[at : at + 256], len(right))
-            y = np.tile(right, len(left[at : at + 256]))
-            ok = (a["component"][x] != a["component"][y]) & _alike(a, x, y, percent)
-            found[x[ok]] = True
-            found[y[ok]] = True
-        return found
+def _meet(percent: int):
+    """Streams rows ordered by cell (key, i, j). Of a cell, rows outside the key's largest component (side i) meet all rows (side j).
+
+    Gives (block, kind, did) for what sizes and visible distances let be near a row of another component: kind 0 is a row of side i in its
+    own block, kind 1 a row of side j in the block of the row that it may be near.
+    """
+    out = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("did", pa.int64())])
+    names = ("key", "i", "j", "own_i", "own_j", "did", "n", *_BITS, "component", "block")
+
+    def once(block: list, did: list) -> tuple[np.ndarray, np.ndarray]:
+        both = np.unique(np.stack((np.concatenate(block), np.concatenate(did)), axis=1), axis=0)
+        return both[:, 0], both[:, 1]
+
+    def cell(a: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(kind, block, did) of one cell, some rows of side i at a time against all of side j."""
+        left = np.flatnonzero(a["own_i"] == a["i"])
+        left = left[np.argsort(a["block"][left], kind="stable")]
+        right = np.flatnonzero(a["own_j"] == a["j"])
+        for at in range(0, len(left) if len(right) else 0, 256):
+            some = left[at : at + 256]
+            x, y = np.repeat(some, len(right)), np.tile(right, len(some))
+            ok = ((a["component"][x] != a["component"][y]) & _alike(a, x, y, percent)).reshape(len(some), len(right))
+            asks = some[ok.any(axis=1)]
+            if not len(asks):
+                continue
+            yield 0, a["block"][asks], a["did"][asks]
+            block = a["block"][some]
+            starts = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1))
+            b, r = np.nonzero(np.logical_or.reduceat(ok, starts, axis=0))
+            yield 1, block[starts][b], a["did"][right][r]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        for b in (*batches, None):
+        for b in chain(batches, (None,)):
             if b is not None:
                 a = {c: b[c].to_numpy() for c in names}
                 rest = a if rest is None else {c: np.concatenate((rest[c], a[c])) for c in names}
@@ -398,14 +411,23 @@ def _live(percent: int):
             ends = np.append(starts[1:], len(new))
             if b is not None:  # the last cell may go on
                 starts, ends = starts[:-1], ends[:-1]
-            keep = np.zeros(len(new), bool)
+            found: dict[int, tuple[list, list]] = {0: ([], []), 1: ([], [])}
+            waiting = 0
             for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
-                keep[lo:hi] = live({c: v[lo:hi] for c, v in rest.items()})
-            yield batch(out, key=rest["key"][keep], did=rest["did"][keep], component=rest["component"][keep])
+                for kind, block, did in cell({c: v[lo:hi] for c, v in rest.items()}):
+                    found[kind][0].append(block)
+                    found[kind][1].append(did)
+                    waiting += len(did)
+                if waiting > 100_000 or (waiting and hi == ends[-1]):
+                    for kind, (block, did) in found.items():
+                        if block:
+                            block, did = once(block, did)
+                            yield batch(out, block=block, kind=np.full(len(did), kind, np.int32), did=did)
+                    found, waiting = {0: ([], []), 1: ([], [])}, 0
             cut = ends[-1] if len(ends) else 0
             rest = {c: v[cut:] for c, v in rest.items()}
 
-    return run, "key long, did long, component long"
+    return run, "block long, kind int, did long"
 
 
 def _spread_join(rows: DataFrame, by_key: DataFrame, key: str, how: str = "inner", by: str = "did", salts: int = 16) -> DataFrame:
@@ -414,35 +436,43 @@ def _spread_join(rows: DataFrame, by_key: DataFrame, key: str, how: str = "inner
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(-3)), F.lit(salts)).cast("int")).join(copies, [key, "_salt"], how).drop("_salt")
 
 
-def _across(placed: DataFrame, bodies: DataFrame, percent: int, n_out: int) -> DataFrame:
-    """All links between components that share a key.
+def _across(placed: DataFrame, bodies: DataFrame, percent: int, n_out: int) -> DataFrame | None:
+    """All links between components that share a key; None where no key holds several.
 
-    Rows of a key first meet in cells of at most about 2,000 rows, where sizes and visible distances leave only those that may be
-    near a row of another component. Of these the rows outside a key's largest component, in blocks, are then held
-    against the key's rows: each row meets a block of about BLOCK sets at once, and no pairs are listed.
+    Of a key with z rows, r of them outside its largest component, the r rows meet the z rows in cells of about CELL by CELL, so
+    that about z * ceil(r / CELL) + r * z / CELL rows are dealt: the largest component is never held against itself. The r rows
+    lie in blocks of about BLOCK sets; a cell gives, for each block, only the rows whose sizes and visible distances allow a link with
+    one of the block's rows. These then meet the block's full sets at once, and no pairs are listed.
     """
-    size = placed.groupBy("key").agg(F.count("*").alias("z"))
-    g = F.ceil(F.col("z") / 2000).cast("int")
-    grp = F.pmod(F.xxhash64("did", F.lit(-2)), F.col("g")).cast("int")
-    every = F.sequence(F.lit(0), F.col("g") - 1)
-    row = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
-    cells = F.array_distinct(F.concat(F.transform(every, lambda k: row(F.col("grp"), k)), F.transform(every, lambda k: row(k, F.col("grp")))))
-    dealt = _spread_join(placed, size, "key").withColumn("g", g).withColumn("grp", grp).select("key", "grp", "did", "n", *_BITS, "component", F.explode(cells).alias("c"))
-    dealt = dealt.select("key", "c.i", "c.j", "grp", "did", "n", *_BITS, "component")
-    flag, schema = _live(percent)
-    live = materialize(dealt.repartition(n_out, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(flag), schema).distinct())
-    main = live.groupBy("key", "component").agg(F.count("*").alias("z")).groupBy("key").agg(F.max_by("component", F.struct("z", "component")).alias("main"))
-    rest = materialize(_spread_join(live, main, "key").where("component != main").select("key", "did"))
-    blocks = max(1, rest.select("did").distinct().count() // BLOCK)
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("z"))
+    size = parts.groupBy("key").agg(F.sum("z").alias("z"), F.max("z").alias("top"), F.max_by("component", F.struct("z", "component")).alias("main"), F.count("*").alias("parts"))
+    marked = _spread_join(placed, size.where("parts > 1"), "key")
+    outside = F.col("component") != F.col("main")
+    key = F.struct("key", F.ceil(F.col("z") / CELL).cast("int").alias("g"), F.ceil((F.col("z") - F.col("top")) / CELL).cast("int").alias("h"), outside.alias("outside"))
+    # A row has at most K keys.
+    rows = materialize(marked.groupBy("did", "n", *_BITS, "component").agg(F.collect_list(key).alias("keys"), F.min(F.when(outside, F.col("key"))).alias("home")))
+    asking = rows.where("home is not null").count()
+    if not asking:
+        return None
+    blocks = max(1, asking // BLOCK)
     # Rows that share their least key come to one block, as far as its size allows.
-    home = rest.groupBy("did").agg(F.min("key").alias("home"))
     block = F.pmod(F.xxhash64(F.when(F.lit(blocks) > 1, F.col("home"))), F.lit(blocks)).alias("block")
-    rest = rest.join(home, "did").select("key", "did", block)
-    members = materialize(_spread_join(live.select("key", "did"), rest.select("key", "block").distinct(), "key").select("block", "did").distinct())
+    part = lambda salt, n: F.pmod(F.xxhash64("did", F.lit(salt)), F.col(n)).cast("int")
+    dealt = rows.select("did", "n", *_BITS, "component", block, F.explode("keys").alias("k")).select("did", "n", *_BITS, "component", "block", "k.*")
+    dealt = dealt.withColumn("own_i", F.when(F.col("outside"), part(-2, "h")).otherwise(-1)).withColumn("own_j", part(-4, "g"))
+    cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    right = F.transform(upto("h"), lambda i: cell(i, F.col("own_j")))
+    left = F.transform(upto("g"), lambda j: cell(F.col("own_i"), j))
+    cells = F.when(F.col("outside"), F.array_distinct(F.concat(right, left))).otherwise(right)
+    dealt = dealt.withColumn("c", F.explode(cells)).select("key", "c.i", "c.j", "own_i", "own_j", "did", "n", *_BITS, "component", "block")
+    meet, schema = _meet(percent)
+    met = materialize(dealt.repartition(n_out, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(meet), schema).distinct())
+    held, members = met.where("kind = 0"), met.where("kind = 1")
     # A block is copied to several tasks only as far as its copies stay at most twice the rows that meet it.
-    salts = max(1, min(n_out // blocks, 2 * members.count() // max(1, rest.select("did").distinct().count())))
-    members = members.select("block", F.pmod(F.xxhash64("did"), F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), "did")
-    held = rest.select("block", "did").distinct().select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(0).alias("kind"), "did")
+    salts = max(1, min(n_out // blocks, 2 * members.count() // max(1, held.count())))
+    members = members.select("block", F.pmod(F.xxhash64("did"), F.lit(salts)).alias("salt"), "kind", "did")
+    held = held.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "kind", "did")
     rows = held.unionByName(members).join(bodies, "did").select("block", "salt", "kind", "did", "body")
     check, schema = _against_block(percent)
     return materialize(rows.repartition(n_out, "block", "salt").sortWithinPartitions("block", "salt", "kind").mapInArrow(lean(check), schema).distinct())

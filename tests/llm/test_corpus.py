@@ -88,6 +88,42 @@ def test_near_duplicates(spark, empty, width):
     assert nearby.near_duplicates(empty, width=width).count() == 0
 
 
+def test_families_that_share_keys(spark, monkeypatch):
+    """Long runs of a key with several components, some linked by one pair only, in small cells and blocks."""
+    monkeypatch.setattr(nearby, "CELL", 7)
+    monkeypatch.setattr(nearby, "BLOCK", 20)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for family in range(6):
+        own = [f"f{family}x{i}" if i in set(r.sample(range(200), 12)) else w for i, w in enumerate(base)]
+        for k in range(40):
+            w = list(own)
+            for _ in range(r.randrange(4)):
+                w[r.randrange(200)] = f"n{r.randrange(10**6)}"
+            rows.append((1000 * family + k, " ".join(w)))
+    met = []
+    across = nearby._across
+    monkeypatch.setattr(nearby, "_across", lambda *a: met.append(across(*a)) or met[-1])
+    expected = brute_components(rows, 2)
+    got = {x.doc_id: x.component_id for x in nearby.near_duplicates(table(spark, rows), width=2).collect()}
+    assert got == expected and len(set(got.values())) > 1
+    assert len(met) == 1 and met[0] is not None
+
+
+def test_a_key_of_many_rows_and_few_components(spark):
+    """100,000 rows of one key: one component of nearly all rows, and ten rows of two others, of which one links."""
+    z = 100_000
+    placed = spark.range(z).selectExpr("7L AS key", "id AS did", "10 AS n", "0L AS b0", "0L AS b1", "CASE WHEN id < 5 THEN 0L WHEN id < 10 THEN 5L ELSE 10L END AS component")
+    sets = {i: np.arange(10, dtype=np.uint64) + np.uint64(10 * i) for i in (*range(10), 50_000)}
+    sets[3] = np.append(sets[50_000][1:], np.uint64(2**60))
+    bodies = spark.range(z).mapInPandas(
+        lambda it: (b.assign(did=b["id"], body=[sets.get(i, np.arange(10, dtype=np.uint64) + np.uint64(10 * i)).tobytes() for i in b["id"]])[["did", "body"]] for b in it), "did long, body binary"
+    )
+    assert nearby._across(placed, bodies, 80, 4).collect() == [(3, 50_000)]
+    assert nearby._across(placed.withColumn("component", F.lit(1).cast("long")), bodies, 80, 4) is None
+
+
 def test_rows_that_share_an_id(spark):
     w = [f"{a}{i}" for a in "abcd" for i in range(60)]
     text = {a: " ".join(x for x in w if x[0] == a) for a in "abcd"}
