@@ -1,14 +1,16 @@
-"""Streams with state over the shop's tables: rows arrive in two parts, each in a run of its own on one checkpoint."""
+"""Streams with state over the shop's tables (rows arrive in two parts, each in a run of its own on one checkpoint), logged batches, row contracts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import contracts
+from ..operators.applied import CanonicalLog
 from ..shared import shared_folder
 from ..sources import paged as P
 from ..streaming import stateful as S
-from .registry import query
+from .registry import digest, query
 
 
 def _in_runs(spark, home: str, runs: list[dict[str, DataFrame]], stream) -> DataFrame:
@@ -100,3 +102,66 @@ def _(t):
         S.start(stream, f"{home}/out", f"{home}/checkpoint").awaitTermination()
     records = t.spark.read.parquet(f"{home}/out").withColumnsRenamed({"html_url": "url"}).withColumn("citation", F.col("document_number"))
     return P.version_documents(records, "2024-04-30")
+
+
+@query("d04_t08_bulk_apply", """
+WITH one AS (SELECT p_brand, arg_max(p_name, (length(p_name), -p_partkey)) AS canonical FROM part GROUP BY p_brand),
+m AS (SELECT p_brand < 'Brand#3' AS early, p_name AS value, arg_min(canonical, p_brand) AS canonical FROM part JOIN one USING (p_brand) GROUP BY ALL),
+b AS (SELECT value, canonical FROM m WHERE early), l AS (SELECT value, canonical FROM m WHERE NOT early)
+SELECT p_partkey, CASE WHEN b.value IS NULL THEN coalesce(l.canonical, p_name) ELSE coalesce(again.canonical, b.canonical) END AS p_name, (b.value IS NOT NULL OR l.value IS NOT NULL) AS pooled
+FROM part LEFT JOIN b ON b.value = p_name LEFT JOIN l ON l.value = p_name LEFT JOIN l again ON again.value = b.canonical""")
+def _(t):
+    # The second batch holds the first one's groups again, which the log leaves out.
+    log = CanonicalLog(t.spark, f"{shared_folder(t.spark, 'canonical')}/log")
+    for groups in (t.part.where("p_brand < 'Brand#3'"), t.part):
+        log.bulk_apply(groups, "p_brand", "p_name", "p_partkey", "parts")
+    return log.apply(t.part, ["p_name"]).select("p_partkey", "p_name", F.col("pool").isNotNull().alias("pooled"))
+
+
+_ASKED = contracts.Contract(("component_id", "current_text", "source_url"))
+_ANSWERED = contracts.Contract(("updated_text", "lineage", "delta"))
+
+
+def _service(asked: dict) -> object:
+    """A service whose answers are right, fenced, short of a field, with a field too many, no JSON, or do not come, by the page."""
+    import json
+
+    k = int(asked["component_id"]) % 6
+    answer = {"updated_text": f"{asked['source_url']} {len(asked['current_text'])}", "lineage": "service", "delta": "all"}
+    if k == 1:
+        answer.pop("delta")
+    if k == 2:
+        answer["more"] = "x"
+    if k == 4:
+        raise TimeoutError
+    return {0: f"```json\n{json.dumps(answer)}\n```", 3: "no answer"}.get(k, answer)
+
+
+def _title(asked: dict) -> dict:
+    """The page's title, if it has ten characters."""
+    import re
+
+    title = re.search("<title>([^<]*)</title>", asked["current_text"])
+    if title is None or len(title[1]) < 10:
+        raise ValueError
+    return {"updated_text": title[1], "lineage": "title", "delta": "all"}
+
+
+def _stand_in(asked: dict) -> dict:
+    return {"updated_text": f"Mock transformation of: {asked['current_text'][:100]}...", "lineage": "fallback", "delta": "none"}
+
+
+@query("y02_row_contract", """
+WITH p AS (SELECT page_id, html, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+    concat_ws('; ', CASE WHEN page_id IS NULL THEN 'request: component_id is missing' END,
+      CASE WHEN html IS NULL THEN 'request: current_text is missing' WHEN NOT regexp_matches(html, '\\S') THEN 'request: current_text is blank' END,
+      CASE WHEN url IS NULL THEN 'request: source_url is missing' WHEN NOT regexp_matches(url, '\\S') THEN 'request: source_url is blank' END) AS wrong,
+    CASE page_id % 6 WHEN 1 THEN 'service: delta is missing' WHEN 2 THEN 'service: more is unknown' WHEN 3 THEN 'service: JSONDecodeError' WHEN 4 THEN 'service: TimeoutError' END AS service FROM pages),
+q AS (SELECT *, CASE WHEN wrong <> '' THEN NULL WHEN service IS NULL THEN 'service' WHEN length(title) >= 10 THEN 'title' ELSE 'stand-in' END AS level FROM p)
+SELECT page_id, level, md5(CASE level WHEN 'service' THEN url || ' ' || length(html) WHEN 'title' THEN title WHEN 'stand-in' THEN 'Mock transformation of: ' || substring(html, 1, 100) || '...' END) AS updated,
+  CASE level WHEN 'service' THEN 'service' WHEN 'title' THEN 'title' WHEN 'stand-in' THEN 'fallback' END AS lineage,
+  CASE WHEN level IS NULL THEN wrong WHEN level = 'service' THEN '' WHEN level = 'title' THEN service ELSE service || '; title: ValueError' END AS faults FROM q""")
+def _(t):
+    request = {"component_id": "page_id", "current_text": "html", "source_url": "url"}
+    out = contracts.transform_rows(t.pages, request, _ASKED, [("service", _service), ("title", _title), ("stand-in", _stand_in)], _ANSWERED)
+    return out.select("page_id", "level", digest(F.col("updated_text")).alias("updated"), "lineage", F.array_join("faults", "; ").alias("faults"))
