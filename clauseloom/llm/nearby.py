@@ -40,6 +40,8 @@ SHORT = 12
 BLOCK = 4096
 #: Rows of a key meet in cells of about so many by so many rows.
 CELL = 2000
+#: Links of a part while components are sought.
+EDGES = 4096
 _rng = np.random.default_rng(41)
 _MUL = _rng.integers(1, 2**63, K, dtype=np.uint64) * U64(2) + U64(1)
 _ADD = _rng.integers(1, 2**63, K, dtype=np.uint64)
@@ -247,27 +249,34 @@ def _against_block(percent: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): for each id in links (a, b) the smallest id reachable. Alternates large-star and small-star steps."""
+    """(id, component): for each id in links (a, b) the smallest id reachable. Alternates large-star and small-star steps.
+
+    Neither step makes more rows than its links have ends. Links are read and stored in parts of about EDGES, as far as there are
+    partitions, so that few links do not cost a file and a task for each shuffle partition in each round.
+    """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
 
-    def stars(e: DataFrame, large: bool) -> DataFrame:
-        near = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = near.join(low, "u")
-        if large:
-            return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        return moved.where("u != v").distinct()
+    def with_least(e: DataFrame) -> DataFrame:
+        low = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        return e.join(low, "u")
+
+    def both(e: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+        return e.select(F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in ends])).alias("e")).select("e.*")
+
+    def stars(e: DataFrame) -> DataFrame:
+        large = with_least(both(e, ("u", "v"), ("v", "u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        return both(with_least(large), ("v", "m"), ("u", "m")).where("u != v").distinct()
 
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     seen = mark(edges)
     while True:
-        edges = materialize(stars(stars(edges, True), False))
+        parts = 2 + seen[0] // EDGES
+        edges = materialize(stars(edges.coalesce(parts)).coalesce(parts))
         now = mark(edges)
         if now == seen:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            return both(edges, ("u", "v"), ("v", "v")).distinct().select(F.col("u").alias("id"), F.col("v").alias("component"))
         seen = now
 
 

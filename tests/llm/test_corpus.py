@@ -69,6 +69,29 @@ def brute_components(rows, width):
     return {i: find(i) for i in parent}
 
 
+@pytest.mark.parametrize("part", [4, 4096])
+def test_components(spark, monkeypatch, part):
+    """A chain, a star, a cycle, random links, repeats, both directions and links to oneself against union-find, in many parts and in few."""
+    monkeypatch.setattr(nearby, "EDGES", part)
+    r = random.Random(3)
+    links = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 700)] + [(-i, -(i % 9) - 1) for i in range(1, 10)]
+    links += [(r.randrange(1000, 1400), r.randrange(1000, 1400)) for _ in range(180)] + [(160, 100), (501, 500), (7, 7)]
+    home: dict = {}
+
+    def top(x):
+        while home.setdefault(x, x) != x:
+            x = home[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            low, high = sorted((top(a), top(b)))
+            home[high] = low
+    got = nearby.components(spark.createDataFrame(links + links[::3], "a long, b long")).collect()
+    assert sorted((x.id, x.component) for x in got) == sorted((x, top(x)) for x in home)
+    assert nearby.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates(spark, empty, width):
     r = random.Random(width)
