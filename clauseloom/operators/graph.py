@@ -52,13 +52,42 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def closeness(edges: DataFrame, pairs: DataFrame, depth: int | None = None) -> DataFrame:
-    """1 / (d + 1) for pairs (a, b), d the length of the shortest undirected path; 0 without one.
+    """1 / (d + 1) for pairs (a, b), d the length of the shortest undirected path; 0 without one, or beyond depth edges where it is given."""
+    keep = once(edges.sparkSession)
+    known = pairs.where("a is not null and b is not null").select("a", "b").distinct()
+    apart = _distances(keep(undirected(edges)), known.where("a != b"), keep, depth)
+    found = apart.unionByName(known.where("a = b").withColumn("d", F.lit(0)))
+    found = found if depth is None else found.where(F.col("d") <= depth)
+    return pairs.join(found, ["a", "b"], "left").select("a", "b", F.coalesce(1 / (F.col("d") + 1), F.lit(0.0)).alias("closeness"))
+
 
-    All nodes reached from the left sides are kept, hop by hop, until every pair has met, nothing new is reached, or depth edges
-    are walked where it is given.
+def _distances(net: DataFrame, ends: DataFrame, keep, depth: int | None) -> DataFrame:
+    """(a, b, d) of the pairs (a, b), a != b and each once, that a path joins in net (src, dst in both directions).
+
+    A node with one neighbour has all its paths through it. While such leaves are a tenth of the nodes, their pairs move to the neighbours, where
+    many pairs become one, and the rest is solved in the smaller net; what has no leaves is walked.
     """
-    keep = once(edges.sparkSession)
-    net = keep(undirected(edges))
+    degree = net.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("up"))
+    inner = degree.where("n > 1").select(F.col("src").alias("up"))
+    leaf = keep(degree.where("n = 1").join(inner, "up", "left_semi").select(F.col("src").alias("leaf"), "up"))
+    if leaf.count() * 10 < degree.count() or leaf.isEmpty():
+        return _walked(net, ends, keep, depth)
+    rest = net
+    for side in ("src", "dst"):
+        rest = rest.join(leaf.select(F.col("leaf").alias(side)), side, "left_anti")
+    moved = ends
+    for side, to in (("a", "x"), ("b", "y")):
+        moved = moved.join(leaf.select(F.col("leaf").alias(side), F.col("up").alias(to)), side, "left")
+    steps = F.col("x").isNotNull().cast("int") + F.col("y").isNotNull().cast("int")
+    moved = keep(moved.select("a", "b", F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), steps.alias("steps")))
+    between = _distances(keep(rest.select("src", "dst")), moved.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), keep, depth)
+    far = moved.where("x != y").join(between.select(F.col("a").alias("x"), F.col("b").alias("y"), "d"), ["x", "y"])
+    return moved.where("x = y").select("a", "b", F.col("steps").alias("d")).unionByName(far.select("a", "b", (F.col("steps") + F.col("d")).alias("d")))
+
+
+def _walked(net: DataFrame, pairs: DataFrame, keep, depth: int | None) -> DataFrame:
+    """_distances by walks: all nodes reached from the left sides are kept, hop by hop, until every pair has met, nothing new is reached, or depth edges are walked."""
+    pairs = keep(pairs)
     reached = pairs.select("a").distinct().select("a", F.col("a").alias("node"), F.lit(0).alias("d"))
     front, hop = reached, 0
     while depth is None or hop < depth:
@@ -70,8 +99,7 @@ def closeness(edges: DataFrame, pairs: DataFrame, depth: int | None = None) -> D
         if front.isEmpty():
             break
         reached = keep(reached.unionByName(front))
-    hit = pairs.join(reached.withColumnRenamed("node", "b"), ["a", "b"], "left")
-    return hit.select("a", "b", F.coalesce(1 / (F.col("d") + 1), F.lit(0.0)).alias("closeness"))
+    return pairs.join(reached.withColumnRenamed("node", "b"), ["a", "b"]).select("a", "b", "d")
 
 
 def cousins(edges: DataFrame, least: int = 3, sources: DataFrame | None = None) -> DataFrame:

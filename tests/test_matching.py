@@ -141,6 +141,35 @@ def test_closeness_has_no_end_of_its_own(spark):
     assert got == {("n0", "n9"): 0.1, ("n3", "n3"): 1.0, ("n0", "x"): 0.0, ("n9", "n7"): 1 / 3}
 
 
+def test_closeness_on_random_nets_and_leaves(spark):
+    r = random.Random(4)
+    net = [(f"c{i}", f"c{r.randrange(12)}") for i in range(12)] + [(f"l{i}", f"c{r.randrange(5)}") for i in range(30)] + [(f"m{i}", f"l{r.randrange(6)}") for i in range(8)] + [("p", "q"), ("z", "z")]
+    near: dict = {}
+    for a, b in net:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    names = [*near, "nowhere"]
+    want = {}
+    for a in names:
+        far, front = {a: 0}, [a]
+        while front:
+            front = [y for x in front for y in near.get(x, ()) if y not in far and not far.update({y: far[x] + 1})]
+        want |= {(a, b): 1 / (far[b] + 1) if b in far else 0.0 for b in names}
+    edges = spark.createDataFrame([(a, "r", b) for a, b in net], "src string, rel_type string, dst string")
+    pairs = spark.createDataFrame([*want, (None, "p")], "a string, b string")
+    got = {(x.a, x.b): x.closeness for x in G.closeness(edges, pairs).collect()}
+    assert got == want | {(None, "p"): 0.0}
+    assert {(x.a, x.b): x.closeness for x in G.closeness(edges, pairs, 3).collect()} == {k: v if v >= 0.25 else 0.0 for k, v in got.items()}
+
+
+def test_closeness_does_not_walk_from_leaves(spark, monkeypatch):
+    walked, walk = [], G._walked
+    monkeypatch.setattr(G, "_walked", lambda net, pairs, *more: walked.append(pairs.count()) or walk(net, pairs, *more))
+    edges = spark.createDataFrame([(f"h{i % 3}", "r", f"l{i}") for i in range(60)] + [("h0", "r", "h1"), ("h1", "r", "h2"), ("h2", "r", "h0")], "src string, rel_type string, dst string")
+    pairs = spark.createDataFrame([(f"l{i}", f"l{i + 1}") for i in range(59)], "a string, b string")
+    assert {x.closeness for x in G.closeness(edges, pairs).collect()} == {0.25} and walked == [3]
+
+
 def test_broken_chains_by_deadline(spark):
     rows = [(1, ["A"], "January 1, 2025"), (2, ["B"], "June 1, 2025"), (3, ["C"], "January 20, 2025"), (4, ["D"], "May 1, 2027"), (5, ["A"], None)]
     c = spark.createDataFrame(rows, "id long, agencies array<string>, deadline string")
