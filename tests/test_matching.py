@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clauseloom.functions import fuzzy
+from clauseloom.functions import text as X
 from clauseloom.operators import curation as C
 from clauseloom.operators import extract as E
 from clauseloom.operators import graph as G
@@ -134,6 +135,22 @@ def test_meet_deals_frequent_terms(spark, monkeypatch):
     assert got == sorted((a, b, t) for a, t in left for b, u in right if t == u)
 
 
+def test_candidate_pairs_come_once_and_without_a_shuffle_of_pairs(spark, names, monkeypatch):
+    monkeypatch.setattr(J, "CELL", 5)
+    rows = [(i, x, f"s{i % 4}") for i, x in enumerate(names)] + [(0, names[0], "s0"), (900, "plan of the data", None), (901, "PLAN of the data ", "The S1 Act"), (902, None, "s2")]
+    df = spark.createDataFrame(rows, "id long, name string, source string")
+    found = J.candidate_pairs(df, df)
+    one = df.distinct()
+    side = lambda p: one.select(*[F.col(c).alias(f"{p}_{c}") for c in one.columns])
+    words = lambda p: X.tfidf_tokens(F.col(f"{p}_name"))
+    every = side("a").crossJoin(side("b")).where(F.arrays_overlap(words("a"), words("b")))
+    every = every.where(~X.same_source(F.col("a_source"), F.col("b_source")) & ~X.same_component(F.col("a_name"), F.col("b_name")))
+    got = sorted(map(repr, found.select(*every.columns).collect()))
+    assert got == sorted(map(repr, every.collect())) and len(got) > 1000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan[: plan.index("Join")].count("Aggregate")
+
+
 def test_closeness_has_no_end_of_its_own(spark):
     edges = spark.createDataFrame([(f"n{i}", "r", f"n{i + 1}") for i in range(9)] + [("x", "r", "y")], "src string, rel_type string, dst string")
     pairs = spark.createDataFrame([("n0", "n9"), ("n3", "n3"), ("n0", "x"), ("n9", "n7")], "a string, b string")
