@@ -65,6 +65,52 @@ def test_best_pairs_and_halving(spark, names):
     assert M.token_set_join(one, few, 0.99, tries=1).count() == 0
 
 
+def test_copies_are_scored_once_and_found_all(spark, names, monkeypatch):
+    met, held = [], M.held_against
+    monkeypatch.setattr(M, "held_against", lambda q, r, *more: met.append((q.count(), r.count())) or held(q, r, *more))
+    few = [*names[:12], ""]
+    many = [few[i * i % len(few)] for i in range(150)]
+    q, rows = sides(spark, many)
+    every = pairs_of(many, fuzzy.sequence_ratio, 0.0)
+    best = {i: min((-s, j) for (k, j), s in every.items() if k == i) for i in range(0, 150, 5)}
+    assert {r.a: (-r.score, r.b) for r in M.best_match(q, rows).collect()} == best
+    want = {(i, j) for (i, j), s in every.items() if s > 0.3 and many[i] != many[j]}
+    assert {(r.a, r.b) for r in M.ratio_pairs(q, rows, 0.3).collect()} == want
+    found = M.with_members(M.ratio_classes(q, rows, 0.3), q, rows).collect()
+    of = {k: {r.a: r.b for r in found if r.kind == k} for k in ("query", "row")}
+    pairs = {(r.a, r.b) for r in found if r.kind == "pair"}
+    assert {(a, b) for a in of["query"] for b in of["row"] if (of["query"][a], of["row"][b]) in pairs} == want
+    sets = {p for p, s in pairs_of(many, fuzzy.token_set_ratio, 0.64).items() if s < 1}
+    assert {(r.a, r.b) for r in M.token_set_join(q, rows).collect()} == sets
+    assert met and all(x <= 13 and y <= 13 for x, y in met)
+
+
+def test_top_by_names_and_composites_with_copies(spark, names, monkeypatch):
+    few = names[:9]
+    many = [(i, few[i * i % 9], few[i % 4]) for i in range(90)]
+    df = spark.createDataFrame([(i, x, x, y) for i, x, y in many], "key long, text string, name string, description string")
+    q = df.where("key % 10 = 0")
+    both = q.select((-1 - F.col("key")).alias("k"), "text").unionByName(df.select(F.col("key").alias("k"), "text"))
+    vec: dict = {}
+    for x in J.tfidf(both, X.tfidf_tokens(F.col("text")), key="k").collect():
+        vec.setdefault(x.k, {})[x.term] = x.w
+    got: dict = {}
+    for x in M.top_by_names(q, df).collect():
+        got.setdefault(x.a, set()).add((-x.score, x.b))
+    for a in range(0, 90, 10):
+        scored = sorted((-round(sum(w * vec.get(b, {}).get(t, 0) for t, w in vec.get(-1 - a, {}).items()), 9), b) for b in range(90))
+        assert got.get(a, set()) == {(s, b) for s, b in scored[:3] if s < 0}
+    score = lambda a, b: math.floor(100 * fuzzy.token_set_ratio(a, b) + 0.5)
+    tops = {}
+    for r in M.top_composite(q, df, head=5).collect():
+        tops.setdefault(r.a, {})[r.b] = (r.name_score, r.description_score)
+    for a, name, text in many[::10]:
+        heads = [{many[-i][k]: s for s, i in sorted(((score(mine, x[k]), -x[0]) for x in many), reverse=True)[:5]} for k, mine in ((1, name), (2, text))]
+        scored = {x[0]: (heads[0].get(x[1], 0), heads[1].get(x[2], 0)) for x in many if x[1] in heads[0] or x[2] in heads[1]}
+        want = sorted(((round(0.6 * x + 0.4 * y, 6), -b) for b, (x, y) in scored.items() if max(x, y) >= 50), reverse=True)[:3]
+        assert tops.get(a, {}) == {-b: scored[-b] for _, b in want}
+
+
 @pytest.mark.parametrize("threshold", [0.95, 0.85, 0.6])
 def test_near_values_loses_no_pair(spark, names, threshold):
     values = sorted(set(names) - {""})
