@@ -172,6 +172,29 @@ def test_cosine_join_of_several_blocks(spark, monkeypatch):
     assert all(abs(s - sum(x * vec[b].get(t, 0) for t, x in vec[a].items())) < 1e-9 for (a, b), s in got.items())
 
 
+@pytest.mark.parametrize("more", [False, True])
+def test_two_sides_meet_in_blocks_without_candidate_rows(spark, monkeypatch, more):
+    monkeypatch.setattr(J, "BLOCK", 7)
+    r = random.Random(3)
+    text = lambda: None if r.random() < 0.05 else " ".join(r.choice("abcdefghijk") * 2 for _ in range(r.randrange(0, 15)))
+    left, right = [(i, text()) for i in range(60 if more else 20)], [(i, text()) for i in range(30)] + [(None, "aa bb cc dd")]
+    x, y = (spark.createDataFrame(z, "key long, text string") for z in (left, right))
+    words = X.tfidf_tokens(F.col("text"))
+    bag = lambda z: (z or "").split()
+    sets = {(i, j): (len(set(bag(s)) & set(bag(t))), len(set(bag(s))), len(set(bag(t)))) for i, s in left for j, t in right}
+    found = J.jaccard_join(J.token_sets(x, words, "key"), J.token_sets(y, words, "key"), 0.3)
+    assert {(z.a, z.b): (z.shared, z.na, z.nb) for z in found.collect()} == {k: v for k, v in sets.items() if v[0] and v[0] / (v[1] + v[2] - v[0]) >= 0.3}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    found = J.overlap_join(J.token_sets(x, words, "key"), J.token_sets(y, words, "key"), 2, sizes=(len(left), len(right)))
+    assert {(z.a, z.b): (z.shared, z.na, z.nb) for z in found.collect()} == {k: v for k, v in sets.items() if v[0] >= 2}
+    bags = {(i, j): sum(min(bag(s).count(w), bag(t).count(w)) for w in set(bag(s))) for i, s in left for j, t in right}
+    found = J.multiset_overlap(J.token_bags(x, words, "key"), J.token_bags(y, words, "key"))
+    assert {(z.a, z.b): z.score for z in found.collect()} == {k: v for k, v in bags.items() if v > 1}
+    weights = [spark.createDataFrame([(k, w, float(bag(t).count(w))) for k, t in z for w in set(bag(t))], "k long, term string, w double") for z in (left, right)]
+    dots = {(i, j): sum(bag(s).count(w) * bag(t).count(w) for w in set(bag(s))) for i, s in left for j, t in right}
+    assert {(z.a, z.b): z.score for z in J.cosine_between(*weights, 4, "k", "k").collect()} == {k: v for k, v in dots.items() if v >= 4}
+
+
 def test_meet_deals_frequent_terms(spark, monkeypatch):
     monkeypatch.setattr(J, "CELL", 3)
     left = [(i, "xyz"[i % 3] if i % 7 else "q") for i in range(40)]
