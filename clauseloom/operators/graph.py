@@ -42,7 +42,10 @@ def lineage(edges: DataFrame, memo: str) -> DataFrame:
     statutes = edges.where((F.col("rel_type") == "DERIVES_FROM") & (F.col("src") == memo)).select(F.col("dst").alias("id"))
     up = walk(edges, statutes, ["DERIVES_FROM_Provision"]).where(F.col("node").startswith("CONST_")).select(F.col("node").alias("basis"), F.col("start").alias("statute"))
     orders = edges.where((F.col("rel_type") == "DERIVES_FROM_Doc") & (F.col("src") == memo)).select(F.col("dst").alias("basis"), F.lit("Executive Order").alias("statute"))
-    return up.unionByName(orders).crossJoin(F.broadcast(directive)).select("basis", "statute", F.lit(memo).alias("memo"), "directive").distinct()
+    # Both sides are distinct, so their product is; its cells are dealt over tasks.
+    bases = up.unionByName(orders).distinct().withColumn("memo", F.lit(memo))
+    met = meet(bases.withColumn("_key", F.xxhash64("basis", "statute")), directive.distinct().withColumn("memo", F.lit(memo)), "memo", "_key", "directive")
+    return met.select("basis", "statute", "memo", "directive")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

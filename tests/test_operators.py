@@ -212,3 +212,14 @@ def test_discovery_of_pages_that_share_an_address(spark, tmp_path):
     got = {r.page_id: r.status for r in registry.QUERIES["v23_v24_discovery"](spark, str(tmp_path)).collect()}
     assert got == {0: "KNOWN", 1: "NEW", 4: "KNOWN", 5: "NEW", 8: "KNOWN"}
 
+
+def test_lineage_deals_its_product(spark, monkeypatch):
+    from clauseloom.operators import joins
+
+    monkeypatch.setattr(joins, "CELL", 3)
+    edges = [("M", "IMPLEMENTED_BY_Doc", f"d{i}") for i in range(8)] * 2 + [("M", "DERIVES_FROM", f"s{i}") for i in range(7)] + [(f"s{i}", "DERIVES_FROM_Provision", f"CONST_{i % 2}") for i in range(7)] + [("M", "DERIVES_FROM_Doc", "E1"), ("N", "IMPLEMENTED_BY_Doc", "x")]
+    found = G.lineage(spark.createDataFrame(edges, "src string, rel_type string, dst string"), "M")
+    want = {(f"CONST_{i % 2}", f"s{i}", "M", f"d{j}") for i in range(7) for j in range(8)} | {("E1", "Executive Order", "M", f"d{j}") for j in range(8)}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "broadcast" not in plan.split("Relation")[0].lower()
