@@ -105,10 +105,10 @@ def _walked(net: DataFrame, pairs: DataFrame, keep, depth: int | None) -> DataFr
     return pairs.join(reached.withColumnRenamed("node", "b"), ["a", "b"]).select("a", "b", "d")
 
 
-def cousins(edges: DataFrame, least: int = 3, sources: DataFrame | None = None) -> DataFrame:
+def cousins(edges: DataFrame, least: int = 3, sources: DataFrame | None = None, named: bool = False) -> DataFrame:
     """(a, b, common, only_a, only_b) of sources a < b with at least least common targets and no edge between them.
 
-    sources (id, source), where given, leaves out pairs of the same source. Only sources with enough targets that others have too
+    sources (id, source), where given, leaves out pairs of the same source. named adds common_targets, in order. Only sources with enough targets that others have too
     meet, and a target of many sources is dealt over many tasks.
     """
     e = edges.select("src", "dst").distinct()
@@ -117,21 +117,30 @@ def cousins(edges: DataFrame, least: int = 3, sources: DataFrame | None = None)
     able = shared.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("src")
     kept = shared.join(able, "src").select("src", "dst")
     x, y = kept.select(F.col("src").alias("a"), "dst"), kept.select(F.col("src").alias("b"), "dst")
-    both = meet(x, y, "dst", "a", "b").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common")).where(F.col("common") >= least)
+    found = [F.count("*").alias("common"), *([F.array_sort(F.collect_list("dst")).alias("common_targets")] if named else [])]
+    both = meet(x, y, "dst", "a", "b").where("a < b").groupBy("a", "b").agg(*found).where(F.col("common") >= least)
     for p, q in (("src", "dst"), ("dst", "src")):
         both = both.join(e.select(F.col(p).alias("a"), F.col(q).alias("b")), ["a", "b"], "left_anti")
     if sources is not None:
         s = sources.select(F.col("id").alias("a"), F.col("source").alias("sa")), sources.select(F.col("id").alias("b"), F.col("source").alias("sb"))
         both = both.join(s[0], "a").join(s[1], "b").where("sa != sb").drop("sa", "sb")
     out = both.join(size.select(F.col("src").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("src").alias("b"), F.col("n").alias("nb")), "b")
-    return out.select("a", "b", "common", (F.col("na") - F.col("common")).alias("only_a"), (F.col("nb") - F.col("common")).alias("only_b"))
+    return out.select("a", "b", *(["common_targets"] if named else []), "common", (F.col("na") - F.col("common")).alias("only_a"), (F.col("nb") - F.col("common")).alias("only_b"))
 
 
 def shared_targets(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, ...) with the sets of common targets and of those that one side alone has, in order."""
+    """Pairs (a, b, ...) with the sets of common targets and of those that one side alone has, in order.
+
+    Pairs that bring their common_targets (cousins with named) move with these; the sets of a side lie where its pairs come, and never move with a pair.
+    """
     sets = edges.select("src", "dst").distinct().groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("t"))
-    out = pairs.join(sets.select(F.col("src").alias("a"), F.col("t").alias("_x")), "a").join(sets.select(F.col("src").alias("b"), F.col("t").alias("_y")), "b")
-    return out.select(*pairs.columns, F.array_intersect("_x", "_y").alias("common_targets"), F.array_except("_x", "_y").alias("targets_of_a"), F.array_except("_y", "_x").alias("targets_of_b"))
+    x, y = sets.select(F.col("src").alias("a"), F.col("t").alias("_x")), sets.select(F.col("src").alias("b"), F.col("t").alias("_y"))
+    rest = [c for c in pairs.columns if c != "common_targets"]
+    if "common_targets" in pairs.columns:
+        mine = pairs.join(y, "b").withColumn("targets_of_b", F.array_except("_y", "common_targets")).drop("_y")
+        return mine.join(x, "a").select(*rest, "common_targets", F.array_except("_x", "common_targets").alias("targets_of_a"), "targets_of_b")
+    out = pairs.join(x, "a").join(y, "b")
+    return out.select(*rest, F.array_intersect("_x", "_y").alias("common_targets"), F.array_except("_x", "_y").alias("targets_of_a"), F.array_except("_y", "_x").alias("targets_of_b"))
 
 
 def chains(edges: DataFrame) -> DataFrame:

@@ -223,3 +223,17 @@ def test_lineage_deals_its_product(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == sorted(want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "broadcast" not in plan.split("Relation")[0].lower()
+
+
+def test_shared_targets_by_the_targets(spark):
+    r = random.Random(8)
+    links = sorted({(f"s{r.randrange(12)}", f"p{r.randrange(15)}") for _ in range(90)})
+    e = spark.createDataFrame(links * 2, "src string, dst string")
+    found = G.shared_targets(e, G.cousins(e, 2, named=True).select("a", "b", "common", "common_targets"))
+    got = {(x.a, x.b): (x.common, x.common_targets, x.targets_of_a, x.targets_of_b) for x in found.collect()}
+    of = {}
+    for s, t in links:
+        of.setdefault(s, set()).add(t)
+    want = {(a, b): (len(of[a] & of[b]), sorted(of[a] & of[b]), sorted(of[a] - of[b]), sorted(of[b] - of[a])) for a in of for b in of if a < b and len(of[a] & of[b]) >= 2}
+    assert got == want and len(want) > 20
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
