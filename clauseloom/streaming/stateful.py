@@ -18,11 +18,15 @@ from ..shared import settings
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Milliseconds of events that wait together.
+_HOUR = 3_600_000
+
+
 class FileGuard(StatefulProcessor):
     """Acts on an event of a file whose content is not that of the last action, and rests for a while after each action.
 
-    Events wait by the millisecond until the watermark has passed it, so they are judged in the order of their times
-    however late they come in.
+    Events wait, by the hour, until the watermark has passed their millisecond, so they are judged in the order of their times
+    however late they come in. A file has one timer, for its earliest event, which settles all that the watermark has passed.
     """
 
     def __init__(self, rest_us: int):
@@ -30,33 +34,62 @@ class FileGuard(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms long", "events string")
+        self.waiting = handle.getMapState("hours", "hour long", "events string")
+        self.plan = handle.getValueState("plan", "timer long, hours string")
         self.last = handle.getValueState("last", "hash string, until long, n long")
 
+    def _planned(self) -> tuple[int | None, set[int]]:
+        timer, hours = self.plan.get() if self.plan.exists() else (None, "")
+        return timer, {int(x) for x in hours.split(",") if x}
+
+    def _plan(self, timer: int, hours: set[int]) -> None:
+        self.handle.registerTimer(timer)
+        self.plan.update((timer, ",".join(map(str, sorted(hours)))))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         new: dict[int, list[str]] = {}
+        first = None
         for r in rows:
-            new.setdefault(r.us // 1000, []).append(f"{r.us} {r.seq} {r.hash}")
-        for ms, events in new.items():
-            if self.waiting.containsKey((ms,)):
-                events = [self.waiting.getValue((ms,))[0], *events]
-            else:
-                self.handle.registerTimer(ms + 1)
-            self.waiting.updateValue((ms,), ("\n".join(events),))
+            ms = r.us // 1000
+            first = ms if first is None else min(first, ms)
+            new.setdefault(ms // _HOUR, []).append(f"{r.us} {r.seq} {r.hash}")
+        if new:
+            timer, hours = self._planned()
+            for hour, events in new.items():
+                before = [self.waiting.getValue((hour,))[0]] if hour in hours else []
+                self.waiting.updateValue((hour,), ("\n".join(before + events),))
+            if timer is not None and first + 1 < timer:
+                self.handle.deleteTimer(timer)
+            self._plan(first + 1 if timer is None else min(timer, first + 1), hours | set(new))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        ms = expiredTimerInfo.getExpiryTimeInMs() - 1
-        events = [x.split(" ", 2) for x in self.waiting.getValue((ms,))[0].split("\n")]
-        self.waiting.removeKey((ms,))
+        passed = timerValues.getCurrentWatermarkInMs()
+        hours, timer = self._planned()[1], None
         seen, until, n = self.last.get() if self.last.exists() else (None, None, 0)
         before = n
-        for us, seq, hash_ in sorted((int(us), int(seq), h) for us, seq, h in events):
-            if (until is None or us >= until) and hash_ != seen:
-                seen, until, n = hash_, us + self.rest_us, n + 1
-                yield Row(key=key[0], us=us, seq=seq, hash=hash_, n=n)
+        for hour in sorted(hours):
+            if hour * _HOUR >= passed:
+                timer = hour * _HOUR + 1
+                break
+            events = [(int(us), int(seq), h) for us, seq, h in (x.split(" ", 2) for x in self.waiting.getValue((hour,))[0].split("\n"))]
+            for us, seq, hash_ in sorted(e for e in events if e[0] // 1000 < passed):
+                if (until is None or us >= until) and hash_ != seen:
+                    seen, until, n = hash_, us + self.rest_us, n + 1
+                    yield Row(key=key[0], us=us, seq=seq, hash=hash_, n=n)
+            rest = [e for e in events if e[0] // 1000 >= passed]
+            if rest:
+                self.waiting.updateValue((hour,), ("\n".join(f"{us} {seq} {h}" for us, seq, h in rest),))
+                timer = min(rest)[0] // 1000 + 1
+                break
+            self.waiting.removeKey((hour,))
+            hours = hours - {hour}
         if n > before:
             self.last.update((seen, until, n))
+        if timer is None:
+            self.plan.clear()
+        else:
+            self._plan(timer, hours)
 
     def close(self) -> None:
         pass

@@ -2,8 +2,10 @@
 
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from clauseloom.shared import settings
@@ -55,6 +57,46 @@ def test_file_events_wait_for_the_watermark_and_drop_what_is_later(spark, tmp_pa
     assert ("b.py", t(200), 10, 2) in got and not any(r[2] == 11 for r in got)
 
 
+class _Kept(dict):
+    """A state of a key; calls counts what it is asked."""
+
+    calls = 0
+
+    def _asked(f):  # noqa: N805
+        def g(self, *args):
+            _Kept.calls += 1
+            return f(self, *args)
+
+        return g
+
+    exists = _asked(lambda self: bool(self))
+    update = _asked(lambda self, v: self.__setitem__(None, v))
+    updateValue = _asked(lambda self, k, v: self.__setitem__(k, v))
+    getValue = _asked(lambda self, k: self[k])
+    containsKey = _asked(lambda self, k: k in self)
+    removeKey = _asked(lambda self, k: self.pop(k))
+    registerTimer = _asked(lambda self, t: self.__setitem__(t, 1))
+    deleteTimer = _asked(lambda self, t: self.pop(t))
+
+    def get(self):
+        _Kept.calls += 1
+        return self[None]
+
+
+def test_file_events_ask_the_state_by_the_hour():
+    timers, states, _Kept.calls = _Kept(), {}, 0
+    timers.getMapState = timers.getValueState = lambda name, *schema: states.setdefault(name, _Kept())
+    guard = S.FileGuard(5_000_000)
+    guard.init(timers)
+    rows = [Row(us=1_700_000_000_000_000 + i * 1_000_000, seq=i, hash="xyz"[i % 3]) for i in range(3000)]
+    random.Random(1).shuffle(rows)
+    guard.handleInputRows(("a.py",), iter(rows), None)
+    end = SimpleNamespace(getCurrentWatermarkInMs=lambda: 1_700_000_000_000 + 2_000_000, getExpiryTimeInMs=lambda: min(timers))
+    out = list(guard.handleExpiredTimer(("a.py",), end, end))
+    assert [r.seq for r in out] == sorted(r.seq for r in out) and out[0].seq == 0 and all(b.us - a.us >= 5_000_000 for a, b in zip(out, out[1:]))
+    assert len(out) == 400 and _Kept.calls < 40
+
+
 CANDIDATES = "match_id string, score double, at timestamp, present boolean"
 DECISIONS = "match_id string, decision string, notes string, at timestamp, seq long"
 
