@@ -201,9 +201,12 @@ def rationales(pairs: DataFrame, requirement: str, text: str) -> DataFrame:
 
 def snippets(c: Column, word: str, reach: int = 200) -> Column:
     """The word with reach characters on both sides at each place, joined by ---."""
-    gaps = F.split(F.lower(c), word, -1)
-    one = F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), lambda i: F.concat(F.right(F.get(gaps, i - 1), F.lit(reach)), F.lit(word), F.left(F.get(gaps, i), F.lit(reach))))
-    return F.when(F.size(gaps) > 1, F.array_join(one, "---")).otherwise("")
+    # The gaps of a text are bound by a lambda, as a lambda that names their expression cuts the text anew for each place.
+    def joined(gaps: Column) -> Column:
+        one = F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), lambda i: F.concat(F.right(F.get(gaps, i - 1), F.lit(reach)), F.lit(word), F.left(F.get(gaps, i), F.lit(reach))))
+        return F.when(F.size(gaps) > 1, F.array_join(one, "---")).otherwise("")
+
+    return F.transform(F.array(F.split(F.lower(c), word, -1)), joined)[0]
 
 
 def document_title(c: Column, metadata: Column | None = None, fallback: Column | None = None, early: int = 8000) -> Column:
