@@ -24,6 +24,8 @@ TYPE_PATTERNS = [
     ("goal", r"(?:achieve|accomplish|reach|attain)\s+[^\.]{10,80}\.(?:goal|objective|target)"),
     ("goal", r"goal\s+(?:of|is|to)\s+[^\.]{20,100}\."),
 ]
+#: What a pattern ends with, where that is far cheaper to look for: sentences without it are not tried.
+TYPE_ENDS = {TYPE_PATTERNS[1][1]: r"(?:establish|create|develop|implement|provide)[^\.]{10,80}\."}
 AGENCIES = {
     "DOE": "Department of Energy", "DOC": "Department of Commerce", "DOD": "Department of Defense", "DOJ": "Department of Justice", "DOT": "Department of Transportation", "EPA": "Environmental Protection Agency",
     "HHS": "Department of Health and Human Services", "OMB": "Office of Management and Budget", "OSTP": "Office of Science and Technology Policy", "NIST": "National Institute of Standards and Technology",
@@ -64,7 +66,11 @@ MODAL = r"(?i)\b(must|shall|required|deadline|effective|within\s+\d+\s+days|is\s
 
 def sentence_type(s: Column) -> Column:
     """The first type whose pattern the sentence has, else null."""
-    return F.coalesce(*[F.when(F.lower(s).rlike("(?i)" + p), F.lit(t)) for t, p in TYPE_PATTERNS])
+    def has(p: str) -> Column:
+        found = F.lower(s).rlike("(?i)" + p)
+        return F.lower(s).rlike("(?i)" + TYPE_ENDS[p]) & found if p in TYPE_ENDS else found
+
+    return F.coalesce(*[F.when(has(p), F.lit(t)) for t, p in TYPE_PATTERNS])
 
 
 def agencies(s: Column) -> Column:
