@@ -105,20 +105,30 @@ def _walked(net: DataFrame, pairs: DataFrame, keep, depth: int | None) -> DataFr
     return pairs.join(reached.withColumnRenamed("node", "b"), ["a", "b"]).select("a", "b", "d")
 
 
+#: Pairs of sources, counted once for each common target, that a task gathers at most, about.
+PAIRS = 1 << 21
+
+
 def cousins(edges: DataFrame, least: int = 3, sources: DataFrame | None = None, named: bool = False) -> DataFrame:
     """(a, b, common, only_a, only_b) of sources a < b with at least least common targets and no edge between them.
 
     sources (id, source), where given, leaves out pairs of the same source. named adds common_targets, in order. Only sources with enough targets that others have too
     meet, and a target of many sources is dealt over many tasks.
     """
-    e = edges.select("src", "dst").distinct()
+    keep = once(edges.sparkSession)
+    e = keep(edges.select("src", "dst").distinct())
     size = e.groupBy("src").agg(F.count("*").alias("n"))
     shared = e.join(e.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst"), "dst")
     able = shared.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("src")
-    kept = shared.join(able, "src").select("src", "dst")
+    kept = keep(shared.join(able, "src").select("src", "dst"))
+    # A task gathers its pairs in memory, so tasks grow in number with the pairs.
+    pairs = kept.groupBy("dst").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // (2 * PAIRS))
     x, y = kept.select(F.col("src").alias("a"), "dst"), kept.select(F.col("src").alias("b"), "dst")
     found = [F.count("*").alias("common"), *([F.array_sort(F.collect_list("dst")).alias("common_targets")] if named else [])]
-    both = meet(x, y, "dst", "a", "b").where("a < b").groupBy("a", "b").agg(*found).where(F.col("common") >= least)
+    met = meet(x, y, "dst", "a", "b", parts).where("a < b").select("a", "b", *(["dst"] if named else []))
+    # A pair has few targets in one task, so counts before the shuffle would save little and hold all of a task's pairs.
+    both = met.repartition(parts, "a", "b").groupBy("a", "b").agg(*found).where(F.col("common") >= least)
     for p, q in (("src", "dst"), ("dst", "src")):
         both = both.join(e.select(F.col(p).alias("a"), F.col(q).alias("b")), ["a", "b"], "left_anti")
     if sources is not None:
