@@ -121,6 +121,11 @@ def reused(candidates: DataFrame, alignments: DataFrame, columns: list[str]) ->
 
 
 # ---- keywords -------------------------------------------------------------------------------------------
+def dealt(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text) dealt by key, which moves less than words do: words cut afterwards are counted and ranked where they are."""
+    return docs.select(key, text).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def ngram_counts(words: DataFrame, size: int, key: str = "doc_id", stop: list[str] | None = None) -> DataFrame:
     """(key, phrase, n, first) of the runs of size words of (key, pos, word) that occur more than once in a text and are not all stop words."""
     w = W.partitionBy(key).orderBy("pos")
