@@ -83,7 +83,7 @@ _KEYS = pa.schema([("key", pa.int64()), ("did", pa.int64()), ("n", pa.int32()),
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """K rows a node: for each chunk, each variant with one position left out."""
+    """K rows a node: for each chunk, each variant with one position left out, which the last six bits of the key tell."""
     for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
         sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint16).reshape(-1, K)
         terms = mix(sig.astype(U64) + (np.arange(1, K + 1, dtype=np.uint64) << U64(32)))
@@ -92,7 +92,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, at in enumerate(_CHUNKS):
             total = terms[:, at].sum(axis=1, dtype=U64)
             for k in at:
-                keys[:, k] = mix(total - terms[:, k] + U64(((int(k) + 1) * 0xC2B2AE3D27D4EB4F + c) & (2**64 - 1)))
+                keys[:, k] = mix(total - terms[:, k] + U64(((int(k) + 1) * 0xC2B2AE3D27D4EB4F + c) & (2**64 - 1))) & U64(2**64 - K) | U64(k)
         did, n = b["did"].to_numpy(), b["n"].to_numpy().astype(np.int32)
         yield batch(_KEYS, key=keys.ravel().view(np.int64), did=np.repeat(did, K), n=np.repeat(n, K), **seen)
 
@@ -115,6 +115,18 @@ def _alike(a: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     return ok & (apart <= FAR)
 
 
+def _first_shared(sig: np.ndarray, i: np.ndarray, j: np.ndarray, left_out: np.ndarray) -> np.ndarray:
+    """Whether two signatures are at most FAR apart and the key with position left_out is the first that they share."""
+    ok = np.zeros(len(i), bool)
+    for at in range(0, len(i), 1 << 14):
+        some = slice(at, at + (1 << 14))
+        same = (sig[i[some]] == sig[j[some]]).reshape(-1, M, K // M)
+        shared = (same.sum(axis=2, keepdims=True, dtype=np.int8) - same == K // M - 1).reshape(-1, K)
+        first = np.where(shared.any(axis=1), shared.argmax(axis=1), -1)
+        ok[some] = (first == left_out[some]) & (np.count_nonzero(same.reshape(-1, K), axis=1) >= K - FAR)
+    return ok
+
+
 def _runs(percent: int):
     """Streams rows ordered by (key, did). kind 0: a candidate pair (did, other); kind 1: a row of a long or cut run."""
     out = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("did", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), *[(c, pa.int64()) for c in _BITS]])
@@ -350,7 +362,7 @@ def classes_of_rows(docs: DataFrame, id_col: str, text_col: str, width: int, per
     # A row of a key that two tasks share is counted once.
     long_rows = materialize(long_rows.distinct())
     placed = long_rows.join(classes.withColumnRenamed("id", "did"), "did", "left").withColumn("component", F.coalesce("component", "did"))
-    more = _across(placed, bodies, percent, n_out)
+    more = _across(placed, bodies, percent, n_out, nodes.select(F.col("node").alias("did"), "sig"))
     if more is not None:
         classes = components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     placed = materialize(nodes.select("node", "least").join(classes.withColumnRenamed("id", "node"), "node", "left"))
@@ -379,11 +391,16 @@ def _meet(percent: int):
     """Streams rows ordered by cell (key, i, j). Of a cell, rows outside the key's largest component (side i) meet all rows (side j).
 
     Gives (block, kind, did) for what sizes and visible distances let be near a row of another component: kind 0 is a row of side i in its
-    own block, kind 1 a row of side j in the block of the row that it may be near.
+    own block, kind 1 a row of side j in the block of the row that it may be near. With signatures, a pair counts in the first key
+    that it shares: where that key is short, the pair has been confirmed or not, where it is long, the pair meets there.
     """
     out = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("did", pa.int64())])
     names = ("key", "i", "j", "own_i", "own_j", "did", "n", *_BITS, "component", "block")
 
+    def arrays(b: pa.RecordBatch) -> dict:
+        a = {c: b[c].to_numpy() for c in names}
+        return a if b["sig"].null_count else a | {"sig": np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint16).reshape(-1, K)}
+
     def once(block: list, did: list) -> tuple[np.ndarray, np.ndarray]:
         both = np.unique(np.stack((np.concatenate(block), np.concatenate(did)), axis=1), axis=0)
         return both[:, 0], both[:, 1]
@@ -396,7 +413,11 @@ def _meet(percent: int):
         for at in range(0, len(left) if len(right) else 0, 256):
             some = left[at : at + 256]
             x, y = np.repeat(some, len(right)), np.tile(right, len(some))
-            ok = ((a["component"][x] != a["component"][y]) & _alike(a, x, y, percent)).reshape(len(some), len(right))
+            ok = (a["component"][x] != a["component"][y]) & _alike(a, x, y, percent)
+            if "sig" in a:
+                at = np.flatnonzero(ok)
+                ok[at] = _first_shared(a["sig"], x[at], y[at], a["key"][x[at]] & (K - 1))
+            ok = ok.reshape(len(some), len(right))
             asks = some[ok.any(axis=1)]
             if not len(asks):
                 continue
@@ -410,8 +431,8 @@ def _meet(percent: int):
         rest = None
         for b in chain(batches, (None,)):
             if b is not None:
-                a = {c: b[c].to_numpy() for c in names}
-                rest = a if rest is None else {c: np.concatenate((rest[c], a[c])) for c in names}
+                a = arrays(b)
+                rest = a if rest is None else {c: np.concatenate((rest[c], a[c])) for c in a}
             if rest is None or not len(rest["key"]):
                 continue
             new = np.ones(len(rest["key"]), bool)
@@ -445,13 +466,14 @@ def _spread_join(rows: DataFrame, by_key: DataFrame, key: str, how: str = "inner
     return rows.withColumn("_salt", F.pmod(F.xxhash64(by, F.lit(-3)), F.lit(salts)).cast("int")).join(copies, [key, "_salt"], how).drop("_salt")
 
 
-def _across(placed: DataFrame, bodies: DataFrame, percent: int, n_out: int) -> DataFrame | None:
+def _across(placed: DataFrame, bodies: DataFrame, percent: int, n_out: int, sigs: DataFrame | None = None) -> DataFrame | None:
     """All links between components that share a key; None where no key holds several.
 
     Of a key with z rows, r of them outside its largest component, the r rows meet the z rows in cells of about CELL by CELL, so
     that about z * ceil(r / CELL) + r * z / CELL rows are dealt: the largest component is never held against itself. The r rows
     lie in blocks of about BLOCK sets; a cell gives, for each block, only the rows whose sizes and visible distances allow a link with
-    one of the block's rows. These then meet the block's full sets at once, and no pairs are listed.
+    one of the block's rows. These then meet the block's full sets at once, and no pairs are listed. With the signatures (did, sig) of
+    the rows, a cell leaves a pair to the first key that it shares, so that rows of many common keys are not given by each of them.
     """
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("z"))
     size = parts.groupBy("key").agg(F.sum("z").alias("z"), F.max("z").alias("top"), F.max_by("component", F.struct("z", "component")).alias("main"), F.count("*").alias("parts"))
@@ -467,14 +489,15 @@ def _across(placed: DataFrame, bodies: DataFrame, percent: int, n_out: int) -> D
     # Rows that share their least key come to one block, as far as its size allows.
     block = F.pmod(F.xxhash64(F.when(F.lit(blocks) > 1, F.col("home"))), F.lit(blocks)).alias("block")
     part = lambda salt, n: F.pmod(F.xxhash64("did", F.lit(salt)), F.col(n)).cast("int")
-    dealt = rows.select("did", "n", *_BITS, "component", block, F.explode("keys").alias("k")).select("did", "n", *_BITS, "component", "block", "k.*")
+    signed = rows.withColumn("sig", F.lit(None).cast("binary")) if sigs is None else rows.join(sigs, "did")
+    dealt = signed.select("did", "n", *_BITS, "sig", "component", block, F.explode("keys").alias("k")).select("did", "n", *_BITS, "sig", "component", "block", "k.*")
     dealt = dealt.withColumn("own_i", F.when(F.col("outside"), part(-2, "h")).otherwise(-1)).withColumn("own_j", part(-4, "g"))
     cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     right = F.transform(upto("h"), lambda i: cell(i, F.col("own_j")))
     left = F.transform(upto("g"), lambda j: cell(F.col("own_i"), j))
     cells = F.when(F.col("outside"), F.array_distinct(F.concat(right, left))).otherwise(right)
-    dealt = dealt.withColumn("c", F.explode(cells)).select("key", "c.i", "c.j", "own_i", "own_j", "did", "n", *_BITS, "component", "block")
+    dealt = dealt.withColumn("c", F.explode(cells)).select("key", "c.i", "c.j", "own_i", "own_j", "did", "n", *_BITS, "sig", "component", "block")
     meet, schema = _meet(percent)
     met = materialize(dealt.repartition(n_out, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(meet), schema).distinct())
     held, members = met.where("kind = 0"), met.where("kind = 1")
