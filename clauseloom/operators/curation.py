@@ -158,22 +158,22 @@ def atypical_keywords(words: DataFrame, scores: DataFrame, ignore: list[str], ke
 
 def keywords_and_phrases(docs: DataFrame, stop: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, keywords, phrases): up to five acronyms and then the most frequent words, ten in all; up to five capitalised phrases and
-    then repeated runs of three and of two words, seven in all."""
+    then repeated runs of three and of two words, seven in all. Words are counted in the row of their text, so none is shuffled."""
     t = F.coalesce(F.col(text), F.lit(""))
-    words = docs.select(key, F.posexplode(X.clean_tokens(t)).alias("pos", "word"))
-    runs = ngram_counts(words, 3, key, stop).withColumn("size", F.lit(-3)).unionByName(ngram_counts(words, 2, key, stop).withColumn("size", F.lit(-2)))
-    # Only as many as can be shown leave a group.
-    best = runs.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("size", F.desc("n"), "first"))).where("r <= 12")
-    phrases = best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "phrase"))), lambda x: x["phrase"]).alias("runs"))
-    heads = docs.select(key, F.slice(X.acronyms(t), 1, 5).alias("acronyms"), F.slice(X.capital_phrases(t), 1, 5).alias("capital"))
-    out = heads.join(top_keywords(words, 10, key, stop), key, "left").join(phrases, key, "left")
-    none = F.array().cast("array<string>")
-
-    def both(a: Column, b: Column, n: int) -> Column:
-        seen = F.transform(a, F.lower)
-        return F.slice(F.concat(a, F.filter(F.coalesce(b, none), lambda x: ~F.array_contains(seen, x))), 1, n)
-
-    return out.select(key, both(F.col("acronyms"), F.col("keywords"), 10).alias("keywords"), both(F.col("capital"), F.col("runs"), 7).alias("phrases"))
+
+    def first(a: Column, b: Column, n: int) -> Column:
+        return X.bound(a, lambda a: X.bound(F.transform(a, F.lower), lambda seen: F.slice(F.concat(a, F.filter(b, lambda x: ~F.array_contains(seen, x))), 1, n)))
+
+    def found(words: Column) -> Column:
+        kept = F.filter(words, lambda w: ~w.isin(stop)) if stop else words
+        # Of the runs only as many as can be shown.
+        runs = F.concat(*[X.most_frequent(X.word_runs(words, size, stop), 12, 2) for size in (3, 2)])
+        return F.struct(
+            first(F.slice(X.acronyms(t), 1, 5), X.most_frequent(kept, 10), 10).alias("keywords"), first(F.slice(X.capital_phrases(t), 1, 5), runs, 7).alias("phrases")
+        )
+
+    out = docs.select(key, X.bound(X.clean_tokens(t), found).alias("_x"))
+    return out.select(key, "_x.keywords", "_x.phrases")
 
 
 # ---- reports --------------------------------------------------------------------------------------------
