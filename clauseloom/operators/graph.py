@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import meet
-from .records import once
+from .joins import GIVEN, cells, from_planes, meet, planes, ranges
+from .records import numbered, once, running
 
 
 def walk(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, reverse: bool = False, depth: int | None = None) -> DataFrame:
@@ -105,37 +110,146 @@ def _walked(net: DataFrame, pairs: DataFrame, keep, depth: int | None) -> DataFr
     return pairs.join(reached.withColumnRenamed("node", "b"), ["a", "b"]).select("a", "b", "d")
 
 
-#: Pairs of sources, counted once for each common target, that a task gathers at most, about.
+#: Pairs of sources, counted once for each common target, that a task of the result stands for, about.
 PAIRS = 1 << 21
-
-
-def cousins(edges: DataFrame, least: int = 3, sources: DataFrame | None = None, named: bool = False) -> DataFrame:
-    """(a, b, common, only_a, only_b) of sources a < b with at least least common targets and no edge between them.
-
-    sources (id, source), where given, leaves out pairs of the same source. named adds common_targets, in order. Only sources with enough targets that others have too
-    meet, and a target of many sources is dealt over many tasks.
+#: Edges that a block of sources has, about.
+EDGES = 1 << 24
+#: Names that a task holds before it gives them on, about.
+NAMES = 1 << 19
+
+
+def _packed():
+    """Rows with ids, in order, as v: their steps, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b["ids"]
+            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+            v = pa.array([planes(np.diff(flat[lo:hi], prepend=0)) for lo, hi in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            at = b.schema.get_field_index("ids")
+            yield b.set_column(at, pa.field("v", pa.binary()), v)
+
+    return run
+
+
+def _common_targets(least: int, named: bool, rest: bool):
+    """Rows of cells: the sources of the earlier block, held as an index of their targets, and those that meet it. What both have adds up in an array."""
+    listed = ["common_targets"] * named + ["targets_of_a"] * rest
+    out = pa.schema([("a", pa.string()), ("b", pa.string()), *[(c, pa.list_(pa.string())) for c in listed], *[(c, pa.int64()) for c in ("common", "only_a", "only_b")]])
+
+    def index(rows: list) -> dict:
+        sizes = np.array([len(r["ids"]) for r in rows])
+        ids = np.concatenate([r["ids"] for r in rows])
+        order = np.argsort(ids, kind="stable")
+        every, starts = np.unique(ids[order], return_index=True)
+        held = {"keys": np.array([r["sid"] for r in rows]), "every": every, "starts": np.append(starts, len(ids)), "owner": np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order]}
+        homes = {h: i for i, h in enumerate({r["home"] for r in rows})}
+        held |= {"src": pa.array([r["src"] for r in rows], pa.string()), "n": np.array([r["n"] for r in rows]), "homes": homes, "home": np.array([homes[r["home"]] for r in rows])}
+        # Edges between sources: who is named, and whom a source names.
+        held["at"], held["out"] = {}, {}
+        for i, r in enumerate(rows):
+            held["at"].setdefault(r["src"], []).append(i)
+            for name in r["out"]:
+                held["out"].setdefault(name, []).append(i)
+        if named:
+            held |= {"names": pa.concat_arrays([r["names"] for r in rows]), "flat": order, "first": np.cumsum(sizes) - sizes, "sizes": sizes}
+        return held
+
+    def batch(held: dict, found: list) -> pa.RecordBatch:
+        near, common = np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found]).astype(np.int64)
+        sizes = np.array([len(f[2]) for f in found])
+        cols = [held["src"].take(pa.array(near)), pa.array([f[0] for f in found], pa.string()).take(pa.array(np.repeat(np.arange(len(found)), sizes)))]
+        for k, counts in [(4, common)] * named + [(5, held["sizes"][near] - common if named else None)] * rest:
+            cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), held["names"].take(pa.array(np.concatenate([f[k] for f in found])))))
+        cols += [pa.array(c) for c in (common, held["n"][near] - common, np.repeat([f[1] for f in found], sizes) - common)]
+        return pa.RecordBatch.from_arrays(cols, schema=out)
+
+    def met(held: dict, r: dict, same: bool) -> Iterator[tuple]:
+        place = np.minimum(np.searchsorted(held["every"], r["ids"]), len(held["every"]) - 1)
+        place = place[held["every"][place] == r["ids"]]
+        at = ranges(held["starts"][place], held["starts"][place + 1] - held["starts"][place])
+        owner = held["owner"][at]
+        score = np.bincount(owner, minlength=len(held["keys"]))
+        near = np.flatnonzero(score >= least)
+        # Within a block a pair is met from both sides and counts once.
+        near = near[held["keys"][near] < r["sid"]] if same else near
+        near = near[held["home"][near] != held["homes"].get(r["home"], -1)] if r["home"] is not None else near
+        linked = [*held["out"].get(r["src"], []), *[i for name in r["out"] for i in held["at"].get(name, [])]]
+        near = np.setdiff1d(near, linked) if linked else near
+        if not named:
+            if len(near):
+                yield r["src"], r["n"], near, score[near]
+            return
+        chosen, flat = np.zeros(len(score), bool), held["flat"][at]
+        # Lists of many names go in parts.
+        for part in np.split(near, np.flatnonzero(np.diff(np.cumsum(held["sizes"][near]) // NAMES)) + 1) if len(near) else []:
+            chosen[part] = True
+            common = np.sort(flat[chosen[owner]])
+            chosen[part] = False
+            others = np.zeros(0, np.int64)
+            if rest:
+                mine = ranges(held["first"][part], held["sizes"][part])
+                others = np.delete(mine, np.searchsorted(mine, common))
+            yield r["src"], r["n"], part, score[part], common, others
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held, found, many = [], None, [], 0
+        for b in batches:
+            names = b["names"] if named else None
+            plain = b.select([c for c in b.schema.names if c != "names"]).to_pylist()
+            for i, r in enumerate(plain):
+                r["ids"] = np.cumsum(from_planes(r.pop("v")), dtype=np.int32)
+                if r["kind"] == 0:
+                    rows.append(r | ({"names": names[i].values} if named else {}))
+                    continue
+                if held is None:
+                    if not rows:
+                        return
+                    held, rows = index(rows), []
+                for f in met(held, r, r["same"]):
+                    found.append(f)
+                    many += sum(map(len, f[2 if not named else 4 :]))
+                    if many > (NAMES if named else GIVEN):
+                        yield batch(held, found)
+                        found, many = [], 0
+        if found:
+            yield batch(held, found)
+
+    return run, ", ".join(["a string", "b string", *[f"{c} array<string>" for c in listed], "common long", "only_a long", "only_b long"])
+
+
+def cousins(edges: DataFrame, least: int = 3, sources: DataFrame | None = None, named: bool = False, rest: bool = False) -> DataFrame:
+    """(a, b, common, only_a, only_b) of sources a < b with at least least > 0 common targets and no edge between them.
+
+    sources (id, source), where given, leaves out pairs of the same source. named adds common_targets, in order, and rest with it targets_of_a: those that b
+    has not. Targets and sources are numbered in order, and sources lie in blocks of at most about EDGES edges; each pair of blocks is a task, where the
+    targets of the earlier one are an index and common ones add up in an array. So an edge moves blocks + 1 times as a step of few bits, no pair is a row
+    before it is found, and a pair never moves with its lists.
     """
-    keep = once(edges.sparkSession)
-    e = keep(edges.select("src", "dst").distinct())
-    size = e.groupBy("src").agg(F.count("*").alias("n"))
-    shared = e.join(e.groupBy("dst").agg(F.count("*").alias("n")).where("n > 1").select("dst"), "dst")
-    able = shared.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("src")
-    kept = keep(shared.join(able, "src").select("src", "dst"))
-    # A task gathers its pairs in memory, so tasks grow in number with the pairs.
-    pairs = kept.groupBy("dst").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
-    parts = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs // (2 * PAIRS))
-    x, y = kept.select(F.col("src").alias("a"), "dst"), kept.select(F.col("src").alias("b"), "dst")
-    found = [F.count("*").alias("common"), *([F.array_sort(F.collect_list("dst")).alias("common_targets")] if named else [])]
-    met = meet(x, y, "dst", "a", "b", parts).where("a < b").select("a", "b", *(["dst"] if named else []))
-    # A pair has few targets in one task, so counts before the shuffle would save little and hold all of a task's pairs.
-    both = met.repartition(parts, "a", "b").groupBy("a", "b").agg(*found).where(F.col("common") >= least)
-    for p, q in (("src", "dst"), ("dst", "src")):
-        both = both.join(e.select(F.col(p).alias("a"), F.col(q).alias("b")), ["a", "b"], "left_anti")
-    if sources is not None:
-        s = sources.select(F.col("id").alias("a"), F.col("source").alias("sa")), sources.select(F.col("id").alias("b"), F.col("source").alias("sb"))
-        both = both.join(s[0], "a").join(s[1], "b").where("sa != sb").drop("sa", "sb")
-    out = both.join(size.select(F.col("src").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("src").alias("b"), F.col("n").alias("nb")), "b")
-    return out.select("a", "b", *(["common_targets"] if named else []), "common", (F.col("na") - F.col("common")).alias("only_a"), (F.col("nb") - F.col("common")).alias("only_b"))
+    spark = edges.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = once(spark)(edges.where("src IS NOT NULL").select("src", "dst").distinct())
+    ends = e.select(F.col("src").alias("dst")).distinct().withColumn("end", F.lit(True))
+    targets = numbered(e.where("dst IS NOT NULL").groupBy("dst").agg(F.count("*").alias("z")).join(ends, "dst", "left"), "did", "dst")
+    pairs = targets.where("z > 1").agg(F.sum(F.col("z") * F.col("z"))).first()[0] or 0
+    known = e.join(targets.select("dst", F.col("did").cast("int").alias("did"), "z", "end"), "dst", "left")
+    # Targets of one source count for its size alone, and among its names.
+    mine = F.struct("did", "dst") if named else F.col("did")
+    ids = F.sort_array(F.collect_list(F.when(F.col("did").isNotNull() if named else F.col("z") > 1, mine)))
+    sets = known.groupBy("src").agg(F.count("*").alias("n"), F.count_if(F.col("z") > 1).alias("shared"), ids.alias("ids"), F.collect_list(F.when(F.col("end"), F.col("dst"))).alias("out"))
+    ordered = running(sets.where(F.col("shared") >= least).drop("shared"), {"sid": F.lit(1), "upto": F.size("ids")}, "src")
+    total = ordered.agg(F.max("upto")).first()[0] or 1
+    blocks = max(1, -(-total // EDGES), math.isqrt(2 * n))
+    ordered = ordered.withColumn("block", F.floor((F.col("upto") - F.size("ids")) * blocks / total).cast("int")).drop("upto")
+    # A source of several kinds is a row for each of them.
+    ordered = ordered.withColumn("home", F.lit(None).cast("string")) if sources is None else ordered.join(sources.select(F.col("id").alias("src"), F.col("source").cast("string").alias("home")).where("home IS NOT NULL"), "src")
+    rows = ordered.select("block", "sid", "src", "n", "out", "home", *([F.col("ids.dst").alias("names"), F.col("ids.did").alias("ids")] if named else ["ids"]))
+    kinds = ", ".join(f"{'v' if c == 'ids' else c} {'binary' if c == 'ids' else kind}" for c, kind in rows.dtypes)
+    packed = once(spark)(rows.mapInArrow(_packed(), kinds))
+    met = cells(packed, blocks, "block", "sid", "src", "n", "out", "home", "v", *([F.when(F.col("kind") == 0, F.col("names")).alias("names")] if named else []))
+    found = met.mapInArrow(*_common_targets(least, named, rest))
+    # Tasks of the result grow in number with the pairs, which lie together in few cells; lists stay where they are.
+    return found if named else found.repartition(max(n, pairs // (2 * PAIRS)), "a", "b")
 
 
 def shared_targets(edges: DataFrame, pairs: DataFrame) -> DataFrame:
