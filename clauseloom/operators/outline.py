@@ -1,6 +1,6 @@
 """Outlines of texts whose lines depend on lines before them.
 
-What a line knows of the lines before it is the last value that one of them has set (a heading, the place of the last action, a reset). Such
+The lines of a plan (E31) are read in the row of their text. In the others, what a line knows of the lines before it is the last value that one of them has set (a heading, the place of the last action, a reset). Such
 values compose: the value at the end of a run of lines is that of its last setting line, or else that of the run before. ``carried`` uses
 this to read lines by ranges of (document, line): each range is filled by itself and takes over, of the document that it begins within,
 what earlier ranges end with. So a document of any length is read by many tasks, and a range hands on one row.
@@ -8,10 +8,17 @@ what earlier ranges end with. So a document of any length is read by many tasks,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.text import bound
 from .records import in_ranges
 
 # ---- fixed values: cased letters, and the shapes of lines --------------------------------------------------
@@ -78,41 +85,69 @@ def _titled(c: Column) -> Column:
     return (c != "") & ~c.rlike(_NOT_TITLE) & (c.rlike(r"[\p{Ll}\p{Lt}]") | ~c.rlike(_CASED))
 
 
+#: Bytes of lines that a task gives on at once, about.
+GIVEN = 1 << 24
+
+
+def _bullets(key: str, kind: pa.DataType):
+    """(key, lines, marks) of texts, marks a sum of 1 (pillar), 2 (action) and 4 (titled): a row for each action with the lines that it depends on."""
+    text = pa.string()
+    out = pa.schema([(key, kind), ("pos", pa.int32()), ("line", text), ("_pillar", text), ("_before", text), ("_section", text)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = b["lines"].offsets.to_numpy()
+            lines = b["lines"].values.slice(ends[0], ends[-1] - ends[0])
+            marks = b["marks"].flatten().to_numpy(zero_copy_only=False)
+            sizes = np.diff(ends)
+            at, start = np.arange(len(marks)), np.repeat(ends[:-1] - ends[0], sizes)
+            pillar, action, titled = ((marks & n) > 0 for n in (1, 2, 4))
+            follows = np.zeros(len(marks), bool)
+            for n in range(1, NEAR + 1):
+                follows[:-n] |= action[n:] & (start[n:] == start[:-n])
+            name = titled & ~pillar
+            heads = name & ~action & follows
+            # The last line up to each that is of a kind; those of earlier texts count as none.
+            last = lambda of: np.maximum.accumulate(np.where(of, at, -1)) if len(of) else at
+            acts = np.flatnonzero(action)
+            if not len(acts):
+                continue
+            begin, owner = start[acts], np.repeat(np.arange(len(sizes)), sizes)[acts]
+            of, set_by, named = last(pillar)[acts], last(pillar | heads)[acts], last(name)
+            headed = (set_by >= begin) & heads[set_by]
+            # The first action after what set or ended the section looks back for all of them.
+            first = acts[np.searchsorted(acts, np.maximum(set_by, begin))]
+            found = np.where(first > begin, named[first - 1], -1)
+            section = np.where(headed, set_by, found)
+            joined = ~headed & (section > begin) & titled[section - 1]
+            lengths = np.append(0, np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False)))
+            pick = lambda i, ok: (np.where(ok, i, 0), ok)
+            parts = [(acts, acts >= 0), pick(of, of >= begin), pick(section - 1, joined), pick(section, section >= begin)]
+            bulk = np.cumsum(sum(np.where(ok, lengths[i + 1] - lengths[i], 0) for i, ok in parts)) // GIVEN
+            # Many actions under a long line go in parts.
+            for rows in np.split(np.arange(len(acts)), np.flatnonzero(np.diff(bulk)) + 1):
+                cols = [lines.take(pa.array(i[rows], mask=~ok[rows])) for i, ok in parts]
+                yield pa.RecordBatch.from_arrays([b[key].take(pa.array(owner[rows])).cast(kind), pa.array((acts - begin)[rows], pa.int32()), *[c.cast(text) for c in cols]], schema=out)
+
+    return run
+
+
 def pillar_actions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, pillar, section, action) of the bullet lines of a plan.
 
     A pillar line sets the pillar and ends the section. A titled line with a bullet among the four lines after it sets the section. A bullet
     without a section looks back, however far, for the last titled line that is no pillar, joined to the line before that one if it is titled too; that is
-    then the section, or else ``Uncategorized``. A null text has no rows.
+    then the section, or else ``Uncategorized``. A null text has no rows. A text is read in its row, in one pass, so no line moves.
     """
-    line, before = F.col("line"), F.col("before")
-    pillar, action = line.rlike(PILLAR), line.rlike(ACTION)
-    titled = _titled(line) & ~pillar
-    heads = titled & ~action & F.exists("next", lambda x: x.rlike(ACTION))
-    marked = lines(docs, key, text).where(line != "").select(
-        key, "pos", pillar.alias("_pillar"), action.alias("_action"), heads.alias("_heads"), line.alias("line"),
-        F.when(titled, F.when(_titled(before), F.concat(before, F.lit(" "), line)).otherwise(line)).alias("_title"),
-    )
-    marked = marked.where(F.col("_pillar") | F.col("_action") | F.col("_title").isNotNull())
-    at = F.col("pos")
-    name = F.concat(F.lit("Pillar "), F.regexp_extract("line", PILLAR, 1), F.lit(": "), F.regexp_extract("line", PILLAR, 2))
-    # A bullet may be titled itself; it is a title for later lines only, so two are carried: the last, and the one before the last bullet or title.
-    known = carried(
-        marked, key, "pos",
-        pillar=F.when(F.col("_pillar"), name), _set=F.when(F.col("_pillar") | F.col("_heads"), F.struct(at.alias("at"), F.when(F.col("_heads"), line).alias("section"))),
-        _back=F.when(F.col("_title").isNotNull() & ~F.col("_action"), F.struct(at.alias("at"), F.col("_title").alias("title"))),
-    )
-    # Which bullet is the first after the last line that set or ended a section: only that one looks back.
-    w = W.partitionBy(key, "_set.at").orderBy("pos")
-    bullets = known.where("_action").withColumn("_first", F.row_number().over(w) == 1)
-    earlier = carried(bullets, key, "pos", _bullet=F.when(F.col("_title").isNotNull(), F.struct(at.alias("at"), F.col("_title").alias("title"))))
-    # The last titled bullet strictly before this one.
-    prior = F.lag("_bullet").over(W.partitionBy(key).orderBy("pos"))
-    found = earlier.withColumn("_prior", prior).withColumn("_found", F.greatest("_back", "_prior"))
-    looked = F.max(F.when(F.col("_first"), F.struct(F.coalesce("_found.title", F.lit("Uncategorized")).alias("title")))).over(W.partitionBy(key, "_set.at"))
-    out = found.withColumn("_looked", looked)
-    section = F.coalesce("_set.section", "_looked.title")
-    return out.select(key, "pos", F.coalesce("pillar", F.lit("")).alias("pillar"), section.alias("section"), F.regexp_replace(F.regexp_extract("line", ACTION, 1), r"^\s+|\s+$", "").alias("action"))
+    kinds = lambda x: F.when(x.rlike(PILLAR), 1).otherwise(0) + F.when(x.rlike(ACTION), 2).otherwise(0) + F.when(_titled(x), 4).otherwise(0)
+    cut = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    marked = bound(cut, lambda lines: F.struct(lines.alias("lines"), F.transform(lines, kinds).alias("marks")))
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key), marked.alias("_marked")).select(key, "_marked.lines", "_marked.marks")
+    kind = rows.schema[key].dataType
+    found = rows.mapInArrow(_bullets(key, to_arrow_type(kind)), f"`{key}` {kind.simpleString()}, pos int, line string, _pillar string, _before string, _section string")
+    name = F.concat(F.lit("Pillar "), F.regexp_extract("_pillar", PILLAR, 1), F.lit(": "), F.regexp_extract("_pillar", PILLAR, 2))
+    section = F.concat(F.coalesce(F.concat("_before", F.lit(" ")), F.lit("")), "_section")
+    return found.select(key, "pos", F.coalesce(name, F.lit("")).alias("pillar"), F.coalesce(section, F.lit("Uncategorized")).alias("section"), F.regexp_replace(F.regexp_extract("line", ACTION, 1), r"^\s+|\s+$", "").alias("action"))
 
 
 def numbered_sections(boxes: DataFrame, key: str = "path") -> DataFrame:
