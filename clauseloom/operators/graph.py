@@ -116,6 +116,8 @@ PAIRS = 1 << 21
 EDGES = 1 << 24
 #: Names that a task holds before it gives them on, about.
 NAMES = 1 << 19
+#: A source with fewer shared targets in a block than the block has sources, by this factor, sorts them instead of counting in an array.
+SPARSE = 16
 
 
 def _packed():
@@ -169,28 +171,31 @@ def _common_targets(least: int, named: bool, rest: bool):
         place = place[held["every"][place] == r["ids"]]
         at = ranges(held["starts"][place], held["starts"][place + 1] - held["starts"][place])
         owner = held["owner"][at]
-        score = np.bincount(owner, minlength=len(held["keys"]))
-        near = np.flatnonzero(score >= least)
+        # A source of few targets does not pass over all sources of the block.
+        near, score = np.unique(owner, return_counts=True) if len(owner) * SPARSE < len(held["keys"]) else (np.arange(len(held["keys"])), np.bincount(owner, minlength=len(held["keys"])))
+        near, score = near[score >= least], score[score >= least]
         # Within a block a pair is met from both sides and counts once.
-        near = near[held["keys"][near] < r["sid"]] if same else near
-        near = near[held["home"][near] != held["homes"].get(r["home"], -1)] if r["home"] is not None else near
+        good = held["keys"][near] < r["sid"] if same else np.ones(len(near), bool)
+        if r["home"] is not None:
+            good &= held["home"][near] != held["homes"].get(r["home"], -1)
         linked = [*held["out"].get(r["src"], []), *[i for name in r["out"] for i in held["at"].get(name, [])]]
-        near = np.setdiff1d(near, linked) if linked else near
+        if linked:
+            good &= ~np.isin(near, linked)
+        near, score = near[good], score[good]
+        if not len(near):
+            return
         if not named:
-            if len(near):
-                yield r["src"], r["n"], near, score[near]
+            yield r["src"], r["n"], near, score
             return
-        chosen, flat = np.zeros(len(score), bool), held["flat"][at]
+        flat = held["flat"][at]
         # Lists of many names go in parts.
-        for part in np.split(near, np.flatnonzero(np.diff(np.cumsum(held["sizes"][near]) // NAMES)) + 1) if len(near) else []:
-            chosen[part] = True
-            common = np.sort(flat[chosen[owner]])
-            chosen[part] = False
+        for part in np.split(np.arange(len(near)), np.flatnonzero(np.diff(np.cumsum(held["sizes"][near]) // NAMES)) + 1):
+            common = np.sort(flat[np.isin(owner, near[part])])
             others = np.zeros(0, np.int64)
             if rest:
-                mine = ranges(held["first"][part], held["sizes"][part])
+                mine = ranges(held["first"][near[part]], held["sizes"][near[part]])
                 others = np.delete(mine, np.searchsorted(mine, common))
-            yield r["src"], r["n"], part, score[part], common, others
+            yield r["src"], r["n"], near[part], score[part], common, others
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, found, many = [], None, [], 0
